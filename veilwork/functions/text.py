@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwork.functions.rules import DIGIT, SPACE
 
@@ -52,13 +53,13 @@ def quote_literal(c: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Strip and compatibility-normalise; Spark has no built-in for NFKC."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t.strip()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 
@@ -68,7 +69,7 @@ def markup_plaintext(c: Column) -> Column:
     return unescape_entities(F.regexp_replace(c, "<[^>]*>", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_bytes(s: pd.Series) -> pd.Series:
     """UTF-8 if it is valid, else GB18030 with replacement characters."""
     def one(raw):

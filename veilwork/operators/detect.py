@@ -119,8 +119,8 @@ def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY
         else:
             body = f".{{{n}}}"
         grams.append(F.regexp_extract_all("text", F.lit(f"(?s)(?=({body}))"), F.lit(1)))
-    if not grams:
-        return units.select(*key).join(words.limit(0), F.lit(True))
+    if not grams:  # an empty lexicon
+        grams = [F.array().cast("array<string>")]
     cut = units.select(*key, F.explode(F.array_distinct(F.concat(*grams))).alias("word"))
     return cut.join(words, "word").select(*key, "word", *[c for c in words.columns if c != "word"])
 

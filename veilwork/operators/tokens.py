@@ -109,7 +109,8 @@ def first_uses(spans: DataFrame) -> DataFrame:
             .select("original", "m.*", "uses"))
 
 
-def allocate_tokens(first: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
+def allocate_tokens(first: DataFrame, reserved: DataFrame | None = None,
+                    order: Sequence[str] = ("file_ord", "unit_ord", "start")) -> DataFrame:
     """Add `token` to staged first uses."""
-    numbered = number_rows(first, "type", ["file_ord", "unit_ord", "start"])
+    numbered = number_rows(first, "type", order)
     return skip_reserved(numbered, reserved).withColumn("token", token_text(F.col("type"), F.col("number")))

@@ -1 +1 @@
-
+"""Masking of unbounded tables."""
