@@ -15,10 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilwork.config import MaskConfig
-from veilwork.functions.rules import let, regex_hits
+from veilwork.functions.rules import let, no_hits, regex_hits
 from veilwork.functions.spans import context
 from veilwork.operators.tagging import ner_hits, tag_units
-from veilwork.schema import CHANNELS, HITS_DDL, TYPES, UNIT_KEY
+from veilwork.schema import CHANNELS, TYPES, UNIT_KEY
 
 # Up to this many words the lexicon is inlined as a literal and tested with `contains`.
 INLINE_WORDS = 64
@@ -28,10 +28,6 @@ AUTOMATON_WORDS = 200_000
 GATE_PREFIXES = 400
 
 
-def no_hits() -> Column:
-    return F.array().cast(HITS_DDL)
-
-
 def _hit(text: Column, type_: Column, source: str, rule: Column, pos: Column) -> Column:
     return F.struct(text.alias("text"), type_.alias("type"), F.lit(source).alias("source"),
                     F.lit(0.95).alias("confidence"), F.lit(CHANNELS[source]).alias("channel"),
@@ -138,14 +134,14 @@ def dictionary_ngram(units: DataFrame, words: DataFrame) -> DataFrame:
 
 def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = None) -> DataFrame:
     """Add `dict_hits`, choosing the method by the counted size of the prepared lexicon."""
-    if method is None:
-        n = words.limit(AUTOMATON_WORDS + 1).count()
-        method = "inline" if n <= INLINE_WORDS else "automaton" if n <= AUTOMATON_WORDS else "ngram"
-    if method == "inline":
-        return dictionary_inline(units, words.collect())
-    if method == "automaton":
-        return dictionary_automaton(units, words.collect())
-    return dictionary_ngram(units, words)
+    if method == "ngram":
+        return dictionary_ngram(units, words)
+    rows = words.limit(AUTOMATON_WORDS + 1).collect()
+    if method is None and len(rows) > AUTOMATON_WORDS:
+        return dictionary_ngram(units, words)
+    if method == "inline" or (method is None and len(rows) <= INLINE_WORDS):
+        return dictionary_inline(units, rows)
+    return dictionary_automaton(units, rows)
 
 
 # ---- all channels -----------------------------------------------------------------------
@@ -157,7 +153,7 @@ def first_per_text(hits: Column) -> Column:
 
 
 def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame | None = None,
-           tagger=None, regex: bool = True, method: str | None = None) -> DataFrame:
+           tagger=None, regex: bool = True, method: str | None = None, positions: bool = True) -> DataFrame:
     """Units plus `hits`. A manual-only run (`auto_detect=False`) closes the other channels."""
     listed = list(cfg.whitelist)
     text = F.col("text")
@@ -173,18 +169,22 @@ def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame
         parts.append(F.col("ner_found"))
         drop += ["tags", "ner_found"]
     if cfg.auto_detect and regex:
-        parts.append(regex_hits(text))
+        parts.append(regex_hits(text, positions=positions))
     hits = F.concat(*parts)
     if listed:
-        allowed = F.array(*[F.lit(w) for w in listed])
-        hits = F.filter(hits, lambda h: (h["source"] == "manual") | ~F.array_contains(allowed, h["text"]))
-    out = out.withColumn("hits", hits).drop(*drop)
-    return out.withColumn("hits", F.when(F.size("hits") > 1, first_per_text(F.col("hits"))).otherwise(F.col("hits")))
+        harmless = F.array(*[F.lit(w) for w in listed])
+        hits = F.filter(hits, lambda h: (h["source"] == "manual") | ~F.array_contains(harmless, h["text"]))
+    # Bound once: every mention of an unbound expression would run all channels again.
+    once = let(hits, lambda h: F.when(F.size(h) > 1, first_per_text(h)).otherwise(h))
+    return out.withColumn("hits", once).drop(*drop)
 
 
 def detections(units_with_hits: DataFrame, n_context: int = 50) -> DataFrame:
     """One row per hit, with context around its place."""
-    flat = units_with_hits.select(*UNIT_KEY, F.col("text").alias("unit_text"), F.posexplode("hits").alias("det_ord", "h"))
+    # The outer form, because a plain explode makes the optimizer test the array's size in a
+    # filter of its own and so detect twice.
+    flat = (units_with_hits.select(*UNIT_KEY, F.col("text").alias("unit_text"), F.posexplode_outer("hits").alias("det_ord", "h"))
+            .filter("h is not null"))
     return flat.select(
         *UNIT_KEY, "det_ord", "h.text", F.col("h.type").alias("text_type"), "h.source", "h.confidence",
         context(F.col("unit_text"), F.col("h.pos"), F.length("h.text"), n_context).alias("context"),

@@ -55,3 +55,12 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, dim_row
     done = marked.filter("_hot").drop("_hot")
     rest = marked.filter("_hot is null").select(*facts.columns).join(cold, key)
     return done.unionByName(rest)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores at least one per core; else leave it alone.
+
+    Only small files are affected: a table of any size brings its own splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
