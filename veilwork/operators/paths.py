@@ -6,8 +6,8 @@ A tree is one row per file or folder: (rel_old, kind, name, parent, depth), pare
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilwork.config import MaskConfig
@@ -106,65 +106,88 @@ def mask_names(names: DataFrame, found: DataFrame, tokens: DataFrame | None, irr
 
 # ---- name conflicts ---------------------------------------------------------------------
 
-def _family(name: Column) -> Column:
-    """Names that can ever compete: the same name once trailing `_n` counters are cut off."""
-    low = F.lower(name)
-    return F.concat(F.regexp_replace(stem_of(low), r"(_[0-9]+)+$", ""), F.lit("\u0000"), ext_of(low))
+COUNTED = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
+
+
+def _queue(parent: Column, low: Column) -> Column:
+    """Rows that want the same name in the same folder queue for it."""
+    return F.concat_ws("\u0000", parent, low).alias("type")
+
+
+def _counted(low: Column) -> tuple[Column, Column]:
+    """A name `stem_n.ext` read as the n-th counter of `stem.ext`: (that name, n or null)."""
+    stem = stem_of(low)
+    return F.concat(F.regexp_extract(stem, COUNTED, 1), ext_of(low)), F.expr("try_cast(_n as bigint)")
+
+
+def _with_counter(df: DataFrame) -> DataFrame:
+    base, n = _counted(F.col("_low"))
+    return (df.withColumn("_n", F.regexp_extract(stem_of(F.col("_low")), COUNTED, 2)).withColumn("_base", base)
+            .withColumn("_n", n))
+
+
+def _count_before(rows: DataFrame, marks: DataFrame, order: list[str], out: str, limit: int) -> DataFrame:
+    """Add to each mark the number of `rows` of its type that sort before it."""
+    both = (rows.select("type", *order, F.lit(0).alias("_mark"), F.lit(None).cast("string").alias("_child"))
+            .unionByName(marks.select("type", *order, F.lit(1).alias("_mark"), F.col("child").alias("_child"))))
+    placed = number_rows(stage(both), "type", [*order, "_mark"], "_p", limit).filter("_mark = 1")
+    earlier = F.row_number().over(W.partitionBy("type").orderBy(*order))  # one row per distinct wanted name
+    return marks.join(placed.select(F.col("_child").alias("child"), (F.col("_p") - earlier).alias(out)), "child")
+
+
+def _settle(links: DataFrame, occupied: DataFrame, limit: int) -> DataFrame:
+    """Who takes a name that is both a counter of one queue and the plain name of another.
+
+    The owner's j-th row would take counter k, with j = 1 + the counters below k that are still
+    free. If j of its rows come before the other queue's first row, the owner has the name;
+    else the other queue has it, and the owner skips that counter.
+    """
+    at = _count_before(occupied, links.withColumn("number", F.col("k") + 1), ["number"], "below", limit)
+    known = at.join(occupied.select("type", F.col("number"), F.lit(True).alias("_held")), ["type", "number"], "left")
+    per_owner = known.groupBy("type").agg(F.array_sort(F.collect_list(F.struct(
+        "k", "below", "ahead", F.coalesce("_held", F.lit(False)).alias("held"), "child"))).alias("c"))
+
+    def walk(acc, x):
+        owner_first = x["k"] - x["below"] - F.size(acc) + 1 <= x["ahead"]
+        return F.when(x["held"] | owner_first, acc).otherwise(F.concat(acc, F.array(F.struct(x["k"].alias("k"), x["child"].alias("child")))))
+    empty = F.array().cast("array<struct<k:bigint,child:string>>")
+    decided = per_owner.withColumn("won", F.aggregate("c", empty, walk))
+    won = decided.select("type", F.explode("won").alias("w")).select("type", (F.col("w.k") + 1).alias("number"))
+    lost = decided.select(F.explode(F.filter("c", lambda x: ~x["held"] & ~F.exists("won", lambda w: w["child"] == x["child"]))).alias("x"))
+    return won.unionByName(lost.select(F.col("x.child").alias("type"), F.lit(1).cast("long").alias("number")))
 
 
 def resolve_name_conflicts(wanted: DataFrame, existing: DataFrame, order: list[str], limit: int = 1_000_000) -> DataFrame:
     """Add `final`: the wanted name, or its first free `_1`, `_2`... in its folder.
 
-    `wanted` has (parent, desired, *order), `existing` has (parent, name); comparison ignores case.
-    Where all rows of a family want one name, the k-th row gets the k-th free counter, which
-    is the closed form used for placeholder numbers and needs no sequential walk, however many
-    rows there are. Only families in which different wanted names can run into each other
-    are walked in order.
+    `wanted` has (parent, desired, *order), `existing` has (parent, name); comparison ignores
+    case and `order` is unique in a folder. Rows that want one name form a queue: the k-th of
+    them gets the k-th free counter, the same closed form as for placeholder numbers, so a
+    queue may be of any size. Two queues only meet where one wants a name that is a counter of the
+    other (`a_1` beside `a`); those single names are settled first, owner by owner.
     """
-    w = wanted.withColumn("_fam", _family(F.col("desired"))).withColumn("_low", F.lower("desired"))
-    taken = existing.select("parent", F.lower("name").alias("_low"), _family(F.col("name")).alias("_fam")).distinct()
-    kinds = w.groupBy("parent", "_fam").agg(F.count_distinct("_low").alias("_kinds"), F.min("_low").alias("_one"))
-    marked = stage(w.join(kinds, ["parent", "_fam"]))
-
-    single = marked.filter("_kinds = 1").withColumn("type", F.concat_ws("\u0000", "parent", "_low"))
-    numbered = number_rows(stage(single), "type", order, limit=limit)
-    groups = single.select("parent", "_fam", "_one", "type").distinct()
+    w = stage(wanted.withColumn("_low", F.lower("desired")).withColumn("type", _queue(F.col("parent"), F.col("_low"))))
+    queues = stage(_with_counter(w.groupBy("type", "parent", F.col("_low")).agg(F.min(F.struct(*order)).alias("_first"))))
+    taken = _with_counter(existing.select("parent", F.lower("name").alias("_low")).distinct())
+    names = queues.select("type")
+    plain = taken.select(_queue(F.col("parent"), F.col("_low")), F.lit(1).cast("long").alias("number"))
+    counted = taken.filter("_n is not null").select(_queue(F.col("parent"), F.col("_base")), (F.col("_n") + 1).alias("number"))
     # Counter 0 is the plain name, so occupied counters are shifted by one.
-    clash = taken.join(groups, ["parent", "_fam"])
-    head, ext = stem_of(F.col("_one")), ext_of(F.col("_one"))
-    counter = F.when(F.col("_low") == F.col("_one"), F.lit(1)).when(
-        F.startswith("_low", F.concat(head, F.lit("_"))) & F.endswith("_low", ext),
-        F.expr("try_cast(_mid as bigint)") + 1)
-    middle = F.substring("_low", F.length(head) + 2, F.length("_low") - F.length(head) - 1 - F.length(ext))
-    occupied = (clash.withColumn("_mid", F.when(middle.rlike("^[1-9][0-9]{0,17}$"), middle))
-                .select("type", counter.alias("number")).filter("number is not null").distinct())
-    placed = skip_reserved(numbered, occupied)
+    occupied = stage(plain.unionByName(counted).join(names, "type", "left_semi").distinct())
+
+    links = (queues.filter("_n is not null").select(_queue(F.col("parent"), F.col("_base")), F.col("type").alias("child"), F.col("_n").alias("k"), "_first.*")
+             .join(names, "type", "left_semi"))
+    links = stage(_count_before(w, links, order, "ahead", limit))
+    while not links.isEmpty():  # one turn per level of nested counters
+        inner = links.select(F.col("child").alias("type")).distinct()
+        settled = _settle(links.join(inner, "type", "left_anti"), occupied, limit)
+        occupied = stage(occupied.unionByName(settled).distinct())
+        links = stage(links.join(inner, "type", "left_semi"))
+
+    placed = skip_reserved(number_rows(w, "type", order, limit=limit), occupied)
     stem, suffix = stem_of(F.col("desired")), ext_of(F.col("desired"))
-    simple = placed.withColumn("final", F.when(F.col("number") == 1, F.col("desired")).otherwise(
-        F.concat(stem, F.lit("_"), (F.col("number") - 1).cast("string"), suffix)))
-
-    cols = [*wanted.columns, "final"]
-    mixed = marked.filter("_kinds > 1").select("parent", "_fam", *[c for c in wanted.columns if c != "parent"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema) + ", final string"
-    columns = list(wanted.columns)
-
-    def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = set(right["_low"])
-        left = left.sort_values(order, kind="stable")
-        finals = []
-        for name in left["desired"]:
-            cut = name.rfind(".")
-            stem, ext = (name[:cut], name[cut:]) if 0 < cut < len(name) - 1 else (name, "")
-            pick, n = name, 0
-            while pick.lower() in names:
-                n += 1
-                pick = f"{stem}_{n}{ext}"
-            names.add(pick.lower())
-            finals.append(pick)
-        return left[columns].assign(final=finals)
-
-    walked = mixed.groupBy("parent", "_fam").cogroup(taken.groupBy("parent", "_fam")).applyInPandas(walk, schema)
-    return simple.select(*cols).unionByName(walked.select(*cols))
+    final = F.when(F.col("number") == 1, F.col("desired")).otherwise(F.concat(stem, F.lit("_"), (F.col("number") - 1).cast("string"), suffix))
+    return placed.withColumn("final", final).select(*wanted.columns, "final")
 
 
 # ---- plans ------------------------------------------------------------------------------

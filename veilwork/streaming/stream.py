@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwork.config import MaskConfig
 from veilwork.operators.detect import detect
@@ -16,10 +17,6 @@ from veilwork.schema import MAPPING, UNIT_KEY
 from veilwork.session import stage
 
 
-def mints_no_token(cfg: MaskConfig) -> bool:
-    return cfg.irreversible
-
-
 def mask_stream_stateless(units: DataFrame, cfg: MaskConfig, lexicon: DataFrame | None = None) -> DataFrame:
     """Append-mode masking for a run that keeps no mapping.
 
@@ -41,7 +38,7 @@ class ReversibleMasker:
         self.mapping_path, self.out_path, self.cfg, self.lexicon = mapping_path, out_path, cfg, lexicon
 
     def known(self, spark: SparkSession, before: int) -> DataFrame:
-        schema = MAPPING.add("number", "long") if "number" not in MAPPING.names else MAPPING
+        schema = T.StructType([*MAPPING.fields, T.StructField("number", T.LongType())])
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.mapping_path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(hadoop):
