@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,18 +75,24 @@ def dictionary_inline(units: DataFrame, words: list) -> DataFrame:
 
 def dictionary_automaton(units: DataFrame, words: list) -> DataFrame:
     """One pass per text over Arrow batches, whatever the number of words."""
-    table = [(r["word"], r["type"], r["rule"]) for r in words]
+    table = sorted((r["rule"], r["word"], r["type"]) for r in words)
 
-    @F.pandas_udf("array<struct<word:string,type:string,rule:bigint>>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<word:string,type:string,rule:bigint>>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
         machine = ahocorasick.Automaton()
-        for i, (word, _, _) in enumerate(table):
+        for i, (_, word, _) in enumerate(table):
             machine.add_word(word, i)
         machine.make_automaton()
+        rules, names, types = (pa.array(list(c)) for c in zip(*table))
         for texts in batches:
-            found = [sorted({i for _, i in machine.iter(t)}, key=lambda i: table[i][2]) if t else [] for t in texts]
-            yield pd.Series([[{"word": table[i][0], "type": table[i][1], "rule": table[i][2]} for i in f] for f in found])
+            found, ends = [], [0]
+            for t in texts.to_pylist():
+                found += sorted({i for _, i in machine.iter(t)}) if t else []
+                ends.append(len(found))
+            at = pa.array(found, pa.int64())
+            rows = pa.StructArray.from_arrays([names.take(at), types.take(at), rules.take(at)], ["word", "type", "rule"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return units.withColumn("dict_hits", F.transform(
         scan("text"), lambda x: _hit(x["word"], x["type"], "dictionary", x["rule"], F.instr(F.col("text"), x["word"]))))

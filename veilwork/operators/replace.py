@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilwork.config import MaskConfig
+from veilwork.functions.rules import let
 from veilwork.functions.spans import locate, rebuild, resolve
 from veilwork.functions.text import fingerprint, fuzzy_amount
 from veilwork.operators.policy import status
@@ -21,11 +22,17 @@ def actionable_hits(hits: Column, cfg: MaskConfig) -> Column:
 
 
 def resolved_units(detected: DataFrame, cfg: MaskConfig) -> DataFrame:
-    """Units that have something to replace, with `kept` and `dropped` spans."""
-    hits = actionable_hits(F.col("hits"), cfg)
-    hit = detected.withColumn("_act", hits).filter(F.size("_act") > 0)
-    spans = hit.select(*UNIT_KEY, "text", resolve(locate(F.col("text"), F.col("_act"))).alias("r"))
-    return spans.select(*UNIT_KEY, "text", "r.kept", "r.dropped")
+    """Units that have something to replace, with `kept` and `dropped` spans.
+
+    An outer explode of zero or one result selects the units: a filter on the hits would be
+    pushed below the projection and detect everything a second time.
+    """
+    def one(act):
+        found = F.array(resolve(locate(F.col("text"), act)))
+        return F.when(F.size(act) > 0, found)
+    some = let(actionable_hits(F.col("hits"), cfg), one)
+    return (detected.select(*UNIT_KEY, "text", F.explode_outer(some).alias("r")).filter("r is not null")
+            .select(*UNIT_KEY, "text", "r.kept", "r.dropped"))
 
 
 def dropped_overlaps(resolved: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from veilwork.functions.spans import occurrences
 from veilwork.functions.text import trim_ws
 from veilwork.operators.detect import is_ai_detected, ngram_rows
 from veilwork.schema import AUTO, SUGGEST, UNIT_KEY
+from veilwork.session import stage
 
 READING_ORDER = ("file_ord", "unit_ord", "det_ord")
 
@@ -66,17 +67,19 @@ def learn_candidates(rows: DataFrame, known_words: DataFrame) -> DataFrame:
     confidence. A word is checked if any of its rows is selected; if no row in view is, all are.
     """
     base = F.regexp_extract("file", r"([^/]+)/?$", 1)
-    per_source = rows.groupBy("text", "source").agg(F.min("idx").alias("at"))
+    # The detections are read once; all that follows works on this much smaller table.
+    seen = stage(rows.groupBy("text", "source", F.when(F.col("file") != "", base).alias("_file")).agg(
+        F.min("idx").alias("at"), F.min_by("text_type", "idx").alias("type"), F.max("confidence").alias("confidence"),
+        F.bool_or("selected").alias("selected")))
+    per_source = seen.groupBy("text", "source").agg(F.min("at").alias("at"))
     sources = per_source.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", "source"))).alias("s"))
-    grouped = rows.groupBy("text").agg(
-        F.min_by("text_type", "idx").alias("category"), F.count_distinct(F.when(F.col("file") != "", base)).alias("file_count"),
+    grouped = seen.groupBy("text").agg(
+        F.min_by("type", "at").alias("category"), F.count_distinct("_file").alias("file_count"),
         F.max("confidence").alias("confidence"), F.bool_or("selected").alias("_any"))
-    any_selected = rows.agg(F.coalesce(F.bool_or("selected"), F.lit(False)).alias("_some"))  # one row
-    fresh = (grouped.join(known_words.select(F.col("word").alias("text")).distinct(), "text", "left_anti")
-             .join(sources, "text").withColumn("_one", F.lit(1))
-             .join(F.broadcast(any_selected.withColumn("_one", F.lit(1))), "_one"))
+    any_selected = bool(seen.agg(F.bool_or("selected")).first()[0])
+    fresh = grouped.join(known_words.select(F.col("word").alias("text")).distinct(), "text", "left_anti").join(sources, "text")
     return fresh.select("text", "category", F.array_join(F.transform("s", lambda x: x["source"]), ",").alias("sources"),
-                        "file_count", "confidence", (F.col("_any") | ~F.col("_some")).alias("checked"))
+                        "file_count", "confidence", (F.col("_any") | F.lit(not any_selected)).alias("checked"))
 
 
 def exclude_unselected(rows: DataFrame) -> DataFrame:
