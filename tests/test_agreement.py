@@ -37,7 +37,7 @@ def test_dictionary_methods_agree(spark, method):
 def test_ngram_without_gate(spark, monkeypatch):
     words = D.prepare_lexicon(lexicon(spark, SF))
     gated = rows(D.ngram_rows(ledger(spark, SF), words))
-    monkeypatch.setattr(D, "GATE_PREFIXES", 0)
+    monkeypatch.setattr(D, "GATE_CHARS", 0)
     assert rows(D.ngram_rows(ledger(spark, SF), words)) == gated
 
 

@@ -24,8 +24,8 @@ from veilwork.schema import CHANNELS, TYPES, UNIT_KEY
 INLINE_WORDS = 64
 # Up to this many words one matching automaton per task is built from a broadcast word list.
 AUTOMATON_WORDS = 200_000
-# Up to this many first-two-character prefixes of one word length gate the n-gram positions.
-GATE_PREFIXES = 400
+# Up to this many first (or second) characters of one word length gate the substrings that are cut.
+GATE_CHARS = 64
 
 
 def _hit(text: Column, type_: Column, source: str, rule: Column, pos: Column) -> Column:
@@ -101,29 +101,24 @@ def dictionary_automaton(units: DataFrame, words: list) -> DataFrame:
 def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY) -> DataFrame:
     """(key, word, type, rule) by an equi join on substrings: works for a lexicon of any size.
 
-    One look-ahead pattern per distinct word length cuts the overlapping substrings in one pass;
-    where the words of a length share few prefixes, only positions with such a prefix are cut.
+    One look-ahead pattern per distinct word length cuts the overlapping substrings in one pass.
+    Where the words of a length start with few characters, only such positions are cut; this is
+    a coarse gate made of two character classes, and the join decides.
     """
-    per_length = (words.groupBy(F.length("word").alias("n"))
-                  .agg(F.countDistinct(F.substring("word", 1, 2)).alias("prefixes")).collect())
-    gated = [r["n"] for r in per_length if r["prefixes"] <= GATE_PREFIXES]
-    heads: dict[int, list[str]] = {}
-    if gated:
-        for r in (words.filter(F.length("word").isin(gated))
-                  .select(F.length("word").alias("n"), F.substring("word", 1, 2).alias("p")).distinct().collect()):
-            heads.setdefault(r["n"], []).append(r["p"])
+    heads = (words.groupBy(F.length("word").alias("n")).agg(
+        F.collect_set(F.substring("word", 1, 1)).alias("first"), F.collect_set(F.substring("word", 2, 1)).alias("second"))
+        .select("n", *[F.when(F.size(c) <= GATE_CHARS, F.col(c)).alias(c) for c in ("first", "second")]).collect())
+
+    def one_of(chars):
+        return "." if not chars else "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
     grams = []
-    for r in per_length:
+    for r in heads:
         n = r["n"]
-        if n in heads:
-            width = min(2, n)
-            body = "(?:" + "|".join(re.escape(p) for p in sorted(heads[n])) + ")" + f".{{{n - width}}}"
-        else:
-            body = f".{{{n}}}"
+        body = one_of(r["first"]) + (one_of(r["second"]) if n > 1 else "") + (f".{{{n - 2}}}" if n > 2 else "")
         grams.append(F.regexp_extract_all("text", F.lit(f"(?s)(?=({body}))"), F.lit(1)))
     if not grams:  # an empty lexicon
         grams = [F.array().cast("array<string>")]
-    cut = units.select(*key, F.explode(F.array_distinct(F.concat(*grams))).alias("word"))
+    cut = units.select(*key, F.explode_outer(F.array_distinct(F.concat(*grams))).alias("word")).filter("word is not null")
     return cut.join(words, "word").select(*key, "word", *[c for c in words.columns if c != "word"])
 
 

@@ -59,7 +59,7 @@ def needs_token(span: Column, cfg: MaskConfig) -> Column:
 def token_spans(resolved: DataFrame, cfg: MaskConfig) -> DataFrame:
     """Kept spans that get a token, one row each, without the unit's text."""
     wanted = F.filter("kept", lambda s: needs_token(s, cfg))
-    return resolved.select(*UNIT_KEY, F.explode(wanted).alias("s")).select(*UNIT_KEY, "s.*")
+    return resolved.select(*UNIT_KEY, F.explode_outer(wanted).alias("s")).filter("s is not null").select(*UNIT_KEY, "s.*")
 
 
 def build_replacements(resolved: DataFrame, allocation: DataFrame, cfg: MaskConfig) -> DataFrame:

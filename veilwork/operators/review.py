@@ -99,17 +99,19 @@ def kwic_locate(units: DataFrame, rows: DataFrame) -> DataFrame:
     """Per detection, the first unit of its file that holds its context, else the detected text.
 
     Every occurrence of a detected text is widened to the context widths that detections of
-    this text use, and equal windows meet in an equi join; no pair of units is compared.
+    this text use in the file, and equal windows meet in an equi join; no two units are compared.
     """
     ctx = trim_ws(F.coalesce("context", F.lit("")))
     wanted = rows.withColumn("_ctx", F.when(F.length(ctx) >= 8, ctx)).withColumn(
         "_left", F.instr(F.col("_ctx"), F.col("text")) - 1).withColumn("_width", F.length("_ctx"))
     words = wanted.select(F.col("text").alias("word")).distinct()
-    at = ngram_rows(units, words)
+    # Only words that some detection of the same file asks about are followed up.
+    asked = wanted.select("file", F.col("text").alias("word")).distinct()
+    at = ngram_rows(units, words).join(asked, ["file", "word"], "left_semi")
     fallback = at.groupBy("file", "word").agg(F.min("unit_ord").alias("_by_text"))
-    shapes = (wanted.filter("_left >= 0").select(F.col("text").alias("word"), "_left", "_width").distinct()
-              .groupBy("word").agg(F.collect_set(F.struct("_left", "_width")).alias("shapes")))
-    placed = at.join(shapes, "word").join(units.select(*UNIT_KEY, F.col("text").alias("_body")), list(UNIT_KEY))
+    shapes = (wanted.filter("_left >= 0").select("file", F.col("text").alias("word"), "_left", "_width").distinct()
+              .groupBy("file", "word").agg(F.collect_set(F.struct("_left", "_width")).alias("shapes")))
+    placed = at.join(shapes, ["file", "word"]).join(units.select(*UNIT_KEY, F.col("text").alias("_body")), list(UNIT_KEY))
 
     def windows(starts):
         return F.flatten(F.transform(starts, lambda s: F.transform(
