@@ -120,6 +120,16 @@ def test_untouched_units_both_ways(spark, monkeypatch):
     assert rows(mask_units(document_units(spark, SF), LOUD).masked.select("file_ord", "masked_text")) == a
 
 
+def test_confirmed_sets_both_ways(spark, monkeypatch):
+    import veilwork.plans.mask as M
+    words = lexicon(spark, SF).filter("category = 'person'").select(F.col("word").alias("text"))
+    def run():
+        return rows(mask_units(ledger(spark, SF), MaskConfig(), lexicon(spark, SF), allowed=words).masked.select("unit_ord", "masked_text"))
+    a = run()
+    monkeypatch.setattr(M, "INLINE_CONFIRMED", 0)
+    assert run() == a
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 40])
 def test_name_conflicts_match_a_walk(spark, limit):
     rng = random.Random(5)

@@ -262,14 +262,16 @@ def run_stats(rows: DataFrame, verdicts: DataFrame, scored: DataFrame, proposals
     seen = rows.agg(F.count(F.lit(1)).alias("items_seen"))
     judged = verdicts.agg(F.count(F.lit(1)).alias("items_adjudicated"))
     applied = rows.join(verdicts.select("text", "source", "text_type", "action"), ["text", "source", "text_type"]).agg(
-        F.count_if(F.col("action") == "drop").alias("dropped"), F.count_if(F.col("action") == "adjust").alias("adjusted"))
+        F.count_if(F.col("action") == "drop").alias("dropped"), F.count_if(F.col("action") == "adjust").alias("adjusted"),
+        F.count(F.lit(1)).alias("_reviewed"))
     calls = scored.agg(F.count("response").alias("calls"), F.count("error").alias("errors"),
                        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("batch"))).alias("first_error"))
     found = proposals.agg(F.count(F.lit(1)).alias("detected"))
     out = seen.withColumn("_one", F.lit(1))
     for part in (judged, applied, calls, found):  # five one-row tables side by side
         out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    cached = F.greatest(F.col("items_seen") - F.col("items_adjudicated"), F.lit(0)).alias("cache_hits")
+    # Every further detection with a verdict was answered by the first one's call.
+    cached = (F.col("_reviewed") - F.col("items_adjudicated")).alias("cache_hits")
     return out.select("calls", cached, "items_seen", "items_adjudicated", "adjusted", "dropped", "detected", "errors",
                       F.coalesce("first_error", F.lit("")).alias("first_error"))
 

@@ -57,12 +57,13 @@ def number_rows(df: DataFrame, group: str, order: Sequence[str], out: str = "k",
     parts = max(2, rows // limit * 4)
     ranged = stage(df.repartitionByRange(int(parts), F.col(group), *by).withColumn("_pid", F.spark_partition_id()))
     before = (ranged.groupBy(group, "_pid").count()
-              .withColumn("_off", F.coalesce(F.sum("count").over(
-                  W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-              .select(group, "_pid", "_off"))  # one row per (range, group): a few thousand at most
+              .withColumn("_off", F.sum("count").over(
+                  W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)))
+              .filter("_off > 0").select(group, "_pid", "_off"))
+    # Only the first group of a range can have rows in earlier ranges: one row per range at most.
     local = ranged.withColumn(out, F.row_number().over(W.partitionBy(group, "_pid").orderBy(*by)))
-    return (local.join(F.broadcast(before), [group, "_pid"])
-            .withColumn(out, (F.col(out) + F.col("_off"))).drop("_pid", "_off"))
+    return (local.join(F.broadcast(before), [group, "_pid"], "left")
+            .withColumn(out, F.col(out) + F.coalesce("_off", F.lit(0))).drop("_pid", "_off"))
 
 
 def gap_table(reserved: DataFrame) -> DataFrame:
@@ -73,8 +74,7 @@ def gap_table(reserved: DataFrame) -> DataFrame:
     and collapse to one row, so a corpus masked before yields a handful of rows.
     """
     ranked = number_rows(stage(reserved), "type", ["number"], "i")
-    runs = ranked.groupBy("type", (F.col("number") - F.col("i") + 1).alias("t")).count()
-    return runs.select("type", "t", F.sum("count").over(W.partitionBy("type").orderBy("t")).alias("below"))
+    return ranked.groupBy("type", (F.col("number") - F.col("i") + 1).alias("t")).agg(F.max("i").cast("long").alias("below"))
 
 
 def skip_reserved(numbered: DataFrame, reserved: DataFrame | None, k: str = "k", out: str = "number") -> DataFrame:
@@ -88,14 +88,16 @@ def skip_reserved(numbered: DataFrame, reserved: DataFrame | None, k: str = "k",
         passed = F.filter("gaps", lambda g: g["t"] <= F.col(k))
         skipped = F.when(F.size(passed) > 0, F.element_at(passed, -1)["below"]).otherwise(0)
         return joined.withColumn(out, (F.col(k) + F.coalesce(skipped, F.lit(0))).cast("long")).drop("gaps")
-    # Many gaps: merge both sequences per type and carry the last passed gap forward.
-    marks = gaps.select("type", F.col("t").cast("long").alias("_at"), "below")
-    merged = (numbered.withColumn("_at", F.col(k).cast("long")).withColumn("below", F.lit(None).cast("long"))
-              .unionByName(marks, allowMissingColumns=True))
-    carry = F.last("below", ignorenulls=True).over(
-        W.partitionBy("type").orderBy("_at", F.col(k).isNotNull()).rowsBetween(W.unboundedPreceding, 0))
-    return (merged.withColumn(out, (F.col(k) + F.coalesce(carry, F.lit(0))).cast("long"))
-            .filter(F.col(k).isNotNull()).drop("_at", "below"))
+    # Many gaps: sort both sequences into one. A row's place less its own rank k is the number of
+    # gaps it has passed, which leads to the gap's row by an equi join.
+    indexed = number_rows(gaps, "type", ["t"], "_passed").select("type", "t", "_passed", "below")
+    both = (numbered.select("type", F.col(k).cast("long").alias("_at"), F.lit(1).alias("_row"))
+            .unionByName(indexed.select("type", F.col("t").cast("long").alias("_at"), F.lit(0).alias("_row"))))
+    placed = number_rows(stage(both), "type", ["_at", "_row"], "_p").filter("_row = 1")
+    passed = placed.select("type", F.col("_at"), (F.col("_p") - F.col("_at")).alias("_passed"))
+    found = passed.join(indexed.select("type", "_passed", "below"), ["type", "_passed"], "left").select("type", "_at", "below")
+    return (numbered.withColumn("_at", F.col(k).cast("long")).join(found, ["type", "_at"])
+            .withColumn(out, (F.col(k) + F.coalesce("below", F.lit(0))).cast("long")).drop("_at", "below"))
 
 
 def first_uses(spans: DataFrame) -> DataFrame:

@@ -221,13 +221,14 @@ def c11_roles(spark, sf):
 
 @query("c12_stats", O.with_(*LEDGER_DET, CAND, NUMBERED, VERDICTS) + """SELECT (SELECT count(DISTINCT batch) FROM numbered) AS calls, (SELECT count(*) FROM det) AS items_seen,
   (SELECT count(*) FROM verdicts) AS items_adjudicated, (SELECT count(*) FROM det d JOIN verdicts v USING (text, source, text_type) WHERE v.action = 'adjust') AS adjusted,
-  (SELECT count(*) FROM det d JOIN verdicts v USING (text, source, text_type) WHERE v.action = 'drop') AS dropped, CAST(0 AS BIGINT) AS detected, CAST(0 AS BIGINT) AS errors, '' AS first_error""")
+  (SELECT count(*) FROM det d JOIN verdicts v USING (text, source, text_type) WHERE v.action = 'drop') AS dropped,
+  (SELECT count(*) FROM det d JOIN verdicts v USING (text, source, text_type)) - (SELECT count(*) FROM verdicts) AS cache_hits, CAST(0 AS BIGINT) AS detected, CAST(0 AS BIGINT) AS errors, '' AS first_error""")
 def c12_stats(spark, sf):
     nums, answers = scored(spark, sf)
     answers = stage(answers)
     good = AS.validate_verdicts(answers.select("batch", AS.parse_response("response").alias("json")), nums)
     none = spark.createDataFrame([], "text string")
-    return AS.run_stats(ledger_rows(spark, sf), good, answers, none).drop("cache_hits")
+    return AS.run_stats(ledger_rows(spark, sf), good, answers, none)
 
 
 @query("c13_acceptance", """SELECT count(*) FILTER (o_orderkey % 3 = 0) AS ai_detected, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS ai_detected_accepted,

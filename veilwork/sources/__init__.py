@@ -1 +1 @@
-
+"""Tables, files and packages as inputs, and tables as outputs."""
