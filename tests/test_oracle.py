@@ -11,10 +11,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("a2_scan_docx", "a3_scan_xlsx", "a11_read_mapping", "b1_dictionary_ngram", "b8_email", "b10_card", "b13_dedup_channels", "b21_numeric_rules",
-         "b24_path_filter", "b31_rich_text", "c7_apply_verdicts", "c8_chunks", "c9_accept_proposals", "d6_dropped", "d7_reserved_tokens", "d11_aliases",
-         "d13_replacements", "d17_mask_documents", "d17_mask_confirmed", "e1_unmask", "e9_candidates", "e10_restored_name", "f5_conflicts", "f9_diff_tree",
-         "g5_learn", "g6_evaluate", "h13_kwic_locate", "j1_stream_stateless", "j2_stream_reversible")
+NAMES = ("a2_scan_docx", "a3_scan_xlsx", "a11_read_mapping", "b1_dictionary_ngram", "b8_email", "b10_card", "b13_dedup_channels", "b24_path_filter",
+         "b31_rich_text", "c5_validate", "c8_chunks", "c9_accept_proposals", "d6_dropped", "d7_reserved_tokens", "d13_replacements", "d17_mask_documents",
+         "e1_unmask", "f5_conflicts", "f9_diff_tree", "g6_evaluate", "h13_kwic_locate", "j1_stream_stateless")
 
 
 @pytest.fixture(scope="module")

@@ -200,7 +200,12 @@ def plan_tree(listing: DataFrame, cfg: MaskConfig, lexicon: DataFrame | None = N
     found = stage(detect_names(names, cfg, lexicon).filter(F.col("status").isin(*cfg.statuses)))
     tokens = None if cfg.irreversible else name_tokens(entries, found, known)
     renamed = mask_names(names, found, tokens, cfg.irreversible)
-    changed = (entries.join(renamed, ["kind", "name"]).filter(F.col("new_name") != F.col("name"))
+    # A name may recur in very many folders, so its rows are not sent to one task.
+    recurring = entries.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("uses"))
+    dim = stage(renamed.join(recurring, ["kind", "name"]).select(
+        F.concat_ws("/", "kind", "name").alias("file"), "new_name", "categories", "tokens_used", "uses"))
+    keyed = entries.withColumn("file", F.concat_ws("/", "kind", "name"))
+    changed = (lookup_join(keyed, dim, "file", "uses", dim.count()).drop("file").filter(F.col("new_name") != F.col("name"))
                .withColumn("kind_rank", F.when(F.col("kind") == "dir", 0).otherwise(1)).withColumnRenamed("new_name", "desired"))
     final = stage(resolve_name_conflicts(changed, entries.select("parent", "name"), ["kind_rank", "name"]))
 
@@ -253,7 +258,9 @@ def expected_paths(actual: DataFrame, paths: DataFrame) -> DataFrame:
     steps = (actual.select("rel", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("i"))
              .withColumn("rel_new", F.array_join(F.slice(F.split("rel", "/"), F.lit(1), F.col("i")), "/")))
     active = paths.filter(F.col("status").isin("renamed", "conflict_suffixed")).select("rel_new", "rel_old")
-    best = (steps.join(active, "rel_new").groupBy("rel").agg(F.max(F.struct("i", "rel_new", "rel_old")).alias("m"))
+    uses = steps.groupBy("rel_new").agg(F.count(F.lit(1)).alias("uses"))
+    dim = stage(active.groupBy("rel_new").agg(F.min("rel_old").alias("rel_old")).join(uses, "rel_new"))
+    best = (lookup_join(steps, dim, "rel_new", "uses", dim.count()).groupBy("rel").agg(F.max(F.struct("i", "rel_new", "rel_old")).alias("m"))
             .select("rel", F.col("m.rel_new").alias("rel_new"), F.col("m.rel_old").alias("rel_old")))
     tail = F.substring(F.col("rel"), F.length("rel_new") + 1, F.length("rel"))
     return (actual.select("rel").distinct().join(best, "rel", "left")

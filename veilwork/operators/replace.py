@@ -12,6 +12,7 @@ from veilwork.functions.spans import locate, rebuild, resolve
 from veilwork.functions.text import fingerprint, fuzzy_amount
 from veilwork.operators.policy import status
 from veilwork.schema import UNIT_KEY
+from veilwork.session import lookup_join
 
 FIXED_MASK = "***"
 
@@ -63,14 +64,18 @@ def token_spans(resolved: DataFrame, cfg: MaskConfig) -> DataFrame:
 
 
 def build_replacements(resolved: DataFrame, allocation: DataFrame, cfg: MaskConfig) -> DataFrame:
-    """One row per kept span with its new text (left join: only some spans carry a token)."""
-    rows = resolved.select(*UNIT_KEY, F.explode("kept").alias("s"))
-    span = F.col("s")
+    """One row per kept span with its new text. `allocation` has (original, token, uses)."""
+    cols = [*UNIT_KEY, "start", "end", "text", "type", "source", "confidence", "token", "new_text"]
+    rows = (resolved.select(*UNIT_KEY, F.explode_outer("kept").alias("s")).filter("s is not null").select(*UNIT_KEY, "s.*"))
+    span = F.struct("text", "type")
+    minted = rows.filter(needs_token(span, cfg)).withColumn("original", F.col("text"))
+    dim = allocation.select("original", "token", "uses")
+    tokens = lookup_join(minted, dim, "original", "uses", dim.count()).withColumn("new_text", F.col("token")).select(*cols)
     plain = plain_replacement(span, cfg)
-    token = F.when(needs_token(span, cfg), F.col("token"))
-    joined = rows.join(allocation.select(F.col("original").alias("_o"), "token"), F.col("s.text") == F.col("_o"), "left")
-    return joined.select(*UNIT_KEY, "s.*", token.alias("token"),
-                         (token if plain is None else F.coalesce(plain, token)).alias("new_text"))
+    if plain is None:
+        return tokens
+    rest = (rows.filter(~needs_token(span, cfg)).withColumn("token", F.lit(None).cast("string")).withColumn("new_text", plain))
+    return tokens.unionByName(rest.select(*cols))
 
 
 def apply_plain(detected: DataFrame, cfg: MaskConfig) -> DataFrame:
