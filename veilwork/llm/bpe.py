@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -144,18 +143,6 @@ class Bpe:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ready: dict[bytes, Bpe] = {}
-
-
-def ready(file: bytes) -> Bpe:
-    """The vocabulary of `file`; a Python worker keeps the last one, with the words it knows, for its next tasks."""
-    key = hashlib.sha256(file).digest()
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Bpe(file)
-    return _ready[key]
-
-
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of runs of whole texts with about CHUNK_CHARS characters."""
     start = size = 0
@@ -175,7 +162,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        bpe = ready(file.value)
+        bpe = Bpe(file.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in chunks(texts):
@@ -193,7 +180,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         file = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        bpe = ready(file.value)
+        bpe = Bpe(file.value)
         for batch in batches:
             ids = batch.column("ids")
             for a in range(0, len(ids), 256):
