@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_dedup, langid, lm, packing, pii, quality, rules, urls
+from veilwork.llm import bpe, exact_dedup, jaccard, langid, lm, packing, pii, quality, rules, urls
 from veilwork.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
