@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 CACHE_WORDS = 800_000  # words a task remembers before it starts afresh: memory, not results
 CHUNK_CHARS = 2_000_000  # characters of whole documents that are handled together
-BEFORE_ALL, NEVER = -1, 1 << 60
+BEFORE_ALL, NEVER, LARGE = -1, 1 << 60, 1 << 32
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,14 +46,18 @@ class Bpe:
             if len(b) == 1:
                 self.made[i] = BEFORE_ALL
         self.longest = max(map(len, self.ids))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
+        self.ends = {b[i:] for b in self.ids for i in range(len(b))}
+        self.fits: dict[int, bool] = {}  # by last token of what precedes (-1: nothing) times LARGE, plus token
         self.whole: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(WORDS).findall
         self.special_bytes = {i: t.encode() for t, i in self.special.items()}
         table = self.bytes_of | self.special_bytes
-        self.table = [table.get(i, b"") for i in range(max(table) + 1)]
+        listed = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.lengths = np.array([len(x) for x in listed])
+        self.starts, self.pool = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(listed), "u1")
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens `a`, `b` can stand side by side: no merge across their border was due before they were complete.
@@ -95,30 +100,36 @@ class Bpe:
     def learn(self, words: set[str]) -> None:
         """Encode distinct words. In sorted order a word shares its longest known prefix with the one before it, so going
         through them is a depth-first walk of their trie; the stack holds the last token of each prefix's encoding."""
-        last, before, ids, fits, longest = [0], b"", self.ids, self.fits, self.longest
-        for word, data in sorted(((w, w.encode()) for w in words), key=lambda x: x[1]):
+        last, before = [0], b""
+        ids, fits, ends, size, longest = self.ids.get, self.fits, self.ends, self.size, self.longest
+        for word, data in sorted([(w, w.encode()) for w in words], key=itemgetter(1)):
             depth, most = 0, min(len(before), len(data))
             while depth < most and before[depth] == data[depth]:
                 depth += 1
             del last[depth + 1:]
             for end in range(depth + 1, len(data) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(data[start:end])
-                    if token is None:
-                        continue
-                    if start:
-                        pair = (last[start], token)
-                        if pair not in fits:
-                            fits[pair] = self.stands(token) and self.compatible(*pair)
-                        if fits[pair]:
+                # Only one token can be the last one, so the order of the trials is free: from the shortest up, until no token ends so.
+                fit = False
+                for start in range(end - 1, max(-1, end - longest - 1), -1):
+                    tail = data[start:end]
+                    token = ids(tail)
+                    if token is not None:
+                        pair = (last[start] if start else -1) * LARGE + token
+                        fit = fits.get(pair)
+                        if fit is None:
+                            fit = fits[pair] = self.stands(token) and (not start or self.compatible(last[start], token))
+                        if fit:
                             break
-                    elif self.stands(token):
+                    elif tail not in ends:
                         break
+                if not fit:
+                    raise ValueError("the vocabulary lacks a byte")
                 last.append(token)
             at, out = len(data), []
             while at:
-                out.append(last[at])
-                at -= len(self.bytes_of[last[at]])
+                token = last[at]
+                out.append(token)
+                at -= size[token]
             self.words[word] = tuple(out[::-1])
             before = data
 
@@ -139,8 +150,13 @@ class Bpe:
         known = self.words.__getitem__
         return [np.fromiter(chain.from_iterable(map(known, w)), "int32") for w in split]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, one after the other."""
+        lengths = self.lengths[ids]
+        total = np.cumsum(lengths)
+        if not len(total):
+            return b""
+        return self.pool[np.repeat(self.starts[ids] - (total - lengths), lengths) + np.arange(total[-1])].tobytes()
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -185,7 +201,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = batch.column("ids")
             for a in range(0, len(ids), 256):
                 part = batch.slice(a, 256)
-                texts = [None if x is None else bpe.decode(x) for x in part.column("ids").to_pylist()]
+                texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False)).decode("utf-8", "replace") if x.is_valid else None for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
