@@ -10,39 +10,38 @@ SEED = 20_240_229
 class WordHasher:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a text, A-Z lower-cased.
 
-    A word's hash is a polynomial in its bytes with random coefficients per byte value, then mixed. One object per
-    task: its tables follow from a fixed seed, so all tasks agree.
+    A word is taken eight bytes at a time: each piece is mixed into the hash of those before it, starting from the word's
+    length. One object per task; its tables are fixed, so all tasks agree.
     """
 
     def __init__(self):
-        rng = np.random.default_rng(SEED)
-        self.coefficient = rng.integers(1, 1 << 63, 256, dtype="uint64") * np.uint64(2) + np.uint64(1)
-        upper = np.arange(65, 91)
-        self.coefficient[upper] = self.coefficient[upper + 32]
+        self.lower = np.arange(256, dtype="u1")
+        self.lower[65:91] += 32
         self.space = np.zeros(256, bool)
         self.space[[32, 9, 10, 11, 12, 13]] = True
-        self.base = rng.integers(1, 1 << 63, dtype="uint64") * np.uint64(2) + np.uint64(1)
-        self.power = np.ones(1, "uint64")
-        self._reach(256)
-
-    def _reach(self, n: int) -> None:
-        if len(self.power) < n:
-            with np.errstate(over="ignore"):
-                self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n - 1, self.base)]), dtype="uint64")
+        self.mask = np.array([(1 << 8 * i) - 1 for i in range(9)], "uint64")
 
     def words(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
-        inside = ~self.space[data]
-        steps = np.diff(np.concatenate([[False], inside, [False]]).astype("i1"))
-        sizes = np.flatnonzero(steps < 0) - np.flatnonzero(steps > 0)
+        data = text.encode("utf-8", "surrogatepass")
+        raw = np.frombuffer(data, "u1")
+        edges = np.flatnonzero(np.diff(self.space[raw], prepend=True, append=True))
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
         if not len(sizes):
             return np.empty(0, "uint64")
-        self._reach(int(sizes.max()))
-        starts = np.cumsum(sizes) - sizes
-        letters = data[inside]
-        place = np.arange(len(letters)) - np.repeat(starts, sizes)
-        with np.errstate(over="ignore"):
-            return mix(np.add.reduceat(self.coefficient[letters] * self.power[place], starts) + sizes.astype("uint64"))
+        eight = np.ndarray(len(raw), "<u8", np.concatenate([self.lower[raw], np.zeros(8, "u1")]), strides=(1,))
+        out = mix(sizes.astype("uint64") + np.uint64(SEED))
+        at, left, which = starts, sizes, None
+        while True:
+            new = mix((out if which is None else out[which]) ^ (eight[at] & self.mask[np.minimum(left, 8)]))
+            if which is None:
+                out, which = new, np.flatnonzero(left > 8)
+                at, left = at[which] + 8, left[which] - 8
+            else:
+                out[which] = new
+                more = left > 8
+                at, left, which = at[more] + 8, left[more] - 8, which[more]
+            if not len(which):
+                return out
 
     def shingles(self, text: str, width: int) -> np.ndarray:
         """The set of a text's shingles, sorted: hashes of `width` words in a row; all words if there are fewer; empty without words."""

@@ -17,6 +17,8 @@ SMALL = 32  # sets below this size are compared by single n-grams, not by segmen
 COMMON_LOCAL, COMMON_USES, COMMON_SHARE = 8, 200, 1 << 18
 # An n-gram is common if documents that hold it, summed over batches with COMMON_LOCAL of them at least, number COMMON_USES and one
 # COMMON_SHARE-th of all n-grams. So at most COMMON_SHARE n-grams are common: 2 MB. Which ones are decides the order, never the result.
+SALTS = 64
+SKETCH = 2048  # bits of the parity sketch of a set
 MAP_BITS = 1 << 25  # bits of the map of needed documents: 4 MB, whatever their number
 
 
@@ -28,8 +30,15 @@ def _identity(grams: np.ndarray, seed: int) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the number of n-grams that fall on each of SKETCH bits. Sketches of two sets differ in no more bits than the sets do
+    in n-grams, since what both hold cancels out."""
+    odd = np.bincount((mix(grams ^ np.uint64(0x0DD)) & np.uint64(SKETCH - 1)).astype("int64"), minlength=SKETCH) & 1
+    return np.packbits(odd.astype("u1")).view("int64")
+
+
 def profile(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows with key1: doc_id, n_shingles and the identity (id, check) of the set of each row of `docs`; empty sets have no id. Rows
+    """Rows with key1: doc_id, n_shingles and the identity (id, check) and sketch of the set of each row of `docs`; empty sets have no id. Rows
     with `gram`: n-grams that COMMON_LOCAL different sets of a batch hold, and how many do."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -40,21 +49,21 @@ def profile(docs: DataFrame, seed: int) -> DataFrame:
             for text in batch.column("text"):
                 grams = hasher.shingles(text.as_py() or "", WIDTH)
                 a, b = _identity(grams, seed) if len(grams) else (None, None)
-                rows.append((len(grams), a, b))
+                rows.append((len(grams), a, b, sketch(grams) if len(grams) else None))
                 if len(grams):
                     sets[a] = grams
             gram, uses = np.unique(np.concatenate(list(sets.values())), return_counts=True) if sets else (np.empty(0, "uint64"), np.empty(0, "int64"))
             gram, uses = as_long(gram)[uses >= COMMON_LOCAL], uses[uses >= COMMON_LOCAL]
-            ids = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            ids = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
             none = [pa.nulls(len(rows), pa.int64())] * 2
-            names = ["doc_id", "key1", "key2", "n_shingles", "id", "check", "gram", "uses"]
+            names = ["doc_id", "key1", "key2", "n_shingles", "id", "check", "sketch", "gram", "uses"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *ids, *none], names)
             if len(gram):
                 doc_ids = pa.nulls(len(gram), batch.schema.field("doc_id").type)
-                yield pa.RecordBatch.from_arrays([doc_ids, *[pa.nulls(len(gram), pa.int64())] * 5, pa.array(gram), pa.array(uses)], names)
+                yield pa.RecordBatch.from_arrays([doc_ids, *[pa.nulls(len(gram), pa.int64())] * 5, pa.nulls(len(gram), pa.list_(pa.int64())), pa.array(gram), pa.array(uses)], names)
 
     return docs.select("doc_id", "text", *row_keys("doc_id", "text")).mapInArrow(
-        run, f"doc_id {kind}, key1 long, key2 long, n_shingles long, id long, check long, gram long, uses long")
+        run, f"doc_id {kind}, key1 long, key2 long, n_shingles long, id long, check long, sketch array<long>, gram long, uses long")
 
 
 def common_grams(found: DataFrame) -> np.ndarray:
@@ -136,13 +145,15 @@ def postings(docs: DataFrame, common: np.ndarray, seed: int) -> DataFrame:
 
 def shared_postings(found: DataFrame) -> DataFrame:
     """The rows of `found` whose signature two different sets have. The lists of rare signatures are short, as common n-grams
-    are not among them, and go through a window; those of common n-grams are combined first and joined back."""
-    w = Window.partitionBy("signature")
-    rare = (found.filter("not common").select("signature", "id", "n", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"))
-            .filter("a < b").select("signature", "id", "n"))
-    often = found.filter("common").select("signature", "id", "n").distinct()
+    are not among them, and a window sees them whole; the few of common n-grams pass it in SALTS parts, then are counted by a join."""
+    w = Window.partitionBy("signature", "salt")
+    salt = F.when(F.col("common"), F.pmod("id", F.lit(SALTS))).otherwise(F.lit(-1))
+    seen = (found.withColumn("salt", salt).select("signature", "common", "id", "n", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"))
+            .filter("common or a < b").select("signature", "common", "id", "n"))
+    seen = staged(seen.distinct(), "jaccard-postings")
+    often = seen.filter("common")
     lists = often.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("signature")
-    return rare.unionByName(often.join(lists, "signature"))
+    return seen.filter("not common").unionByName(often.join(lists, "signature")).select("signature", "id", "n")
 
 
 def segments(docs: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
@@ -182,13 +193,22 @@ def segments(docs: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
     return found.join(needed, ["id", "key1"], "left_semi").dropDuplicates(["id", "fragment"]).select("id", "fragment", "grams")
 
 
+def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that may link by their sizes and `sketches` (id, sketch): linking sets differ in a ninth of the sum of
+    their sizes at most, so pairs whose sketches differ in more bits are out. Only sketches move, 256 bytes a set."""
+    fit = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("of_a"))
+    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("of_b"))
+    odd = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (pairs.filter(fit).join(one, "a").join(two, "b").filter((100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
+            .select("a", "b", "n_a", "n_b"))
+
+
 def links_among(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that link. Each fragment's overlap is counted by itself; the counts are summed per pair."""
-    fit = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    wide = pairs.filter(fit).select("a", "b", "n_a", "n_b")
     left = parts.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("of_a"))
     right = parts.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("of_b"))
-    counts = (wide.join(left, "a").join(right, ["b", "fragment"])
+    counts = (pairs.join(left, "a").join(right, ["b", "fragment"])
               .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("both")))
     same = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     return same.filter(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
@@ -236,10 +256,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
             break
         seed += 1
     rows = found.filter("key1 is not null")
-    shared = staged(shared_postings(postings(docs, common_grams(found), seed)).distinct(), "jaccard-postings")
-    first = rows.filter("id is not null").groupBy("id").agg(F.min("key1").alias("key1"))
-    needed = staged(first.join(shared.select("id").distinct(), "id", "left_semi"), "jaccard-needed")
-    parts = staged(segments(docs, needed, seed), "jaccard-segments")
+    shared = shared_postings(postings(docs, common_grams(found), seed))
+    first = rows.filter("id is not null").join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("key1").alias("key1"), F.min("sketch").alias("sketch"))
+    nodes = staged(first, "jaccard-nodes")
     labels, links, done = None, None, None
     for turn in range(STARS + 1):
         lists = shared if labels is None else shared.join(labels, "id", "left")
@@ -259,7 +278,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = staged(pairs, "jaccard-pairs")
-        new = staged(links_among(pairs, parts), "jaccard-links")
+        near = staged(close(pairs, nodes.select("id", "sketch")), "jaccard-close")
+        wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+        needed = staged(nodes.select("id", "key1").join(wanted, "id", "left_semi"), "jaccard-needed")
+        new = staged(links_among(near, staged(segments(docs, needed, seed), "jaccard-segments")), "jaccard-links")
         links = new if links is None else links.unionByName(new)
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         labels = components(links)
