@@ -16,25 +16,34 @@ HIDDEN, CLASSES, MEMBERS = 16, 32, 32  # the network knows CLASSES x MEMBERS wor
 SHORT = CLASSES * MEMBERS
 WINDOW, BATCH, SEGMENT = 32, 128, 64  # steps of truncated backpropagation, documents side by side, tokens a training document gives a round
 ROUNDS, RATE = 3, 0.01
-TOGETHER = 1500  # documents scored side by side
-GONE = np.float32(-1e9)
+TOGETHER = 16_384  # documents scored side by side, so that few steps go to the last long ones alone
+OUTPUT_ROWS = 65_536  # states whose outputs are computed at once
+SLOTS = (1 << 20) - 1
+GONE, HALF = np.float32(-1e9), np.float32(0.5)
 
 
 def tokens(hasher: WordHasher, text: str | None) -> np.ndarray:
     return np.append(as_long(hasher.words(text or "")), END)
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """word (hash), count over the whole texts of `training`. Each batch sends its distinct words, so what is gathered grows with the corpus."""
+def gather(training: DataFrame) -> DataFrame:
+    """One scan of the whole texts of `training` (text, key1): rows of word (hash) and count for the distinct words of each batch, so what
+    is gathered grows with the corpus; and rows of segment: SEGMENT words of each document, at a place its key picks, after the word before."""
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             found = [tokens(hasher, t.as_py()) for t in batch.column("text")]
             if found:
                 word, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count)], ["word", "count"])
+                cut = []
+                for x, key in zip(found, batch.column("key1").to_pylist(), strict=True):
+                    start = key % max(1, len(x) + 1 - SEGMENT)
+                    cut.append(np.append(END, x[:SEGMENT]) if start == 0 else x[start - 1:start + SEGMENT])
+                none = pa.nulls(len(word), pa.list_(pa.int64())), pa.nulls(len(cut), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count), none[0]], ["word", "count", "segment"])
+                yield pa.RecordBatch.from_arrays([none[1], none[1], pa.array(cut, pa.list_(pa.int64()))], ["word", "count", "segment"])
 
-    return training.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return training.select("text", "key1").mapInArrow(run, "word long, count long, segment array<long>")
 
 
 def frequent(counts: DataFrame, most: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +94,7 @@ class Network:
 
     def step(self, ids: np.ndarray, h: np.ndarray):
         a, u, n = self.w["x"][ids], h @ self.w["u"], HIDDEN
-        g = 1 / (1 + np.exp(-(a[:, :2 * n] + u[:, :2 * n])))
+        g = np.tanh((a[:, :2 * n] + u[:, :2 * n]) * HALF) * HALF + HALF  # the logistic function
         z, r = g[:, :n], g[:, n:]
         new = np.tanh(a[:, 2 * n:] + r * u[:, 2 * n:])
         return new + z * (h - new), (ids, h, z, r, new, u[:, 2 * n:])
@@ -104,6 +113,7 @@ class Network:
             d[rows, k] -= 1
             grad = {"c": h.T @ d, "cb": d.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
             dh = d @ w["c"].T
+        k = k.astype("int16")
         order = np.argsort(k, kind="stable")
         bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
         for j in range(CLASSES):
@@ -168,7 +178,9 @@ class Network:
                 states[:now, t] = h[:now]
                 last[:now] = block[:now, t]
             rows, steps = np.nonzero(block >= 0)
-            total[:live] += np.bincount(rows, self.output(states[rows, steps], block[rows, steps]), live)
+            for a in range(0, len(rows), OUTPUT_ROWS):
+                r, t = rows[a:a + OUTPUT_ROWS], steps[a:a + OUTPUT_ROWS]
+                total[:live] += np.bincount(r, self.output(states[r, t], block[r, t]), live)
             inputs = last
         out = np.empty(len(order))
         out[order] = total / np.log(10)
@@ -209,39 +221,35 @@ class Words:
         self.ids = np.full(len(words), SHORT)
         self.ids[by_count] = np.arange(len(by_count))
         self.short_counts = counts[by_count]
+        # A table of places by the low bits of the hash finds most words at once; `crowded` slots need the search.
+        slots = words & SLOTS
+        self.table, uses = np.full(SLOTS + 1, -1, "int32"), np.bincount(slots, minlength=SLOTS + 1)
+        self.table[slots], self.crowded = np.arange(len(words), dtype="int32"), uses > 1
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's id, and its place among the frequent words or -1."""
         if not len(self.words):
             return np.full(len(hashes), SHORT), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        at = np.where(self.words[at] == hashes, at, -1)
+        slots = hashes & SLOTS
+        at = self.table[slots]
+        at = np.where((at >= 0) & (self.words[at] == hashes), at, -1)
+        look = np.flatnonzero((at < 0) & self.crowded[slots])
+        found = np.minimum(np.searchsorted(self.words, hashes[look]), len(self.words) - 1)
+        at[look] = np.where(self.words[found] == hashes[look], found, -1)
         return np.where(at >= 0, self.ids[at], SHORT), at
 
 
-def fit_network(training: DataFrame, words: Words, total: int, rounds: int = ROUNDS) -> Network:
-    """Every training document gives a segment of SEGMENT tokens, at a place that its hash picks. Each task trains its own copy on its
-    segments; the copies are averaged in Spark, by their tokens, and the next round goes on from there."""
-    shared = training.sparkSession.sparkContext.broadcast((words.words, words.counts))
-
-    def cut(batches):
-        hasher, known = WordHasher(), Words(*shared.value)
-        for batch in batches:
-            rows = []
-            for text, key in zip(batch.column("text"), batch.column("key1").to_pylist(), strict=True):
-                ids, _ = known.find(tokens(hasher, text.as_py()))
-                ids = np.concatenate([[0], ids])
-                start = key % max(1, len(ids) - SEGMENT)
-                rows.append(ids[start:start + SEGMENT + 1].astype("int16"))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int16()))], ["ids"])
-
-    cuts = staged(training.select("text", row_keys("doc_id", "text")[0]).mapInArrow(cut, "ids array<short>"), "lm-segments")
+def fit_network(cuts: DataFrame, words: Words, total: int, rounds: int = ROUNDS) -> Network:
+    """A network from `cuts` (segment), one of each training document. Each task trains its own copy on its segments; the copies are
+    averaged in Spark, by their tokens, and the next round goes on from there."""
+    shared = cuts.sparkSession.sparkContext.broadcast((words.words, words.counts))
     network = Network.start(words.short_counts, total)
     for _ in range(rounds):
-        now = training.sparkSession.sparkContext.broadcast(network.w)
+        now = cuts.sparkSession.sparkContext.broadcast(network.w)
 
         def train(batches, now=now):
-            rows = [x.values.to_numpy(zero_copy_only=False) for batch in batches for x in batch.column("ids")]
+            known = Words(*shared.value)
+            rows = [known.find(x.values.to_numpy(zero_copy_only=False))[0] for batch in batches for x in batch.column("segment")]
             if not rows:
                 return
             segments = np.full((len(rows), SEGMENT + 1), -1)
@@ -271,10 +279,11 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) ->
     """
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"), *row_keys("doc_id", "text"))
     training = rows.filter("not held_out")
-    counts = staged(count_words(training), "lm-counts")
+    seen = staged(gather(training), "lm-gathered")
+    counts = staged(seen.filter("word is not null").groupBy("word").agg(F.sum("count").alias("count")), "lm-counts")
     sums = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words = Words(*frequent(counts))
-    network = fit_network(training, words, sums["n"], rounds)
+    network = fit_network(seen.filter("segment is not null").select("segment"), words, sums["n"], rounds)
     shared = docs.sparkSession.sparkContext.broadcast((words.words, words.counts, network.w))
 
     def run(batches):
