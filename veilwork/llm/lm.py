@@ -145,7 +145,7 @@ class Network:
         dflat = np.zeros_like(flat)
         loss, dflat[real], grad = self.output(flat[real], want[real], learn=True)
         douts = dflat.reshape(*ids.shape, HIDDEN)
-        grad["x"], grad["u"] = np.zeros_like(self.w["x"]), np.zeros_like(self.w["u"])
+        grad["x"], grad["u"], inner = np.zeros_like(self.w["x"]), np.zeros_like(self.w["u"]), []
         dh = np.zeros_like(h)
         for t in range(ids.shape[1] - 1, -1, -1):
             at, before, z, r, new, u = memory[t]
@@ -154,8 +154,12 @@ class Network:
             dz, dr = dh * (before - new) * z * (1 - z), da * u * r * (1 - r)
             du = np.concatenate([dz, dr, da * r], 1)
             grad["u"] += before.T @ du
-            np.add.at(grad["x"], at, np.concatenate([dz, dr, da], 1))
+            inner.append(np.concatenate([dz, dr, da], 1))
             dh = dh * z + du @ self.w["u"].T
+        words = np.concatenate([m[0] for m in memory[::-1]])
+        order = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.diff(words[order], prepend=-1))
+        grad["x"][words[order][first]] = np.add.reduceat(np.concatenate(inner)[order], first)
         return grad, h, float(loss.sum()), len(real)
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
