@@ -14,9 +14,9 @@ WIDTH = 5  # words of an n-gram
 PERCENT = 80  # two documents link when 100 * intersection >= PERCENT * union
 FRAGMENTS = 16  # parts of the global n-gram order in which the overlaps of candidate pairs are counted
 SMALL = 32  # sets below this size are compared by single n-grams, not by segments
-COMMON_LOCAL, COMMON_USES, COMMON_SHARE = 8, 200, 1 << 18
+COMMON_LOCAL, COMMON_USES, COMMON_SHARE = 3, 50, 1 << 21
 # An n-gram is common if documents that hold it, summed over batches with COMMON_LOCAL of them at least, number COMMON_USES and one
-# COMMON_SHARE-th of all n-grams. So at most COMMON_SHARE n-grams are common: 2 MB. Which ones are decides the order, never the result.
+# COMMON_SHARE-th of all n-grams. So at most COMMON_SHARE n-grams are common: 16 MB. Which ones are decides the order, never the result.
 SALTS = 64
 SKETCH = 2048  # bits of the parity sketch of a set
 MAP_BITS = 1 << 25  # bits of the map of needed documents: 4 MB, whatever their number
@@ -233,7 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("id"), "root"))
 
 
-STARS = 2  # rounds in which each signature proposes pairs with one of its sets only
+STARS = 3  # at most so many rounds in which each signature proposes pairs with one of its sets only, each time another one
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     and rows that repeat share a component. A null doc_id links too, but is never the smallest unless all are null.
 
     Signatures propose pairs. First every signature proposes its sets against one of them, so a group of copies gives a
-    star and not all its pairs; what is linked then is left alone, and only sets of one signature that are still in
+    star and not all its pairs, round after round until none links; what is linked then is left alone, and only sets of one signature that are still in
     different components are compared with each other. So no link between components is missed.
     """
     seed = 0
@@ -259,13 +259,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = shared_postings(postings(docs, common_grams(found), seed))
     first = rows.filter("id is not null").join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("key1").alias("key1"), F.min("sketch").alias("sketch"))
     nodes = staged(first, "jaccard-nodes")
-    labels, links, done = None, None, None
-    for turn in range(STARS + 1):
+    labels, links, done, star, turn = None, None, None, True, 0
+    while True:
         lists = shared if labels is None else shared.join(labels, "id", "left")
         lists = lists.select("signature", "id", "n", (F.col("id") if labels is None else F.coalesce("root", "id")).alias("root"))
-        if turn < STARS:
-            pick = F.min if turn == 0 else F.max
-            heads = lists.groupBy("signature").agg(pick(F.struct("root", "id", "n")).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        if star:
+            order = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "id", "n")
+            heads = lists.groupBy("signature").agg(F.min(order).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
             pairs = lists.join(heads, "signature").filter("root <> head.root").select("id", F.col("head.id").alias("other"), "n", F.col("head.n").alias("m"))
         else:
             mixed = lists.groupBy("signature").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("signature")
@@ -284,7 +284,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         new = staged(links_among(near, staged(segments(docs, needed, seed), "jaccard-segments")), "jaccard-links")
         links = new if links is None else links.unionByName(new)
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        labels = components(links)
+        labels, turn = components(links), turn + 1
+        if not star:
+            break
+        star = turn < STARS and not new.isEmpty()  # once stars find no more, what is left is compared in full
     marked = rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = marked.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return marked.join(least, "root", "left").select(
@@ -298,7 +301,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = staged(groups.filter("n_shingles > 0 and not doc_id <=> component_id").select("key1", "key2").distinct(), "jaccard-gone")
     again = groups.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     keys = dict(zip(("_key1", "_key2"), row_keys("doc_id", "text"), strict=True))
-    left = docs.withColumns(keys).join(gone, (F.col("_key1") == F.col("key1")) & (F.col("_key2") == F.col("key2")), "left_anti")
+    left = docs.withColumns(keys).join(gone.withColumnsRenamed({"key1": "_key1", "key2": "_key2"}), ["_key1", "_key2"], "left_anti")
     again = staged(again.select(F.col("component_id").alias("_twice")), "jaccard-again")
     if again.isEmpty():
         return left.select(*docs.columns)
