@@ -180,7 +180,7 @@ def mask(docs: DataFrame) -> DataFrame:
     named by the first. n_chars, if there, follows. Null text stays null."""
     spans = staged(find_personal(docs).filter("size(spans) > 0").groupBy("key1", "key2").agg(F.first("spans").alias("_spans")), "pii-spans")
     rows = (docs.withColumns({"_text": F.coalesce("text", F.lit(""))}).withColumns(dict(zip(("_key1", "_key2"), row_keys("doc_id", "_text"), strict=True)))
-            .join(spans, (F.col("_key1") == F.col("key1")) & (F.col("_key2") == F.col("key2")), "left"))
+            .join(spans.withColumnsRenamed({"key1": "_key1", "key2": "_key2"}), ["_key1", "_key2"], "left"))
     # Running state: text so far, and where the covered part ends.
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct(

@@ -88,7 +88,7 @@ def clean(docs: DataFrame) -> DataFrame:
     verdicts = judge(docs)
     news = staged(verdicts.filter("kept").groupBy("key1", "key2").agg(F.first("removed").alias("_removed")), "rule-verdicts")
     one, two = row_keys("doc_id", "source", "text")
-    rows = docs.withColumns({"_key1": one, "_key2": two}).join(news, (F.col("_key1") == F.col("key1")) & (F.col("_key2") == F.col("key2")))
+    rows = docs.withColumns({"_key1": one, "_key2": two}).join(news.withColumnsRenamed({"key1": "_key1", "key2": "_key2"}), ["_key1", "_key2"])
     lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_removed", line_hash(x)))
     rows = rows.withColumn("_text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     new = {"text": F.col("_text"), "n_chars": F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
