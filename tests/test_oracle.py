@@ -1,6 +1,7 @@
 """A cross-section of the registered queries against their SQL twins, on the smallest tables."""
 
 import os
+import re
 import sys
 
 import duckdb
@@ -33,7 +34,8 @@ def test_query(spark, con, name):
 def test_every_query_has_a_known_check():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"f4_plan_tree"}
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}  # the training-data queries have their own tests
+    assert own - set(entry.oracle_sql()) == {"f4_plan_tree"}
 
 
 def test_flagship(spark):

@@ -74,19 +74,19 @@ def unmask_tokens(units: DataFrame, mapping: DataFrame, text_col: str = "text")
 
 
 def unmask(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
-    """Pick the form by the counted mapping: small or alias-bearing mappings are inlined.
+    """Pick the form by the counted mapping: small ones are inlined, placeholders of larger ones go through the join.
 
-    Alias keys are bounded by the alias pools; placeholders of the same mapping go through the join.
+    Keys of any other shape, aliases and odd brackets alike, are replaced in turn, longest first, whatever the mapping's size.
     """
-    aliases = [(r["token"], r["original"]) for r in
-               mapping.filter(~F.contains(F.col("token"), F.lit("["))).select("token", "original").collect()]
-    tokens = mapping.filter(F.contains(F.col("token"), F.lit("[")))
+    shaped = F.col("token").rlike(f"^(?:{TOKEN})$")
+    aliases = [(r["token"], r["original"]) for r in mapping.filter(~shaped).select("token", "original").collect()]
+    tokens = mapping.filter(shaped)
     if not aliases and tokens.limit(INLINE_KEYS + 1).count() > INLINE_KEYS:
         return unmask_tokens(units, tokens, text_col)
     if tokens.limit(INLINE_KEYS + 1).count() <= INLINE_KEYS:
         pairs = aliases + [(r["token"], r["original"]) for r in tokens.select("token", "original").collect()]
         return unmask_inline(units, pairs, text_col)
-    # Placeholders first: aliases never hold a bracket, so they cannot break one apart.
+    # Placeholders first, so that no other key can break one apart.
     step = unmask_tokens(units, tokens, text_col).withColumnRenamed("hits", "_h").withColumnRenamed("restored", "_t")
     done = unmask_inline(step, aliases, "_t")
     return done.withColumn("hits", F.array_distinct(F.concat("_h", "hits"))).drop("_h", "_t")
