@@ -19,6 +19,8 @@ COMMON_LOCAL, COMMON_USES, COMMON_SHARE = 3, 50, 1 << 21
 # COMMON_SHARE-th of all n-grams. So at most COMMON_SHARE n-grams are common: 16 MB. Which ones are decides the order, never the result.
 SALTS = 64
 SKETCH = 2048  # bits of the parity sketch of a set
+FOLD = SKETCH // 256  # 64-bit words of a sketch folded to a quarter of its bits
+BLOCK = 1000  # sets of a signature's list that one part of the full round holds
 MAP_BITS = 1 << 25  # bits of the map of needed documents: 4 MB, whatever their number
 
 
@@ -233,6 +235,37 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("id"), "root"))
 
 
+def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """id, other, n, m: each set of a signature's list (signature, id, n, root), against one of the list. In the first turn all lists take it
+    by the same order, so the same sets lead many lists; later every list draws its own, so a set meets many others."""
+    order = F.struct(F.xxhash64(*(("id",) if turn == 0 else ("id", "signature")), F.lit(turn)).alias("h"), "root", "id", "n")
+    heads = lists.groupBy("signature").agg(F.min(order).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    return lists.join(heads, "signature").filter("root <> head.root").select("id", F.col("head.id").alias("other"), "n", F.col("head.n").alias("m"))
+
+
+def rest_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, other, n, m: the sets of a signature's list (signature, id, n, root) that are in different components and may link by their
+    sizes and folded sketches, which the rows carry: pairs that fail are never written.
+
+    The sets outside the largest component of a list meet all of it; those inside it never meet each other. A list comes in
+    parts of BLOCK sets, each a unit of the join, so that no list is the work of one task.
+    """
+    roots = lists.groupBy("signature", "root").agg(F.count("*").alias("sets"))
+    mixed = (roots.groupBy("signature").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.sum("sets").alias("sets"), F.count("*").alias("roots"))
+             .filter("roots > 1").select("signature", "main", F.ceil(F.col("sets") / BLOCK).cast("int").alias("parts")))
+    word = lambda i: F.get("sketch", F.lit(i))
+    fold = [word(i).bitwiseXOR(word(i + FOLD)).bitwiseXOR(word(i + 2 * FOLD)).bitwiseXOR(word(i + 3 * FOLD)).alias(f"f{i}") for i in range(FOLD)]
+    rows = staged(lists.join(mixed, "signature").join(nodes.select("id", *fold), "id"), "jaccard-mixed")
+    ones = rows.filter("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    all_ = rows.select("signature", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("other"), F.col("n").alias("m"),
+                       F.col("root").alias("other_root"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(FOLD)])
+    odd = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(1, FOLD)), F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))))
+    new = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("main")) | (F.col("id") < F.col("other")))
+    fit = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    return (ones.join(all_, ["signature", "part"]).filter(new & fit & ((100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("n") + F.col("m"))))
+            .select("id", "other", "n", "m"))
+
+
 STARS = 3  # at most so many rounds in which each signature proposes pairs with one of its sets only, each time another one
 
 
@@ -263,16 +296,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     while True:
         lists = shared if labels is None else shared.join(labels, "id", "left")
         lists = lists.select("signature", "id", "n", (F.col("id") if labels is None else F.coalesce("root", "id")).alias("root"))
-        if star:
-            order = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "id", "n")
-            heads = lists.groupBy("signature").agg(F.min(order).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-            pairs = lists.join(heads, "signature").filter("root <> head.root").select("id", F.col("head.id").alias("other"), "n", F.col("head.n").alias("m"))
-        else:
-            mixed = lists.groupBy("signature").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("signature")
-            lists = lists.join(mixed, "signature", "left_semi")
-            other = lists.select("signature", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-            fit = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-            pairs = lists.join(other, "signature").filter((F.col("id") < F.col("other")) & (F.col("root") != F.col("other_root")) & fit)
+        pairs = star_pairs(lists, turn) if star else rest_pairs(lists, nodes)
         swap = F.col("id") > F.col("other")
         pairs = pairs.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("other", "id", "a"), ("id", "other", "b"), ("m", "n", "n_a"), ("n", "m", "n_b"))]).distinct()
         if done is not None:
