@@ -192,7 +192,8 @@ def segments(docs: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
 
     keyed = docs.select("text", row_keys("doc_id", "text")[0])
     found = keyed.withColumn("place", place("key1")).mapInArrow(run, "id long, key1 long, fragment int, grams array<long>")
-    return found.join(needed, ["id", "key1"], "left_semi").dropDuplicates(["id", "fragment"]).select("id", "fragment", "grams")
+    wanted = needed.select("id", F.col("key1").alias("own"))  # one row an id: join and distinct rows share one shuffle by id
+    return found.join(wanted, "id").filter("key1 = own").dropDuplicates(["id", "fragment"]).select("id", "fragment", "grams")
 
 
 def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Signatures propose pairs. First every signature proposes its sets against one of them, so a group of copies gives a
     star and not all its pairs, round after round until none links; what is linked then is left alone, and only sets of one signature that are still in
-    different components are compared with each other. So no link between components is missed.
+    different components are compared with each other, first by folded sketches where the lists are joined. So no link between components is missed.
     """
     seed = 0
     while True:
