@@ -229,6 +229,18 @@ def test_sanitize(spark, name, expected):
     assert value(spark, sanitize_name(F.lit(name))) == expected
 
 
+def test_import_csv_with_a_mark(spark):
+    rows = spark.createDataFrame([(0, "\ufeffcategory", "word"), (1, "项目", "某某")], "ord long, c0 string, c1 string")
+    assert [tuple(r) for r in L.import_lexicon_csv(rows).collect()] == [(1, "project", "某某", False)]
+
+
+def test_all_candidates_without_a_budget(spark):
+    rows = spark.range(5000).selectExpr("id as file_ord", "0 as unit_ord", "0 as channel_ord", "0 as rule_ord", "0 as pos", "string(id) as text", "'s' as source", "'t' as text_type")
+    got = AS.number_candidates(rows).orderBy("file_ord").collect()
+    assert [(r["batch"], r["id"]) for r in got] == [(i // 20, i % 20) for i in range(5000)]
+    assert AS.number_candidates(rows, AssistConfig(max_calls=2)).count() == 40
+
+
 def test_file_class(spark):
     got = [value(spark, file_class(F.lit(p))) for p in ("a/b.DOCX", "x.pptx", "d/.docx", "n")]
     assert got == ["docs", "blocked", "other", "other"]
@@ -236,7 +248,8 @@ def test_file_class(spark):
 
 @pytest.mark.parametrize("url, expected", [
     ("http://localhost:8000/v1", True), ("192.168.1.10:8000/v1", True), ("http://[::1]/x", True), ("https://a.internal", True), ("http://172.32.0.1", False),
-    ("http://0.0.0.0", True), ("https://example.com", False), ("", False), ("http://100.64.0.1", False), ("http://169.254.1.1", True)])
+    ("http://0.0.0.0", True), ("https://example.com", False), ("", False), ("http://100.64.0.1", False), ("http://169.254.1.1", True),
+    ("http://gpu_box.internal/v1", True), ("http://me@localhost:1", True), (None, False)])
 def test_private_host(spark, url, expected):
     df = spark.createDataFrame([(url,)], "u string")
     assert df.select(is_private_host(F.col("u"))).first()[0] is expected

@@ -25,7 +25,7 @@ class AssistConfig:
     enabled: bool = False
     role: str = "adjudicator"
     batch_size: int = 20
-    max_calls: int = 200
+    max_calls: int | None = None  # a budget; without one every candidate is reviewed
     max_consecutive_errors: int = 3
     chunk_chars: int = 1500
 

@@ -14,9 +14,9 @@ PRIVATE_SUFFIXES = (".local", ".internal", ".lan", ".localdomain")
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host; a missing scheme is tolerated; empty if there is none."""
+    """Lower-case host, cut by its delimiters: names with `_` count; a missing scheme is tolerated; empty if there is none."""
     full = F.when(F.contains(url, F.lit("://")), F.trim(url)).otherwise(F.concat(F.lit("http://"), F.trim(url)))
-    return F.lower(F.coalesce(F.try_parse_url(full, F.lit("HOST")), F.lit("")))
+    return F.lower(F.coalesce(F.regexp_extract(full, r"^[^:/?#]+://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#\[\]\s]*)", 1), F.lit("")))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -8,14 +8,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.config import AssistConfig
 from veilwork.functions.spans import context
 from veilwork.functions.text import trim_ws
+from veilwork.operators.tokens import number_rows
 from veilwork.schema import PROPOSAL_ITEMS, TYPES, UNIT_KEY, VERDICT_ITEMS
+from veilwork.session import stage
 
 # Reason prefixes other steps recognise, and the limits put on a model's opinion.
 DROP_REASON_PREFIX = "AI 复核建议剔除"
@@ -69,15 +70,16 @@ CANDIDATE_ORDER = ("file_ord", "unit_ord", "channel_ord", "rule_ord", "pos")
 
 
 def number_candidates(candidates: DataFrame, cfg: AssistConfig = AssistConfig()) -> DataFrame:
-    """(batch, id) for the candidates the call budget covers; the others are not reviewed.
+    """(batch, id) for every candidate, in reading order; a user's budget of `max_calls` batches leaves out those after it.
 
-    The budget is max_calls * batch_size rows, so a top-k bounds what the final window sees.
+    A large table is numbered range by range, so no task sees all candidates.
     """
-    budget = cfg.max_calls * cfg.batch_size
-    head = candidates.orderBy(*CANDIDATE_ORDER, "text", "source", "text_type").limit(budget)
-    n = F.row_number().over(W.orderBy(*CANDIDATE_ORDER, "text", "source", "text_type")) - 1
-    return (head.withColumn("_n", n).withColumn("batch", F.floor(F.col("_n") / cfg.batch_size).cast("long"))
-            .withColumn("id", (F.col("_n") % cfg.batch_size).cast("int")).drop("_n"))
+    order = [*CANDIDATE_ORDER, "text", "source", "text_type"]
+    if cfg.max_calls is not None:
+        candidates = candidates.orderBy(*order).limit(cfg.max_calls * cfg.batch_size)
+    ranked = number_rows(stage(candidates.withColumn("_all", F.lit(0))), "_all", order, "_n")
+    return (ranked.withColumn("_n", F.col("_n") - 1).withColumn("batch", F.floor(F.col("_n") / cfg.batch_size).cast("long"))
+            .withColumn("id", (F.col("_n") % cfg.batch_size).cast("int")).drop("_n", "_all"))
 
 
 def batch_requests(numbered: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ CAND = f"""cand AS (SELECT text, source, text_type, arg_min(confidence, (file_or
 NUMBERED = """pos AS (SELECT c.*, d.p FROM cand c JOIN (SELECT file_ord, unit_ord, channel_ord, rule_ord, text, source, text_type, strpos(body, text) AS p FROM det) d
   ON c.text = d.text AND c.source = d.source AND c.text_type = d.text_type AND c.spot = (d.file_ord, d.unit_ord, d.channel_ord, d.rule_ord)),
 numbered AS (SELECT *, n // 20 AS batch, CAST(n % 20 AS INTEGER) AS id FROM (
-  SELECT *, row_number() OVER (ORDER BY spot, p, text, source, text_type) - 1 AS n FROM pos) WHERE n < 4000)"""
+  SELECT *, row_number() OVER (ORDER BY spot, p, text, source, text_type) - 1 AS n FROM pos))"""
 
 
 @query("c1_candidates", O.with_(*LEDGER_DET, CAND) + "SELECT text, source, text_type, confidence FROM cand")

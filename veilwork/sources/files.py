@@ -83,9 +83,10 @@ def history_append(records: DataFrame, path: str) -> None:
     records.select(*HISTORY.fieldNames()).write.mode("append").parquet(path)
 
 
-def history_load(spark: SparkSession, path: str, keep: int = 50) -> DataFrame:
-    """The newest `keep` batches, oldest fields missing from older files read as null."""
-    return newest(spark.read.schema(HISTORY).parquet(path), keep)
+def history_load(spark: SparkSession, path: str, keep: int | None = None) -> DataFrame:
+    """All batches, or the newest `keep`; fields missing from older files read as null."""
+    history = spark.read.schema(HISTORY).parquet(path)
+    return history if keep is None else newest(history, keep)
 
 
 def write_masked(masked: DataFrame, confirmed: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from veilwork.functions.text import trim_ws
 from veilwork.schema import LEXICON, TYPES
 
 # Chinese names of the categories in lexicon files.
-CATEGORY_NAMES = {"公司/机构": "company", "政府": "government", "人名": "person", "项目名称": "project",
+CATEGORY_NAMES = {"公司/机构": "company", "政府": "government", "人名": "person", "项目": "project",
                   "主题": "subject", "地名": "location", "金额": "amount", "自定义": "custom"}
 
 
@@ -46,13 +46,14 @@ def known_category(raw: Column) -> Column:
 def import_lexicon_csv(rows: DataFrame) -> DataFrame:
     """(category, word, unknown) from two string columns c0, c1 in `ord` order.
 
-    A header row is skipped; an unknown category becomes custom and is flagged; rows without a
+    A byte order mark before the first cell and a header row are skipped; an unknown category becomes custom and is flagged; rows without a
     word are dropped.
     """
     first = F.col("ord") == 0
+    rows = rows.withColumn("c0", F.regexp_replace("c0", "^\ufeff", ""))
     header = F.concat_ws(",", F.lower(trim_ws(F.col("c0"))), F.lower(trim_ws(F.col("c1")))).isin("category,word", "类别,词条")
     body = rows.filter(~(first & header))
-    cat = known_category(F.regexp_replace("c0", "^﻿", ""))
+    cat = known_category(F.col("c0"))
     return (body.select("ord", F.coalesce(cat, F.lit("custom")).alias("category"), trim_ws(F.col("c1")).alias("word"),
                         cat.isNull().alias("unknown")).filter("word is not null and word <> ''"))
 
