@@ -146,13 +146,16 @@ def postings(docs: DataFrame, common: np.ndarray, seed: int) -> DataFrame:
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
-    """The rows of `found` whose signature two different sets have. The lists of rare signatures are short, as common n-grams
-    are not among them, and a window sees them whole; the few of common n-grams pass it in SALTS parts, then are counted by a join."""
-    w = Window.partitionBy("signature", "salt")
+    """The rows of `found` whose signature another set has that may link with theirs by its size. The lists of rare signatures are
+    short, as common n-grams are not among them, and a window in the order of sizes sees them whole: if any size fits, that of a neighbour
+    does. The few of common n-grams pass in SALTS parts, then are counted by a join."""
     salt = F.when(F.col("common"), F.pmod("id", F.lit(SALTS))).otherwise(F.lit(-1))
-    seen = (found.withColumn("salt", salt).select("signature", "common", "id", "n", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"))
-            .filter("common or a < b").select("signature", "common", "id", "n"))
-    seen = staged(seen.distinct(), "jaccard-postings")
+    once = found.withColumn("salt", salt).repartition("signature", "salt").distinct()  # distinct rows and window share this one shuffle
+    w = Window.partitionBy("signature", "salt").orderBy("n", "id")
+    fits = lambda small, large: 100 * F.col(small) >= PERCENT * F.col(large)
+    seen = (once.select("signature", "common", "id", "n", F.lag("n").over(w).alias("x"), F.lead("n").over(w).alias("y"))
+            .filter(F.col("common") | F.coalesce(fits("x", "n"), F.lit(False)) | F.coalesce(fits("n", "y"), F.lit(False))))
+    seen = staged(seen.select("signature", "common", "id", "n"), "jaccard-postings")
     often = seen.filter("common")
     lists = often.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("signature")
     return seen.filter("not common").unionByName(often.join(lists, "signature")).select("signature", "id", "n")
@@ -236,12 +239,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("id"), "root"))
 
 
-def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """id, other, n, m: each set of a signature's list (signature, id, n, root), against one of the list. In the first turn all lists take it
-    by the same order, so the same sets lead many lists; later every list draws its own, so a set meets many others."""
+def mixed_lists(lists: DataFrame, turn: int) -> DataFrame:
+    """The rows of `lists` (signature, id, n, root) whose list is not yet all one component, with `head`, one set of the list. In the first
+    turn all lists take it by the same order, so the same sets lead many lists; later every list draws its own, so a set meets many others."""
     order = F.struct(F.xxhash64(*(("id",) if turn == 0 else ("id", "signature")), F.lit(turn)).alias("h"), "root", "id", "n")
     heads = lists.groupBy("signature").agg(F.min(order).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    return lists.join(heads, "signature").filter("root <> head.root").select("id", F.col("head.id").alias("other"), "n", F.col("head.n").alias("m"))
+    return lists.join(heads.select("signature", "head"), "signature")
+
+
+def star_pairs(mixed: DataFrame) -> DataFrame:
+    """id, other, n, m: each set of `mixed` against the head of its list."""
+    return mixed.filter("root <> head.root").select("id", F.col("head.id").alias("other"), "n", F.col("head.n").alias("m"))
 
 
 def rest_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -297,7 +305,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     while True:
         lists = shared if labels is None else shared.join(labels, "id", "left")
         lists = lists.select("signature", "id", "n", (F.col("id") if labels is None else F.coalesce("root", "id")).alias("root"))
-        pairs = star_pairs(lists, turn) if star else rest_pairs(lists, nodes)
+        if star:
+            mixed = mixed_lists(lists, turn)
+            if turn > 0:  # components only grow, so the lists left out here stay out
+                mixed = staged(mixed, "jaccard-lists")
+                shared = mixed.select("signature", "id", "n")
+            pairs = star_pairs(mixed)
+        else:
+            pairs = rest_pairs(lists, nodes)
         swap = F.col("id") > F.col("other")
         pairs = pairs.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("other", "id", "a"), ("id", "other", "b"), ("m", "n", "n_a"), ("n", "m", "n_b"))]).distinct()
         if done is not None:
