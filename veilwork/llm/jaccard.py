@@ -18,6 +18,7 @@ COMMON_LOCAL, COMMON_USES, COMMON_SHARE = 3, 50, 1 << 21
 # An n-gram is common if documents that hold it, summed over batches with COMMON_LOCAL of them at least, number COMMON_USES and one
 # COMMON_SHARE-th of all n-grams. So at most COMMON_SHARE n-grams are common: 16 MB. Which ones are decides the order, never the result.
 SALTS = 64
+FEW = 4  # sets of a signature's list that are compared each with each at once: FEW * (FEW - 1) / 2 pairs at most
 SKETCH = 2048  # bits of the parity sketch of a set
 FOLD = SKETCH // 256  # 64-bit words of a sketch folded to a quarter of its bits
 BLOCK = 1000  # sets of a signature's list that one part of the full round holds
@@ -145,20 +146,32 @@ def postings(docs: DataFrame, common: np.ndarray, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "signature long, common boolean, id long, n long")
 
 
-def shared_postings(found: DataFrame) -> DataFrame:
-    """The rows of `found` whose signature another set has that may link with theirs by its size. The lists of rare signatures are
-    short, as common n-grams are not among them, and a window in the order of sizes sees them whole: if any size fits, that of a neighbour
-    does. The few of common n-grams pass in SALTS parts, then are counted by a join."""
+def shared_postings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, pairs). `lists` holds signature, id, n: the rows of `found` whose signature another set has that may link with theirs by its
+    size. Lists of FEW sets at most are not in it: `pairs` (id, other, n, m) has theirs, each set with the larger ones that its size fits.
+
+    The lists of rare signatures are short, as common n-grams are not among them, and a window in the order of sizes sees them
+    whole: if any size fits, that of a neighbour does. Those of common n-grams pass in SALTS parts, then are counted by a join.
+    """
     salt = F.when(F.col("common"), F.pmod("id", F.lit(SALTS))).otherwise(F.lit(-1))
     once = found.withColumn("salt", salt).repartition("signature", "salt").distinct()  # distinct rows and window share this one shuffle
     w = Window.partitionBy("signature", "salt").orderBy("n", "id")
-    fits = lambda small, large: 100 * F.col(small) >= PERCENT * F.col(large)
-    seen = (once.select("signature", "common", "id", "n", F.lag("n").over(w).alias("x"), F.lead("n").over(w).alias("y"))
-            .filter(F.col("common") | F.coalesce(fits("x", "n"), F.lit(False)) | F.coalesce(fits("n", "y"), F.lit(False))))
-    seen = staged(seen.select("signature", "common", "id", "n"), "jaccard-postings")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fits = lambda small, large: F.coalesce(100 * small >= PERCENT * large, F.lit(False))
+    set_ = F.struct("id", "n")
+    seen = once.select("signature", "common", "id", "n", F.count(F.lit(1)).over(whole).alias("sets"), F.lag("n").over(w).alias("before"),
+                       *[F.lead(set_, i).over(w).alias(f"next{i}") for i in range(1, FEW)])
+    few = (F.col("sets") <= FEW) & ~F.col("common")
+    later = F.filter(F.array(*[f"next{i}" for i in range(1, FEW)]), lambda s: fits(F.col("n"), s["n"]))
+    seen = seen.withColumn("later", F.when(few, later)).filter(
+        (F.size("later") > 0) | F.col("later").isNull() & (F.col("common") | fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("next1.n"))))
+    seen = staged(seen.select(F.when(~few, F.col("signature")).alias("signature"), "common", "id", "n", "later"), "jaccard-postings")
+    pairs = (seen.filter("later is not null").select("id", "n", F.explode("later").alias("s"))
+             .select("id", F.col("s.id").alias("other"), "n", F.col("s.n").alias("m")))
+    seen = seen.filter("later is null")
     often = seen.filter("common")
     lists = often.groupBy("signature").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("signature")
-    return seen.filter("not common").unionByName(often.join(lists, "signature")).select("signature", "id", "n")
+    return seen.filter("not common").unionByName(often.join(lists, "signature")).select("signature", "id", "n"), pairs
 
 
 def segments(docs: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
@@ -286,7 +299,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     n-grams and link with nothing, not even each other. Equal sets are one node, however many documents have them, so copies
     and rows that repeat share a component. A null doc_id links too, but is never the smallest unless all are null.
 
-    Signatures propose pairs. First every signature proposes its sets against one of them, so a group of copies gives a
+    Signatures propose pairs. Those of FEW sets at most propose all theirs at once. Of the others every signature first proposes its sets against one of them, so a group of copies gives a
     star and not all its pairs, round after round until none links; what is linked then is left alone, and only sets of one signature that are still in
     different components are compared with each other, first by folded sketches where the lists are joined. So no link between components is missed.
     """
@@ -298,8 +311,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
             break
         seed += 1
     rows = found.filter("key1 is not null")
-    shared = shared_postings(postings(docs, common_grams(found), seed))
-    first = rows.filter("id is not null").join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("key1").alias("key1"), F.min("sketch").alias("sketch"))
+    shared, small = shared_postings(postings(docs, common_grams(found), seed))
+    held = shared.select("id").union(small.select("id")).union(small.select("other")).distinct()
+    first = rows.filter("id is not null").join(held, "id", "left_semi").groupBy("id").agg(F.min("key1").alias("key1"), F.min("sketch").alias("sketch"))
     nodes = staged(first, "jaccard-nodes")
     labels, links, done, star, turn = None, None, None, True, 0
     while True:
@@ -310,7 +324,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
             if turn > 0:  # components only grow, so the lists left out here stay out
                 mixed = staged(mixed, "jaccard-lists")
                 shared = mixed.select("signature", "id", "n")
-            pairs = star_pairs(mixed)
+            pairs = star_pairs(mixed) if turn > 0 else star_pairs(mixed).unionByName(small)
         else:
             pairs = rest_pairs(lists, nodes)
         swap = F.col("id") > F.col("other")
