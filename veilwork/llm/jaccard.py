@@ -158,13 +158,14 @@ def shared_postings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("signature", "salt").orderBy("n", "id")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fits = lambda small, large: F.coalesce(100 * small >= PERCENT * large, F.lit(False))
-    set_ = F.struct("id", "n")
-    seen = once.select("signature", "common", "id", "n", F.count(F.lit(1)).over(whole).alias("sets"), F.lag("n").over(w).alias("before"),
-                       *[F.lead(set_, i).over(w).alias(f"next{i}") for i in range(1, FEW)])
+    near = F.col("common") | fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after"))
+    seen = once.select("signature", "salt", "common", "id", "n", F.lag("n").over(w).alias("before"), F.lead("n").over(w).alias("after")).filter(near)
+    # The rest, in the same partitions and order: sets that fit each other all passed the filter.
+    seen = seen.select("signature", "common", "id", "n", F.count(F.lit(1)).over(whole).alias("sets"),
+                       *[F.lead(F.struct("id", "n"), i).over(w).alias(f"next{i}") for i in range(1, FEW)])
     few = (F.col("sets") <= FEW) & ~F.col("common")
     later = F.filter(F.array(*[f"next{i}" for i in range(1, FEW)]), lambda s: fits(F.col("n"), s["n"]))
-    seen = seen.withColumn("later", F.when(few, later)).filter(
-        (F.size("later") > 0) | F.col("later").isNull() & (F.col("common") | fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("next1.n"))))
+    seen = seen.withColumn("later", F.when(few, later)).filter((F.size("later") > 0) | F.col("later").isNull())
     seen = staged(seen.select(F.when(~few, F.col("signature")).alias("signature"), "common", "id", "n", "later"), "jaccard-postings")
     pairs = (seen.filter("later is not null").select("id", "n", F.explode("later").alias("s"))
              .select("id", F.col("s.id").alias("other"), "n", F.col("s.n").alias("m")))
