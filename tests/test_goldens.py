@@ -223,6 +223,14 @@ def test_path_conflict_and_parents(spark):
     assert (file["categories"], file["tokens_used"], file["depth"]) == (["company"], ["[COMPANY_001]"], 3)
 
 
+def test_path_tokens_leave_taken_numbers_out(spark):
+    lex = L.lexicon_from_dict(spark, {"company": ["甲乙公司", "丙丁公司", "戊己公司"]})
+    listing = spark.createDataFrame([("甲乙公司.docx",), ("丙丁公司.docx",), ("戊己公司.docx",), ("a/[COMPANY_003].docx",)], "path string")
+    known = spark.createDataFrame([("甲乙公司", "[COMPANY_001]")], "original string, token string")
+    rows = {r["old_name"]: r["new_name"] for r in PT.plan_tree(listing, MaskConfig(), lex, known).collect()}
+    assert rows == {"甲乙公司.docx": "[COMPANY_001].docx", "丙丁公司.docx": "[COMPANY_002].docx", "戊己公司.docx": "[COMPANY_004].docx"}
+
+
 @pytest.mark.parametrize("name, expected", [
     ("CON.docx", "CON_.docx"), ("a<b>.docx", "a_b_.docx"), ("x. .docx", "x.docx"), ("...", "_masked"), ("合同.tar.docx", "合同.tar.docx"), ("", "_masked")])
 def test_sanitize(spark, name, expected):

@@ -15,7 +15,7 @@ from veilwork.functions.names import MAX_PATH, ext_of, sanitize_name, stem_of
 from veilwork.functions.text import fingerprint
 from veilwork.operators.detect import detect, detections, path_name_filter
 from veilwork.operators.policy import grade
-from veilwork.operators.tokens import allocate_tokens, number_rows, skip_reserved
+from veilwork.operators.tokens import allocate_tokens, number_rows, reserved_numbers, scan_tokens, skip_reserved
 from veilwork.session import lookup_join, stage
 
 # Fixed value: folder of files nobody confirmed; it keeps its names.
@@ -194,11 +194,13 @@ def resolve_name_conflicts(wanted: DataFrame, existing: DataFrame, order: list[s
 
 def plan_tree(listing: DataFrame, cfg: MaskConfig, lexicon: DataFrame | None = None, known: DataFrame | None = None,
               root: str = "") -> DataFrame:
-    """path_mapping rows for every renamed or skipped entry of a listing."""
+    """path_mapping rows for every renamed or skipped entry of a listing. New tokens use no number that a token of `known`
+    (original, token) or a name of the listing already has."""
     entries = stage(tree_entries(listing))
     names = entries.select("kind", "name").distinct()
     found = stage(detect_names(names, cfg, lexicon).filter(F.col("status").isin(*cfg.statuses)))
-    tokens = None if cfg.irreversible else name_tokens(entries, found, known)
+    taken = scan_tokens(entries, "name") if known is None else scan_tokens(entries, "name").union(known.select("token"))
+    tokens = None if cfg.irreversible else name_tokens(entries, found, known, reserved_numbers(taken))
     renamed = mask_names(names, found, tokens, cfg.irreversible)
     # A name may recur in very many folders, so its rows are not sent to one task.
     recurring = entries.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("uses"))
