@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,34 @@ def test_near_groups_against_brute_force(spark, docs):
     assert jaccard.keep_one(table).columns == table.columns
 
 
+def test_near_duplicates_and_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    text = lambda name, new=-1: " ".join(f"{name}{chr(97 + j // 26)}{chr(97 + j % 26)}" if j != new else "changed" for j in range(150))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c", 40)),  # unrelated texts without doc_id, and two that link
+            (7, text("d")), (7, text("e")), (7, text("e")), (7, text("e", 70)),  # one doc_id: two unlinked texts, a row that repeats, one that links
+            (8, text("f")), (None, text("f", 9)), (3, text("g", 20)), (9, text("g")), (3, text("h")), (5, None), (5, None), (6, " ")]
+    table = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    grams = lambda t: {tuple(w[i:i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    groups = []
+    for i, t in rows:
+        if t and t.strip():
+            linked = [g for g in groups if any(100 * len(grams(t) & grams(u)) >= 80 * len(grams(t) | grams(u)) for _, u in g)]
+            groups = [g for g in groups if g not in linked] + [[(i, t), *(x for g in linked for x in g)]]
+    best = [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(table).collect()]
+    assert all(sum(r in g for r in kept) == 1 for g in groups)
+    order = lambda ids: sorted(ids, key=str)
+    assert order(i for i, t in kept if t and t.strip()) == order(best)
+    assert order((i, t) for i, t in kept if not (t and t.strip())) == order([(5, None), (5, None), (6, " ")])
+    table.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    # Texts are too short for the rules where they are null or blank; lines are not shared; nothing personal stands in them.
+    assert order(r["doc_id"] for r in packed if r["start"] == 0) == order(best)
+    could = {(i, ids(t)) for i, t in rows if t and t.strip()}
+    assert all((r["doc_id"], r["doc_tokens"]) in could for r in packed) and sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
+
+
 def test_rules_and_urls_take_odd_rows(spark, docs):
     got = rules.judge(docs).collect()
     assert len(got) == docs.count() and not any(r["kept"] for r in got if r["n_words"] < 50)

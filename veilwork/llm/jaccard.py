@@ -292,13 +292,13 @@ def rest_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 STARS = 3  # at most so many rounds in which each signature proposes pairs with one of its sets only, each time another one
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, key1, key2, n_shingles, component_id.
+def rooted(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, key1, key2, n_shingles, root: what all rows of a component share and no others,
+    whatever their doc_id; null without n-grams.
 
     A text's set are its distinct n-grams of WIDTH words (A-Z lower-cased), or the whole of fewer words as one. Sets link by
-    PERCENT; component_id is the smallest doc_id that links reach, the own one included. Null and empty texts have no
-    n-grams and link with nothing, not even each other. Equal sets are one node, however many documents have them, so copies
-    and rows that repeat share a component. A null doc_id links too, but is never the smallest unless all are null.
+    PERCENT. Null and empty texts have no n-grams and link with nothing, not even each other. Equal sets are one node, however
+    many documents have them, so copies and rows that repeat share a component.
 
     Signatures propose pairs. Those of FEW sets at most propose all theirs at once. Of the others every signature first proposes its sets against one of them, so a group of copies gives a
     star and not all its pairs, round after round until none links; what is linked then is left alone, and only sets of one signature that are still in
@@ -343,25 +343,29 @@ def near_groups(docs: DataFrame) -> DataFrame:
         if not star:
             break
         star = turn < STARS and not new.isEmpty()  # once stars find no more, what is left is compared in full
-    marked = rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return rows.join(labels, "id", "left").select("doc_id", "key1", "key2", "n_shingles", F.coalesce("root", "id").alias("root"))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """The rows of `rooted` with component_id: the smallest doc_id that links reach, the own one included. A null doc_id links too,
+    but is never the smallest unless all are null; so component_id names a component only where doc_ids are distinct, and root always."""
+    marked = rooted(docs)
     least = marked.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return marked.join(least, "root", "left").select(
-        "doc_id", "key1", "key2", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        "doc_id", "key1", "key2", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that stay: of each group of near-duplicates the one with the smallest doc_id. Rows without
-    n-grams all stay; of rows that repeat doc_id and text one stays."""
-    groups = near_groups(docs)
-    gone = staged(groups.filter("n_shingles > 0 and not doc_id <=> component_id").select("key1", "key2").distinct(), "jaccard-gone")
-    again = groups.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1")
-    keys = dict(zip(("_key1", "_key2"), row_keys("doc_id", "text"), strict=True))
-    left = docs.withColumns(keys).join(gone.withColumnsRenamed({"key1": "_key1", "key2": "_key2"}), ["_key1", "_key2"], "left_anti")
-    again = staged(again.select(F.col("component_id").alias("_twice")), "jaccard-again")
+    """The rows of `docs`, all columns, that stay: of each component the one with the smallest doc_id, a null one only if all are null,
+    and of rows that share it the one with the smallest keys. Rows without n-grams all stay; of rows that repeat doc_id and text one stays."""
+    rows = rooted(docs).filter("root is not null").groupBy("root", "doc_id", "key1", "key2").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key1", "key2", "copies")).alias("first")
+    best = rows.groupBy("root").agg(first).select(F.col("first.key1").alias("_key1"), F.col("first.key2").alias("_key2"), F.col("first.copies").alias("_copies"))
+    best = staged(best, "jaccard-best")
+    keyed = docs.withColumns(dict(zip(("_key1", "_key2"), row_keys("doc_id", "text"), strict=True)))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = keyed.join(best, ["_key1", "_key2"], "left").filter((F.col("_copies") == 1) | ~words).select(*docs.columns)
+    again = best.filter("_copies > 1")
     if again.isEmpty():
-        return left.select(*docs.columns)
-    twice = F.col("doc_id").eqNullSafe(F.col("_twice")) & F.col("text").isNotNull()
-    once = left.join(again, twice, "left_anti").select(*docs.columns)
-    some = left.join(again, twice, "left_semi").withColumn("_words", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    chosen = some.filter("_words").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(chosen).unionByName(some.filter("not _words").select(*docs.columns))
+        return left
+    return left.unionByName(keyed.join(again, ["_key1", "_key2"], "left_semi").dropDuplicates(["_key1", "_key2"]).select(*docs.columns))
