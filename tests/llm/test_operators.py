@@ -151,6 +151,22 @@ def test_personal_data(spark, docs):
     assert pii.find_personal(docs.limit(0)).count() == 0
 
 
+def test_accepted_identifiers_teach_new_contexts(spark):
+    number = lambda i: f"555-867-{5300 + i}"
+    steps = [("please call mister {} today", [f"+1 555 555 {1000 + i}" for i in range(30)] + [number(i) for i in range(8)]),
+             ("her old line {} rings", [number(i) for i in range(10)]), ("we saw number {} there", [number(i) for i in range(2, 12)]),
+             ("some other thing {} here", [number(20)])]
+    texts = [form.format(x) for form, values in steps for x in values]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # 8 and 9 stand beside no sure number, 10 and 11 only where those and 2 to 7 do; 20 has no context with others.
+    assert [len(found[i]) for i in range(len(texts))] == [1] * (len(texts) - 1) + [0]
+
+
+def test_letters_alone_may_be_candidates():
+    for kind, text in (("email", "x (AT) y.com"), ("email", "x[AT]y(dot)com"), ("email", "x (at] y.com"), ("ip", "at abcd:ef:fade::beef now"), ("ip", "a:b:c:d")):
+        assert [s[0] for s in pii.loose_spans(text, [])] == [kind]
+
+
 def test_models_on_held_out_rows(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from veilwork.llm.common import row_keys, staged
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3  # of scoring patterns by instances and instances by patterns
-MIN_SUPPORT = 3  # different sure instances a pattern needs
+MIN_SUPPORT = 3  # different accepted instances a pattern needs
 SMOOTHING = 1.0
 ACCEPT = 0.75  # score from which an unseen identifier counts
+STEPS = 10_000  # scores are whole multiples of one part in so many, so that rounds end
 
 _DIGITS_OR_AT = re.compile(r"[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -31,6 +31,7 @@ _LOOSE = (
     ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])")),
     ("phone", re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9])")),
 )
+_LETTERS = re.compile(r"[(\[](?:at|AT)[)\]]|[A-Fa-f]:[A-Fa-f]")  # stands in each match of them without digit or @
 _PLAIN = re.compile(r"[^\s]*[0-9@][^\s]*")  # any other word with a digit: what a pattern should not find
 _BEFORE, _AFTER = re.compile(r"\S+\s+\S+\s*\Z"), re.compile(r"\s*(\S+)")
 CONTEXT = 80  # characters beside a span in which its neighbour words are looked for
@@ -75,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans outside `base` and each other that might be identifiers, kind by kind, then other words with digits (kind "")."""
-    if not _DIGITS_OR_AT.search(text) and "(at)" not in text and "[at]" not in text.lower():
+    if not _DIGITS_OR_AT.search(text) and not _LETTERS.search(text):
         return []
     taken, found = sorted((a, b) for _, a, b in base), []
     for kind, form in (*_LOOSE, ("", _PLAIN)):
@@ -121,36 +122,42 @@ def scan(docs: DataFrame) -> DataFrame:
             .mapInArrow(run, f"doc_id {kind}, key1 long, key2 long, spans array<{SPAN}>"))
 
 
-def discover(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Candidates of `scanned` that the contexts of sure identifiers vouch for: kind, value, before, after, score.
+def discover(scanned: DataFrame) -> DataFrame:
+    """Candidates of `scanned` that the contexts of sure identifiers vouch for: kind, value, score.
 
     A pattern is a kind with the two words before, or the word before and the word after. Instances are values. Sure
-    ones score 1; words with digits of no kind count against the patterns around them. A pattern's score is the mean score of
-    its instances, smoothed; an instance's is one minus the product of its patterns' doubts. Candidates that pass ACCEPT
-    after a round teach patterns in the next. Only contexts and values move, and all counts combine before the shuffle.
+    ones score 1; words with digits of no kind count against the patterns around them. A pattern needs MIN_SUPPORT accepted
+    instances; its score is the mean score of its instances, smoothed; an instance's is one minus the product of its patterns'
+    doubts. Candidates that reach ACCEPT teach patterns in the next round, also such as no sure one has, until a round changes
+    nothing: scores only rise, in whole steps. Only contexts and values move, and all counts combine before the shuffle.
     """
     spans = scanned.select(F.explode("spans").alias("s")).select("s.*")
     near = F.array(F.when(F.col("before").contains(" "), F.concat(F.lit("b\n"), "before")),
                    F.when((F.col("before") != "") & (F.col("after") != ""), F.concat(F.lit("s\n"), F.element_at(F.split("before", " "), -1), F.lit("\n"), "after")))
-    edges = (spans.select("kind", "value", "base", F.explode(F.array_compact(near)).alias("near"))
+    every = (spans.select("kind", "value", "base", F.explode(F.array_compact(near)).alias("near"))
              .groupBy("kind", "value", "near").agg(F.max("base").alias("base")))
-    # A context can vouch for a kind only if enough sure values of this kind stand in it.
-    taught = edges.filter("base").groupBy("kind", "near").agg(F.count("*").alias("sure")).filter(F.col("sure") >= MIN_SUPPORT)
-    plain = edges.filter("kind = ''").groupBy("near").agg(F.count("*").alias("plain"))
-    taught = taught.join(plain, "near", "left").select("kind", "near", F.coalesce("plain", F.lit(0)).alias("plain"))
-    edges = staged(edges.filter("kind <> ''").join(taught, ["kind", "near"]), "pii-edges")
-    scores = edges.groupBy("kind", "value").agg(F.max(F.col("base").cast("double")).alias("score"))
-    for _ in range(rounds):
-        linked = edges.join(scores, ["kind", "value"])
-        patterns = linked.groupBy("kind", "near").agg((F.sum("score") / (F.count("*") + F.first("plain") + F.lit(SMOOTHING))).alias("trust"))
+    # A context with fewer values of a kind than MIN_SUPPORT can never vouch for it, whichever of them are accepted.
+    could = every.filter("kind <> ''").groupBy("kind", "near").agg(F.count("*").alias("all")).filter(F.col("all") >= MIN_SUPPORT)
+    plain = every.filter("kind = ''").groupBy("near").agg(F.count("*").alias("plain"))
+    could = could.join(plain, "near", "left").select("kind", "near", (F.col("all") + F.coalesce("plain", F.lit(0))).alias("all"))
+    edges = staged(every.filter("kind <> ''").join(could, ["kind", "near"]), "pii-edges")
+    sure = staged(edges.filter("base").select("kind", "value").distinct().withColumn("score", F.lit(1.0)), "pii-sure")
+    accepted, state = sure, (0, 0)
+    while True:
+        patterns = (edges.join(accepted, ["kind", "value"]).groupBy("kind", "near")
+                    .agg((F.sum("score") / (F.first("all") + F.lit(SMOOTHING))).alias("trust"), F.count("*").alias("support")).filter(F.col("support") >= MIN_SUPPORT))
         doubt = F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))
-        scores = staged(edges.join(patterns, ["kind", "near"]).groupBy("kind", "value").agg(
-            F.max("base").alias("base"), (1 - doubt).alias("score"))
-            .select("kind", "value", F.when(F.col("base"), 1.0).when(F.col("score") >= ACCEPT, F.col("score")).otherwise(0.0).alias("score")), "pii-scores")
-    return scores.join(edges.filter("not base").select("kind", "value").distinct(), ["kind", "value"], "left_semi").filter("score > 0")
+        found = (edges.join(patterns.select("kind", "near", "trust"), ["kind", "near"]).groupBy("kind", "value").agg((F.floor((1 - doubt) * STEPS) / STEPS).alias("score"))
+                 .filter(F.col("score") >= ACCEPT).join(sure.select("kind", "value"), ["kind", "value"], "left_anti"))
+        found = staged(found, "pii-scores")
+        last, state = state, tuple(found.agg(F.count("*"), F.coalesce(F.sum(F.round(F.col("score") * STEPS).cast("long")), F.lit(0))).first())
+        if state <= last:
+            break
+        accepted = sure.unionByName(found)
+    return accepted.join(edges.filter("not base").select("kind", "value").distinct(), ["kind", "value"], "left_semi")
 
 
-def find_personal(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find_personal(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, key1, key2, `spans` (array of kind, start, end, base; sorted by start,
     kind, end; code points).
 
@@ -158,7 +165,7 @@ def find_personal(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     table gives an empty result. Values of the fixed forms always stay; candidates are added if their contexts vouch for them.
     """
     scanned = staged(scan(docs), "pii-scan")
-    found = discover(scanned, rounds).select("kind", "value")
+    found = discover(scanned).select("kind", "value")
     loose = (scanned.select("key1", "key2", F.explode("spans").alias("s")).filter("not s.base and s.kind <> ''")
              .select("key1", "key2", "s.kind", "s.value", "s.start", "s.end").distinct())
     added = (loose.join(found, ["kind", "value"]).groupBy("key1", "key2")
