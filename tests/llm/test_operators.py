@@ -137,6 +137,12 @@ def test_rules_and_urls_take_odd_rows(spark, docs):
     assert urls.filter_pages(pages, table.limit(0)).count() == 5
 
 
+def test_boilerplate_is_found_on_hosts_of_any_size(spark):
+    rows = [(1000 * n + i, "\n".join((["the common line of all"] if i % 5 < 2 else []) + [f"own{n} {i} text{j}" for j in range(60)]), f"host{n}") for n in (20, 50, 400) for i in range(n)]
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["n_removed_words"] == (5 if r["doc_id"] % 1000 % 5 < 2 else 0) and r["kept"] for r in got)
+
+
 def test_personal_data(spark, docs):
     spans = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs).collect()}
     text = TEXTS[10]

@@ -9,8 +9,8 @@ from veilwork.llm.common import WORD, ascii_lower, row_keys, staged
 
 MIN_WORDS = 50
 # A line is boilerplate of its host if it stands in more than LINE_TEXTS different texts of the host and in more than
-# LINE_SHARE of them. A document is depleted if less than LEFT_SHARE of its words stand in other lines.
-LINE_TEXTS, LINE_SHARE, LEFT_SHARE = 50, 0.005, 0.1
+# LINE_SHARE of them; the first is only so large that a few chance repeats on a small host do not count. A document is depleted if less than LEFT_SHARE of its words stand in other lines.
+LINE_TEXTS, LINE_SHARE, LEFT_SHARE = 5, 0.005, 0.1
 
 
 def normal_line(line: Column) -> Column:
