@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,22 @@ def test_models_on_held_out_rows(spark, docs):
     held = lm.score_documents(table, third).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
     assert lm.score_documents(docs, F.lit(True)).filter("n_known = 0 and train_tokens = 0 and base_score = 0").count() == docs.count()
+
+
+def test_language_model_trains_on_every_token(spark):
+    table = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 50}" for j in range(n))) for i, n in enumerate([3000, 0, 1, 31, 32, 33, 64, 65] + [200] * 150)], "doc_id long, text string")
+    words = lm.Words(*lm.frequent(lm.gather(table).groupBy("word").agg(F.sum("count").alias("count"))))
+    documents = [np.array(r["ids"]) for r in lm.numbered(table, words).collect()]
+    assert sorted(map(len, documents)) == sorted(n + 1 for n in [3000, 0, 1, 31, 32, 33, 64, 65] + [200] * 150)
+    network, weight = lm.train_shard(lm.Network.start(words.short_counts, 40_000), [documents])
+    assert weight == sum(map(len, documents))
+    read, open_ = [], []
+    for inputs, targets, carried in lm.windows(documents):  # each lane's windows make one whole document, after the end's id
+        lanes = [open_[i] for i in carried] + [[] for _ in range(len(inputs) - len(carried))]
+        for x, given, want in zip(lanes, inputs, targets, strict=True):
+            real = want[want >= 0]
+            assert list(given[:len(real)]) == [x[-1] if x else 0, *real[:-1]]
+            x.extend(real)
+        read += [x for x in lanes if not any(x is y for y in read)]
+        open_ = lanes
+    assert sorted(map(tuple, read)) == sorted(map(tuple, documents))

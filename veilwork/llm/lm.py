@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,8 @@ END = 0x0E0D  # the hash that stands for the end of a text
 TOP_WORDS = 1 << 18  # at most so many frequent words are broadcast, 4 MB with their counts; the others meet theirs in a join
 HIDDEN, CLASSES, MEMBERS = 16, 32, 32  # the network knows CLASSES x MEMBERS words; class CLASSES holds all others
 SHORT = CLASSES * MEMBERS
-WINDOW, BATCH, SEGMENT = 32, 128, 64  # steps of truncated backpropagation, documents side by side, tokens a training document gives a round
+WINDOW, BATCH = 32, 128  # steps of truncated backpropagation, documents side by side
+BLOCK_IDS = 1 << 22  # ids of whole training documents that a task holds at once
 ROUNDS, RATE = 3, 0.01
 TOGETHER = 16_384  # documents scored side by side, so that few steps go to the last long ones alone
 OUTPUT_ROWS = 65_536  # states whose outputs are computed at once
@@ -27,23 +31,17 @@ def tokens(hasher: WordHasher, text: str | None) -> np.ndarray:
 
 
 def gather(training: DataFrame) -> DataFrame:
-    """One scan of the whole texts of `training` (text, key1): rows of word (hash) and count for the distinct words of each batch, so what
-    is gathered grows with the corpus; and rows of segment: SEGMENT words of each document, at a place its key picks, after the word before."""
+    """One scan of the whole texts of `training` (text): rows of word (hash) and count for the distinct words of each batch, so what
+    is gathered grows with the corpus."""
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             found = [tokens(hasher, t.as_py()) for t in batch.column("text")]
             if found:
                 word, count = np.unique(np.concatenate(found), return_counts=True)
-                cut = []
-                for x, key in zip(found, batch.column("key1").to_pylist(), strict=True):
-                    start = key % max(1, len(x) + 1 - SEGMENT)
-                    cut.append(np.append(END, x[:SEGMENT]) if start == 0 else x[start - 1:start + SEGMENT])
-                none = pa.nulls(len(word), pa.list_(pa.int64())), pa.nulls(len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count), none[0]], ["word", "count", "segment"])
-                yield pa.RecordBatch.from_arrays([none[1], none[1], pa.array(cut, pa.list_(pa.int64()))], ["word", "count", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count)], ["word", "count"])
 
-    return training.select("text", "key1").mapInArrow(run, "word long, count long, segment array<long>")
+    return training.select("text").mapInArrow(run, "word long, count long")
 
 
 def frequent(counts: DataFrame, most: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,19 +189,34 @@ class Network:
         return out
 
 
-def train_shard(network: Network, segments: np.ndarray) -> tuple[Network, float]:
-    """One pass of Adam over segments (documents x SEGMENT ids, padded by -1); the end's id 0 precedes each. Returns the network and its weight."""
+def windows(documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """All ids of `documents` in windows (lanes x WINDOW): inputs, targets (-1 beyond the end), and which lanes of the window before go on in
+    the first lanes. The end's id 0 precedes each document. The longest come first, so that few windows go to the last one alone."""
+    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+    waiting = deque([*order[:BATCH], *(order[BATCH + i] for i in np.random.default_rng(1).permutation(max(0, len(order) - BATCH)))])
+    lanes, carried = [], []
+    while lanes or waiting:
+        while waiting and len(lanes) < BATCH:
+            lanes.append((documents[waiting.popleft()], 0))
+        inputs, targets = np.zeros((len(lanes), WINDOW), "int64"), np.full((len(lanes), WINDOW), -1)
+        for i, (x, at) in enumerate(lanes):
+            part = x[at:at + WINDOW]
+            targets[i, :len(part)], inputs[i, 1:len(part)], inputs[i, 0] = part, part[:-1], x[at - 1] if at else 0
+        yield inputs, targets, carried
+        carried = [i for i, (x, at) in enumerate(lanes) if at + WINDOW < len(x)]
+        lanes = [(lanes[i][0], lanes[i][1] + WINDOW) for i in carried]
+
+
+def train_shard(network: Network, blocks: Iterable[list[np.ndarray]]) -> tuple[Network, float]:
+    """One pass of Adam over all ids of the documents of `blocks`, each document's state carried from window to window. Returns the network and its weight."""
     w = {k: v.copy() for k, v in network.w.items()}
     first, second, n, seen = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0, 0
     own = Network(w)
-    for a in range(0, len(segments), BATCH):
-        part = segments[a:a + BATCH]
-        inputs = np.concatenate([part[:, :1], np.maximum(part[:, 1:-1], 0)], 1)
-        targets, h = part[:, 1:], np.zeros((len(part), HIDDEN), "float32")
-        for t in range(0, targets.shape[1], WINDOW):
-            if not (targets[:, t:t + WINDOW] >= 0).any():
-                break
-            grad, h, _, real = own.gradients(inputs[:, t:t + WINDOW], targets[:, t:t + WINDOW], h)
+    for documents in blocks:
+        h = np.zeros((0, HIDDEN), "float32")
+        for inputs, targets, carried in windows(documents):
+            h = np.concatenate([h[carried], np.zeros((len(inputs) - len(carried), HIDDEN), "float32")])
+            grad, h, _, real = own.gradients(inputs, targets, h)
             n, seen = n + 1, seen + real
             for k, g in grad.items():
                 g = g / np.float32(max(1, real))
@@ -243,28 +256,45 @@ class Words:
         return np.where(at >= 0, self.ids[at], SHORT), at
 
 
-def fit_network(cuts: DataFrame, words: Words, total: int, rounds: int = ROUNDS) -> Network:
-    """A network from `cuts` (segment), one of each training document. Each task trains its own copy on its segments; the copies are
+def numbered(training: DataFrame, words: Words) -> DataFrame:
+    """Per row of `training` (text): ids, those of all its tokens."""
+    shared = training.sparkSession.sparkContext.broadcast((words.words, words.counts))
+
+    def run(batches):
+        hasher, known = WordHasher(), Words(*shared.value)
+        for batch in batches:
+            ids = [known.find(tokens(hasher, t.as_py()))[0].astype("int16") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int16()))], ["ids"])
+
+    return training.select("text").mapInArrow(run, "ids array<short>")
+
+
+def fit_network(training: DataFrame, words: Words, total: int, rounds: int = ROUNDS) -> Network:
+    """A network from `training` (ids), the whole documents. Each task trains its own copy on its documents; the copies are
     averaged in Spark, by their tokens, and the next round goes on from there."""
-    shared = cuts.sparkSession.sparkContext.broadcast((words.words, words.counts))
     network = Network.start(words.short_counts, total)
     for _ in range(rounds):
-        now = cuts.sparkSession.sparkContext.broadcast(network.w)
+        now = training.sparkSession.sparkContext.broadcast(network.w)
 
         def train(batches, now=now):
-            known = Words(*shared.value)
-            rows = [known.find(x.values.to_numpy(zero_copy_only=False))[0] for batch in batches for x in batch.column("segment")]
-            if not rows:
-                return
-            segments = np.full((len(rows), SEGMENT + 1), -1)
-            for i, r in enumerate(rows):
-                segments[i, :len(r)] = r
-            segments = segments[np.random.default_rng(1).permutation(len(segments))]
-            own, weight = train_shard(Network(now.value), segments)
-            values = own.flat().astype("float64")
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype="int32")), pa.array(values * weight), pa.array(np.full(len(values), weight))], ["place", "value", "weight"])
-
-        merged = (cuts.mapInArrow(train, "place int, value double, weight double").groupBy("place")
+            def blocks():
+                held, size = [], 0
+                for batch in batches:
+                    for x in batch.column("ids"):
+                        held.append(x.values.to_numpy(zero_copy_only=False).copy())  # a view would keep the whole batch
+                        size += len(held[-1])
+                        if size >= BLOCK_IDS:
+                            yield held
+                            held, size = [], 0
+                if held:
+                    yield held
+
+            own, weight = train_shard(Network(now.value), blocks())
+            if weight:
+                values = own.flat().astype("float64")
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype="int32")), pa.array(values * weight), pa.array(np.full(len(values), weight))], ["place", "value", "weight"])
+
+        merged = (training.mapInArrow(train, "place int, value double, weight double").groupBy("place")
                   .agg((F.sum("value") / F.sum("weight")).alias("value")).orderBy("place").toPandas())  # one row per weight of the network
         if len(merged):
             network = network.filled(merged["value"].to_numpy())
@@ -284,10 +314,10 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) ->
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"), *row_keys("doc_id", "text"))
     training = rows.filter("not held_out")
     seen = staged(gather(training), "lm-gathered")
-    counts = staged(seen.filter("word is not null").groupBy("word").agg(F.sum("count").alias("count")), "lm-counts")
+    counts = staged(seen.groupBy("word").agg(F.sum("count").alias("count")), "lm-counts")
     sums = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words = Words(*frequent(counts))
-    network = fit_network(seen.filter("segment is not null").select("segment"), words, sums["n"], rounds)
+    network = fit_network(staged(numbered(training, words), "lm-ids"), words, sums["n"], rounds)
     shared = docs.sparkSession.sparkContext.broadcast((words.words, words.counts, network.w))
 
     def run(batches):
