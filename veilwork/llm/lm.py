@@ -218,11 +218,12 @@ def train_shard(network: Network, blocks: Iterable[list[np.ndarray]]) -> tuple[N
             h = np.concatenate([h[carried], np.zeros((len(inputs) - len(carried), HIDDEN), "float32")])
             grad, h, _, real = own.gradients(inputs, targets, h)
             n, seen = n + 1, seen + real
+            rate = np.float32(RATE * real / (WINDOW * BATCH))  # by ids, so that windows of the last few documents do not outweigh full ones
             for k, g in grad.items():
                 g = g / np.float32(max(1, real))
                 first[k] += np.float32(0.1) * (g - first[k])
                 second[k] += np.float32(0.01) * (g * g - second[k])
-                w[k] -= np.float32(RATE) * (first[k] / np.float32(1 - 0.9 ** n)) / (np.sqrt(second[k] / np.float32(1 - 0.99 ** n)) + np.float32(1e-6))
+                w[k] -= rate * (first[k] / np.float32(1 - 0.9 ** n)) / (np.sqrt(second[k] / np.float32(1 - 0.99 ** n)) + np.float32(1e-6))
     return own, float(seen)
 
 
