@@ -36,5 +36,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_keys(*columns: str) -> list[Column]:
-    """Two 64-bit hashes of different seeds: 128 bits that name a row by its content. Rows that repeat share them."""
-    return [F.xxhash64(*columns).alias("key1"), F.xxhash64(F.lit("second"), *columns).alias("key2")]
+    """Two 64-bit hashes of different seeds: 128 bits that name a row by its content. Rows that repeat share them. The hash skips
+    nulls, so which columns are null is hashed too."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return [F.xxhash64(nulls, *columns).alias("key1"), F.xxhash64(F.lit("second"), nulls, *columns).alias("key2")]

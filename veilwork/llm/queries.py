@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import bpe, exact_dedup, jaccard, langid, lm, packing, pii, quality, rules, urls
+from veilwork.llm import bpe, exact_dedup, jaccard, langid, lexical, lm, packing, pii, quality, rules, spelling, token_counts, urls
 from veilwork.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,30 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), limit=1024)
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE["op13_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{lexical.TERM}') AS words FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{lexical.TERM}')) AS words FROM benchmark),
+n AS (SELECT count(*) AS docs, sum(len(words)) AS terms FROM d WHERE len(words) > 0),
+t AS (SELECT r, doc_id, any_value(len(words)) AS n, word, count(*) AS tf FROM (SELECT r, doc_id, words, unnest(words) AS word FROM d) GROUP BY r, doc_id, word),
+w AS (SELECT word, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, n GROUP BY word, docs),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * t.n * docs) // CAST(terms AS BIGINT))))) AS BIGINT) AS score
+      FROM (SELECT q, item_id, unnest(words) AS word FROM i) JOIN t USING (word) JOIN w USING (word), n GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
