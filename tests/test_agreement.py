@@ -25,7 +25,7 @@ def rows(df):
     return sorted(map(repr, df.collect()))
 
 
-@pytest.mark.parametrize("method", ["inline", "automaton"])
+@pytest.mark.parametrize("method", ["inline", "broadcast", None])
 def test_dictionary_methods_agree(spark, method):
     words = D.prepare_lexicon(lexicon(spark, SF), ["NATION_3"])
     units = ledger(spark, SF)
@@ -34,13 +34,6 @@ def test_dictionary_methods_agree(spark, method):
     assert rows(a) == rows(b)
 
 
-def test_ngram_without_gate(spark, monkeypatch):
-    words = D.prepare_lexicon(lexicon(spark, SF))
-    gated = rows(D.ngram_rows(ledger(spark, SF), words))
-    monkeypatch.setattr(D, "GATE_CHARS", 0)
-    assert rows(D.ngram_rows(ledger(spark, SF), words)) == gated
-
-
 def test_numbering_paths_agree(spark):
     first = TK.first_uses(token_spans(resolved_units(D.detect(ledger(spark, SF), LOUD, lexicon(spark, SF)), LOUD), LOUD)).cache()
     one = TK.number_rows(first, "type", ["file_ord", "unit_ord", "start"]).select("original", "type", "k")
@@ -108,7 +101,7 @@ def test_round_trip_and_both_restores(spark, monkeypatch):
     pairs = [(r["token"], r["original"]) for r in run.mapping.collect()]
     inline = RS.unmask_inline(run.masked.select(*UNIT_KEY, F.col("masked_text").alias("text")), pairs)
     assert rows(inline.select("file_ord", "restored")) == rows(back.select("file_ord", "restored"))
-    monkeypatch.setattr(RS, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("veilwork.session.BROADCAST_ROWS", 0)
     other = RS.unmask_tokens(run.masked.select(*UNIT_KEY, F.col("masked_text").alias("text")), run.mapping)
     assert rows(other.select("file_ord", "restored")) == rows(back.select("file_ord", "restored"))
 

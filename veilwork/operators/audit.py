@@ -9,6 +9,7 @@ from veilwork.functions.text import fingerprint
 from veilwork.operators.detect import ngram_rows
 from veilwork.operators.tokens import tokens_in
 from veilwork.schema import UNIT_KEY
+from veilwork.session import stage, table_join
 
 
 def file_tokens(units: DataFrame, text_col: str = "text") -> DataFrame:
@@ -17,16 +18,16 @@ def file_tokens(units: DataFrame, text_col: str = "text") -> DataFrame:
 
 def residual_tokens(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
     """Mapped placeholders still present after a restore: a defect."""
-    return file_tokens(units, text_col).join(mapping.select("token"), "token", "left_semi")
+    return table_join(stage(file_tokens(units, text_col)), mapping.select("token").distinct(), "token", "left_semi")
 
 
 def foreign_tokens(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
     """Placeholders this mapping does not know: natural text or another batch's file."""
-    return file_tokens(units, text_col).join(mapping.select("token"), "token", "left_anti")
+    return table_join(stage(file_tokens(units, text_col)), mapping.select("token").distinct(), "token", "left_anti")
 
 
 def residual_aliases(units: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Mapped words without a bracket still present, found by the substring join."""
+    """Mapped words without a bracket still present, found by the index of phrases."""
     keys = (mapping.filter(~F.contains(F.col("token"), F.lit("[")) & (F.col("token") != ""))
             .select(F.col("token").alias("word")).distinct())
     return ngram_rows(units, keys, key=UNIT_KEY).select("file", F.col("word").alias("alias")).distinct()
@@ -52,17 +53,27 @@ def strip_masked(name: Column) -> Column:
     return F.regexp_replace(name, r"_masked(\.[^.]*)$", "$1")
 
 
-def source_candidates(names: DataFrame, renames: DataFrame, hops: int = 3) -> DataFrame:
-    """(name, candidate): the name itself and what up to `hops` renames lead back to."""
+def source_candidates(names: DataFrame, renames: DataFrame) -> DataFrame:
+    """(name, candidate): the name itself and all that renames lead back to, however many there were.
+
+    A name has one earlier name at most, so renames form chains, trees and cycles. Pointers are doubled: pairs (name, ancestor) of
+    fewer than 2^r hops join the pointers of 2^r hops, so a chain of n renames takes log2(n) rounds. Going round a cycle adds no
+    pair; the round that adds none is the last.
+    """
     # A later record of the same new name replaces an earlier one.
-    latest = (renames.filter(F.col("new_name") != "").groupBy("new_name")
-              .agg(F.max(F.struct("ord", "old_name")).alias("m")).select("new_name", F.col("m.old_name").alias("old_name")))
-    level = names.select("name", F.col("name").alias("candidate")).distinct()
-    found = level
-    for _ in range(hops):
-        level = (level.join(latest, F.col("candidate") == F.col("new_name"))
-                 .select("name", F.col("old_name").alias("candidate")))
-        found = found.unionByName(level)
+    jump = stage(renames.filter("new_name <> '' and old_name is not null").groupBy("new_name")
+                 .agg(F.max(F.struct("ord", "old_name")).alias("m")).select(F.col("new_name").alias("at"), F.col("m.old_name").alias("to")))
+    found = stage(names.select("name", F.col("name").alias("candidate")).filter("name is not null").distinct())
+    known = found.count()
+    while True:
+        more = table_join(found.withColumnRenamed("candidate", "at"), jump, "at").select("name", F.col("to").alias("candidate"))
+        found = stage(found.unionByName(more).distinct())
+        now = found.count()
+        if now == known:
+            break
+        known = now
+        onward = jump.select(F.col("at").alias("to"), F.col("to").alias("further"))
+        jump = stage(table_join(jump, onward, "to").select("at", F.col("further").alias("to")))
     both = found.select("name", F.explode(F.array(F.col("candidate"), strip_masked(F.col("candidate")))).alias("candidate"))
     return both.distinct()
 

@@ -6,7 +6,6 @@ run without a shuffle. `detections` turns the arrays into the usual one-row-per-
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -17,15 +16,13 @@ from pyspark.sql import functions as F
 from veilwork.config import MaskConfig
 from veilwork.functions.rules import let, no_hits, regex_hits
 from veilwork.functions.spans import context
+from veilwork.operators.phrases import PhraseIndex, build_index, confirm, occurring, with_candidates
 from veilwork.operators.tagging import ner_hits, tag_units
 from veilwork.schema import CHANNELS, TYPES, UNIT_KEY
+from veilwork.session import BROADCAST_ROWS, stage, table_join
 
-# Up to this many words the lexicon is inlined as a literal and tested with `contains`.
-INLINE_WORDS = 64
-# Up to this many words one matching automaton per task is built from a broadcast word list.
-AUTOMATON_WORDS = 200_000
-# Up to this many first (or second) characters of one word length gate the substrings that are cut.
-GATE_CHARS = 64
+# Beyond so many bytes of words a lexicon, or a whitelist, is joined and not broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def _hit(text: Column, type_: Column, source: str, rule: Column, pos: Column) -> Column:
@@ -73,25 +70,23 @@ def dictionary_inline(units: DataFrame, words: list) -> DataFrame:
         found, lambda x: _hit(x["w"], x["t"], "dictionary", x["r"], F.instr(text, x["w"]))))
 
 
-def dictionary_automaton(units: DataFrame, words: list) -> DataFrame:
-    """One pass per text over Arrow batches, whatever the number of words."""
+def dictionary_broadcast(units: DataFrame, words: list, index: PhraseIndex) -> DataFrame:
+    """Strings that the index lets through are looked up in a broadcast table, in the scan task."""
     table = sorted((r["rule"], r["word"], r["type"]) for r in words)
+    shared = units.sparkSession.sparkContext.broadcast((index.bits, index.lengths, *map(list, zip(*table))))
 
     @F.arrow_udf("array<struct<word:string,type:string,rule:bigint>>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import ahocorasick
-        machine = ahocorasick.Automaton()
-        for i, (_, word, _) in enumerate(table):
-            machine.add_word(word, i)
-        machine.make_automaton()
-        rules, names, types = (pa.array(list(c)) for c in zip(*table))
+        bits, lengths, rules, names, types = shared.value
+        known, places = PhraseIndex(bits, lengths), {w: i for i, w in enumerate(names)}
+        columns = [pa.array(c) for c in (names, types, rules)]
         for texts in batches:
             found, ends = [], [0]
-            for t in texts.to_pylist():
-                found += sorted({i for _, i in machine.iter(t)}) if t else []
+            for strings in known.candidates(texts.to_pylist()):
+                found += sorted(places[x] for x in strings if x in places)
                 ends.append(len(found))
             at = pa.array(found, pa.int64())
-            rows = pa.StructArray.from_arrays([names.take(at), types.take(at), rules.take(at)], ["word", "type", "rule"])
+            rows = pa.StructArray.from_arrays([c.take(at) for c in columns], ["word", "type", "rule"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return units.withColumn("dict_hits", F.transform(
@@ -99,50 +94,38 @@ def dictionary_automaton(units: DataFrame, words: list) -> DataFrame:
 
 
 def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY) -> DataFrame:
-    """(key, word, type, rule) by an equi join on substrings: works for a lexicon of any size.
-
-    One look-ahead pattern per distinct word length cuts the overlapping substrings in one pass.
-    Where the words of a length start with few characters, only such positions are cut; this is
-    a coarse gate made of two character classes, and the join decides.
-    """
-    heads = (words.groupBy(F.length("word").alias("n")).agg(
-        F.collect_set(F.substring("word", 1, 1)).alias("first"), F.collect_set(F.substring("word", 2, 1)).alias("second"))
-        .select("n", *[F.when(F.size(c) <= GATE_CHARS, F.col(c)).alias(c) for c in ("first", "second")]).collect())
-
-    def one_of(chars):
-        return "." if not chars else "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
-    grams = []
-    for r in heads:
-        n = r["n"]
-        body = one_of(r["first"]) + (one_of(r["second"]) if n > 1 else "") + (f".{{{n - 2}}}" if n > 2 else "")
-        grams.append(F.regexp_extract_all("text", F.lit(f"(?s)(?=({body}))"), F.lit(1)))
-    if not grams:  # an empty lexicon
-        grams = [F.array().cast("array<string>")]
-    cut = units.select(*key, F.explode_outer(F.array_distinct(F.concat(*grams))).alias("word")).filter("word is not null")
-    return cut.join(words, "word").select(*key, "word", *[c for c in words.columns if c != "word"])
-
-
-def dictionary_ngram(units: DataFrame, words: DataFrame) -> DataFrame:
-    """The join form brought back to one array per unit."""
-    rows = ngram_rows(units, words)
-    grouped = rows.groupBy(*UNIT_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("rule", "word", "type"))).alias("found"))
-    joined = units.join(grouped, list(UNIT_KEY), "left")
+    """(key, word, type, rule) of the words that occur in each unit, by an index of their ends and an equi join."""
+    rows = occurring(units, words, tuple(key), column="word")
+    return rows.select(*key, "word", *[c for c in words.columns if c != "word"])
+
+
+def dictionary_join(units: DataFrame, words: DataFrame, index: PhraseIndex) -> DataFrame:
+    """Only units with strings that the index lets through are staged and shuffled; the others pass as they are."""
+    marked = with_candidates(units, index, "text", "_found")
+    some = stage(marked.filter(F.size("_found") > 0))
+    rows = confirm(some.select(*UNIT_KEY, F.explode("_found").alias("word")), words, "word")
+    grouped = rows.groupBy(*UNIT_KEY).agg(F.array_sort(F.collect_list(F.struct("rule", "word", "type"))).alias("found"))
+    joined = some.drop("_found").join(grouped, list(UNIT_KEY), "left")
     hits = F.transform("found", lambda x: _hit(
         x["word"], x["type"], "dictionary", x["rule"], F.instr(F.col("text"), x["word"])))
-    return joined.withColumn("dict_hits", F.coalesce(hits, no_hits())).drop("found")
+    joined = stage(joined.withColumn("dict_hits", F.coalesce(hits, no_hits())).drop("found"))
+    return joined.unionByName(marked.filter(F.size("_found") == 0).drop("_found").withColumn("dict_hits", no_hits()))
 
 
 def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = None) -> DataFrame:
-    """Add `dict_hits`, choosing the method by the counted size of the prepared lexicon."""
+    """Add `dict_hits`. The index finds the strings that may be words; what they are is looked up in a broadcast of the
+    prepared lexicon if its counted rows and bytes allow one, else by a join. `method` names one of the forms."""
     if method == "ngram":
-        return dictionary_ngram(units, words)
-    rows = words.limit(AUTOMATON_WORDS + 1).collect()
-    if method is None and len(rows) > AUTOMATON_WORDS:
-        return dictionary_ngram(units, words)
-    if method == "inline" or (method is None and len(rows) <= INLINE_WORDS):
-        return dictionary_inline(units, rows)
-    return dictionary_automaton(units, rows)
+        method = "join"
+    size = words.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
+    if method == "inline":
+        return dictionary_inline(units, words.collect())
+    index = build_index(words, "word")
+    if index is None:
+        return units.withColumn("dict_hits", no_hits())
+    if method == "join" or (method is None and (size["rows"] > BROADCAST_ROWS or size["bytes"] > BROADCAST_BYTES)):
+        return dictionary_join(units, words, index)
+    return dictionary_broadcast(units, words.collect(), index)
 
 
 # ---- all channels -----------------------------------------------------------------------
@@ -154,8 +137,12 @@ def first_per_text(hits: Column) -> Column:
 
 
 def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame | None = None,
-           tagger=None, regex: bool = True, method: str | None = None, positions: bool = True) -> DataFrame:
-    """Units plus `hits`. A manual-only run (`auto_detect=False`) closes the other channels."""
+           tagger=None, regex: bool = True, method: str | None = None, positions: bool = True,
+           whitelist: DataFrame | None = None) -> DataFrame:
+    """Units plus `hits`. A manual-only run (`auto_detect=False`) closes the other channels.
+
+    `whitelist` (word) is a table of any size, beside the few words of `cfg.whitelist`.
+    """
     listed = list(cfg.whitelist)
     text = F.col("text")
     out = units
@@ -177,8 +164,33 @@ def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame
         hits = F.filter(hits, lambda h: (h["source"] == "manual") | ~F.array_contains(harmless, h["text"]))
     # Bound once: every mention of an unbound expression would run all channels again.
     once = let(hits, lambda h: F.when(F.size(h) > 1, first_per_text(h)).otherwise(h))
-    return out.withColumn("hits", once).drop(*drop)
-
+    out = out.withColumn("hits", once).drop(*drop)
+    return out if whitelist is None or not cfg.auto_detect else spare_whitelisted(out, whitelist)
+
+
+def spare_whitelisted(detected: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """`detected` without hits on words of the table `whitelist`, those of the manual channel excepted. A whitelist whose counted rows and
+    bytes allow it is looked up in place; else skinny rows of hit texts meet it in a join, and only units with such a hit are shuffled."""
+    words = stage(whitelist.select("word").filter("word <> ''").distinct())
+    size = words.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
+    keep = lambda h, harmless: (h["source"] == "manual") | ~harmless
+    if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
+        shared = detected.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in words.collect()))
+
+        @F.arrow_udf("array<boolean>")
+        def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([None if texts is None else [t in shared.value for t in texts] for texts in batch.to_pylist()], pa.list_(pa.bool_()))
+
+        marked = detected.withColumn("_listed", F.when(F.size("hits") > 0, listed(F.transform("hits", lambda h: h["text"]))))
+        spared = F.when(F.col("_listed").isNull(), F.col("hits")).otherwise(F.filter("hits", lambda h, i: keep(h, F.col("_listed")[i])))
+        return marked.withColumn("hits", spared).drop("_listed")
+    some = stage(detected.filter(F.size("hits") > 0))
+    texts = stage(some.select(*UNIT_KEY, F.explode(F.array_distinct(F.transform("hits", lambda h: h["text"]))).alias("word")))
+    harmless = table_join(texts, words, "word", "left_semi").groupBy(*UNIT_KEY).agg(F.collect_set("word").alias("_harmless"))
+    joined = some.join(harmless, list(UNIT_KEY), "left")
+    spared = F.when(F.col("_harmless").isNull(), F.col("hits")).otherwise(F.filter("hits", lambda h: keep(h, F.array_contains("_harmless", h["text"]))))
+    return joined.withColumn("hits", spared).drop("_harmless").unionByName(detected.filter(F.size("hits") == 0))
 
 def detections(units_with_hits: DataFrame, n_context: int = 50) -> DataFrame:
     """One row per hit, with context around its place."""
@@ -194,8 +206,9 @@ def detections(units_with_hits: DataFrame, n_context: int = 50) -> DataFrame:
 
 def apply_whitelist(rows: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Whole-match exclusion for every channel but the manual one."""
-    listed = whitelist.select(F.col("word").alias("_w")).distinct()
-    return rows.join(listed, (F.col("text") == F.col("_w")) & (F.col("source") != "manual"), "left_anti")
+    words = whitelist.select(F.col("word").alias("text")).distinct()
+    manual = F.coalesce(F.col("source") == "manual", F.lit(False))
+    return rows.filter(manual).unionByName(table_join(rows.filter(~manual), words, "text", "left_anti").select(*rows.columns))
 
 
 def dedup_channels(rows: DataFrame) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from veilwork.functions.rules import let
 from veilwork.functions.text import trim_ws
-from veilwork.operators.tokens import TOKEN, tokens_in
+from veilwork.operators.phrases import PhraseIndex, build_index, confirm, with_candidates
 from veilwork.schema import UNIT_KEY
-from veilwork.session import BROADCAST_ROWS, lookup_join
+from veilwork.session import stage
 
-# Up to this many keys the mapping is inlined and applied by successive replacement.
-INLINE_KEYS = 64
 # Fixed value: a restored value with this shape goes back as a number.
 NUMBER_FORM = r"^-?\p{Nd}{1,19}(?:\.\p{Nd}{1,6})?$"
+PAIRS = "array<struct<token:string,original:string,kind:string>>"
 
 
 def bracket_gate(mapping: DataFrame, key: str = "token") -> DataFrame:
@@ -23,8 +23,8 @@ def bracket_gate(mapping: DataFrame, key: str = "token") -> DataFrame:
 
 
 def unmask_inline(units: DataFrame, pairs: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """Successive replacement, longest key first, with the set of keys that were present."""
-    ordered = sorted((p for p in pairs if p[0]), key=lambda p: -len(p[0]))
+    """The rule itself, for a mapping at hand: successive replacement, longest key first, with the set of keys that were present."""
+    ordered = sorted((p for p in pairs if p[0]), key=lambda p: (-len(p[0]), p[0]))
     text = F.col(text_col)
     if not ordered:
         return units.withColumn("restored", text).withColumn("hits", F.array().cast("array<string>"))
@@ -39,57 +39,89 @@ def unmask_inline(units: DataFrame, pairs: list[tuple[str, str]], text_col: str
     return out.withColumn("restored", F.col("_r.t")).withColumn("hits", F.col("_r.hits")).drop("_r")
 
 
-def swap_tokens(text: Column, tokens: Column) -> Column:
-    """Replace placeholders by a token -> original map; unknown ones stay."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def replace_in_turn(text: str, pairs: list[tuple[str, str]]) -> tuple[str, list[str], list[tuple[int, str]]]:
+    """The text after successive replacement by `pairs` in their order, the keys that were present, and the surroundings of what was put
+    in, each with the length from which a key is too long to be due after it."""
+    hits, around = [], []
+    for key, original in pairs:
+        gaps = text.split(key)
+        if len(gaps) == 1:
+            continue
+        hits.append(key)
+        text, at, reach = original.join(gaps), 0, len(key) - 1
+        for gap in gaps[:-1]:
+            at += len(gap)
+            around.append((len(key), text[max(0, at - reach):at + len(original) + reach]))
+            at += len(original)
+    return text, hits, around
+
+
+def _apply(rows: DataFrame, index: PhraseIndex, text_col: str) -> DataFrame:
+    """`rows` with `restored`, `hits` and `_more`: strings that may be keys and came up only by a replacement."""
+    shared = rows.sparkSession.sparkContext.broadcast((index.bits, index.lengths))
+
+    def run(batches):
+        known = PhraseIndex(*shared.value)
+        for batch in batches:
+            restored, hits, more = [], [], []
+            for text, pairs in zip(batch.column(text_col).to_pylist(), batch.column("_pairs").to_pylist(), strict=True):
+                ordered = sorted(((p["token"], p["original"]) for p in pairs), key=lambda p: (-len(p[0]), p[0]))
+                new, found, around = replace_in_turn(text, ordered)
+                own = {k for k, _ in ordered}
+                later = known.candidates([window for _, window in around])
+                restored.append(new)
+                hits.append(found)
+                more.append(sorted({c for (limit, _), some in zip(around, later, strict=True) for c in some if len(c) <= limit} - own))
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(restored, pa.string()), pa.array(hits, strings), pa.array(more, strings)],
+                                             [*batch.schema.names, "restored", "hits", "_more"])
+
+    strings = ArrayType(StringType())
+    schema = StructType([*rows.schema.fields]).add("restored", "string").add("hits", strings).add("_more", strings)
+    return rows.mapInArrow(run, schema)
+
+
+def _restored(units: DataFrame, mapping: DataFrame, text_col: str) -> DataFrame:
+    """`units` with `restored`, `hits` and `_pairs`, the mapping's rows whose keys came up in the text."""
+    kind = F.col("kind") if "kind" in mapping.columns else F.lit(None).cast("string")
+    keys = mapping.filter("token <> '' and original is not null").groupBy("token").agg(F.min(F.struct("original", kind.alias("kind"))).alias("m"))
+    keys = stage(keys.select("token", "m.original", "m.kind"))
+    untouched = {"restored": F.col(text_col), "hits": F.array().cast("array<string>"), "_pairs": F.array().cast(PAIRS)}
+    index = build_index(keys, "token")
+    if index is None:
+        return units.withColumns(untouched)
+    marked = with_candidates(units, index, text_col, "_found")
+    some = stage(marked.filter(F.size("_found") > 0))
+    known = stage(confirm(some.select(*UNIT_KEY, F.explode("_found").alias("token")), keys, "token"))
+    some = some.drop("_found")
+    while True:
+        per_unit = known.groupBy(*UNIT_KEY).agg(F.collect_list(F.struct("token", "original", "kind")).alias("_pairs"))
+        # A text keeps at most as many pairs as it has different keys in it.
+        paired = some.join(per_unit, list(UNIT_KEY), "left").withColumn("_pairs", F.coalesce("_pairs", untouched["_pairs"]))
+        done = stage(_apply(paired, index, text_col))
+        more = confirm(done.select(*UNIT_KEY, F.explode("_more").alias("token")), keys, "token")
+        if more.isEmpty():
+            break
+        known = stage(known.unionByName(more.select(*known.columns)))
+    rest = marked.filter(F.size("_found") == 0).drop("_found").withColumns(untouched)
+    return done.select(*rest.columns).unionByName(rest)
 
-    def build(m):
-        return F.concat(F.array_join(F.transform(m["found"], lambda t, i: F.concat(
-            m["gaps"][i], F.coalesce(F.try_element_at(tokens, t), t))), ""), F.element_at(m["gaps"], -1))
-    return let(F.struct(found.alias("found"), F.split(text, TOKEN, -1).alias("gaps")), build)
 
+def unmask(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add `restored` and `hits` (the keys that were present) to `units`.
 
-def unmask_tokens(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
-    """Join form for placeholder mappings of any size: only texts with a placeholder are shuffled.
-
-    Adds `restored` and `hits`.
+    One rule for mappings of any size and keys of any shape: each key of `mapping` (token, original) is replaced everywhere, the longest
+    first, equal lengths by code points. So of nested or overlapping keys the longest wins, and a key that an earlier replacement
+    brings up is replaced if its turn is still to come. The keys are found by an index of fixed size and an equi-join, never collected;
+    only texts that may hold one are shuffled. A key that came up by a replacement leads to another round for the texts.
+    Null texts stay null; null and empty keys, and null originals, are left out; of rows with the same key that with the smallest original counts.
     """
-    asked = (units.filter(F.contains(F.col(text_col), F.lit("[")))
-             .select(*UNIT_KEY, F.explode(tokens_in(F.col(text_col))).alias("token")))
-    per_token = (asked.groupBy("token").agg(F.count(F.lit(1)).alias("uses")))
-    dim = mapping.select("token", "original").join(per_token, "token")
-    rows = mapping.limit(BROADCAST_ROWS + 1).count()
-    known = lookup_join(asked, dim if rows > BROADCAST_ROWS else mapping.select("token", "original", F.lit(1).alias("uses")),
-                        "token", "uses", rows)
-    per_unit = known.groupBy(*UNIT_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("tokens"))
-    some = units.filter(F.size(tokens_in(F.col(text_col))) > 0).join(per_unit, list(UNIT_KEY), "left")
-    no_keys = F.array().cast("array<string>")
-    swapped = (some.withColumn("restored", F.when(F.col("tokens").isNull(), F.col(text_col))
-                               .otherwise(swap_tokens(F.col(text_col), F.col("tokens"))))
-               .withColumn("hits", F.coalesce(F.array_sort(F.map_keys("tokens")), no_keys)).drop("tokens"))
-    rest = (units.filter(F.size(tokens_in(F.col(text_col))) == 0)
-            .withColumn("restored", F.col(text_col)).withColumn("hits", no_keys))
-    return swapped.unionByName(rest)
+    return _restored(units, mapping, text_col).drop("_pairs")
 
 
-def unmask(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
-    """Pick the form by the counted mapping: small ones are inlined, placeholders of larger ones go through the join.
-
-    Keys of any other shape, aliases and odd brackets alike, are replaced in turn, longest first, whatever the mapping's size.
-    """
-    shaped = F.col("token").rlike(f"^(?:{TOKEN})$")
-    aliases = [(r["token"], r["original"]) for r in mapping.filter(~shaped).select("token", "original").collect()]
-    tokens = mapping.filter(shaped)
-    if not aliases and tokens.limit(INLINE_KEYS + 1).count() > INLINE_KEYS:
-        return unmask_tokens(units, tokens, text_col)
-    if tokens.limit(INLINE_KEYS + 1).count() <= INLINE_KEYS:
-        pairs = aliases + [(r["token"], r["original"]) for r in tokens.select("token", "original").collect()]
-        return unmask_inline(units, pairs, text_col)
-    # Placeholders first, so that no other key can break one apart.
-    step = unmask_tokens(units, tokens, text_col).withColumnRenamed("hits", "_h").withColumnRenamed("restored", "_t")
-    done = unmask_inline(step, aliases, "_t")
-    return done.withColumn("hits", F.array_distinct(F.concat("_h", "hits"))).drop("_h", "_t")
+def unmask_tokens(units: DataFrame, mapping: DataFrame, text_col: str = "text") -> DataFrame:
+    """As `unmask`; the name for mappings of numbered placeholders."""
+    return unmask(units, mapping, text_col)
 
 
 def restore_value(cells: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -98,12 +130,9 @@ def restore_value(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     A cell that is exactly one `number` token whose original looks like a plain number also gets
     `value_long` or `value_double`; anything mixed, or of unknown kind, stays text.
     """
-    restored = unmask(cells, mapping)
-    whole = (F.size("hits") == 1) & (trim_ws(F.col("text")) == F.col("hits")[0])
-    numbers = mapping.filter(F.col("kind") == "number").select(F.col("token").alias("_n")).distinct()
-    probe = restored.withColumn("_only", F.when(whole, F.col("hits")[0]))
-    typed = probe.join(numbers, F.col("_only") == F.col("_n"), "left")
-    numeric = F.col("_n").isNotNull() & F.col("restored").rlike(NUMBER_FORM)
-    return (typed.withColumn("value_long", F.when(numeric & ~F.contains("restored", F.lit(".")), F.expr("try_cast(restored as decimal(38,0))")))
-            .withColumn("value_double", F.when(numeric & F.contains("restored", F.lit(".")), F.expr("try_cast(restored as double)")))
-            .drop("_only", "_n"))
+    restored = _restored(cells, mapping, "text")
+    only = F.when((F.size("hits") == 1) & (trim_ws(F.col("text")) == F.col("hits")[0]), F.col("hits")[0])
+    numeric: Column = F.coalesce(F.exists("_pairs", lambda p: (p["token"] == only) & (p["kind"] == "number")), F.lit(False)) & F.col("restored").rlike(NUMBER_FORM)
+    point = F.contains("restored", F.lit("."))
+    return (restored.withColumn("value_long", F.when(numeric & ~point, F.expr("try_cast(restored as decimal(38,0))")))
+            .withColumn("value_double", F.when(numeric & point, F.expr("try_cast(restored as double)"))).drop("_pairs"))

@@ -341,8 +341,7 @@ def d9_alias_pool(spark, sf):
 
 @query("d10_avoidance", O.with_(O.LEDGER, POOLS) + "SELECT DISTINCT alias FROM pool WHERE EXISTS (SELECT 1 FROM ledger WHERE contains(text, alias))")
 def d10_avoidance(spark, sf):
-    pools = AL.AliasPools()
-    return AL.words_in_corpus(ledger(spark, sf), [w for t in AL.ALIAS_TYPES for w in pools.words(t)])
+    return AL.words_in_corpus(ledger(spark, sf), AL.pool_table(spark))
 
 
 ALIASED = """usable AS (SELECT type, alias, row_number() OVER (PARTITION BY type ORDER BY ord) AS k FROM pool WHERE NOT EXISTS (SELECT 1 FROM ledger WHERE contains(text, alias))),
@@ -363,7 +362,7 @@ def d11_aliases(spark, sf):
 def d12_exhausted(spark, sf):
     units = ledger(spark, sf)
     pool = AL.pool_table(spark)
-    seen = AL.words_in_corpus(units, [w for t in AL.ALIAS_TYPES for w in AL.AliasPools().words(t)])
+    seen = AL.words_in_corpus(units, pool)
     usable = pool.join(seen, "alias", "left_anti").groupBy("type").agg(F.count(F.lit(1)).alias("words"))
     first = TK.first_uses(R.token_spans(resolved(spark, sf, CFG), CFG))
     return AL.exhausted_categories(first, usable)
@@ -499,6 +498,28 @@ def e1_unmask_inline(spark, sf):
     return RS.unmask(ledger(spark, sf), pairs).select(*KEY, "restored")
 
 
+NESTED = """keys AS (SELECT c_custkey, printf('[PERSON_%03d]_1', c_custkey) AS k1, c_name || ' of <' || printf('[AMOUNT_%03d]', c_custkey) || '>' AS v1,
+    printf('[AMOUNT_%03d]', c_custkey) AS k2, c_mktsegment AS v2, printf('[PERSON_%03d]', c_custkey) AS k3, c_name AS v3 FROM customer),
+  nested AS (SELECT o_orderkey, c_custkey, 'see ' || printf('[PERSON_%03d]_1', c_custkey) || ' and [' || printf('[PERSON_%03d]', c_custkey) || ']_' || o_orderkey || ' or ' ||
+    printf('[AMOUNT_%03d]', o_orderkey) || CASE WHEN o_orderkey % 3 = 0 THEN printf('[AMOUNT_%03d]', c_custkey) ELSE ' ' END AS text FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query("e1_unmask_nested", f"""WITH {NESTED} SELECT o_orderkey AS unit_ord, replace(replace(replace(replace(text, a.k1, a.v1), a.k2, a.v2), coalesce(b.k2, a.k2), coalesce(b.v2, a.v2)), a.k3, a.v3) AS restored
+  FROM nested JOIN keys a USING (c_custkey) LEFT JOIN keys b ON b.c_custkey = o_orderkey""")
+def e1_unmask_nested(spark, sf):
+    """Keys within keys, and originals that hold a key whose turn is still to come."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    key = lambda form, column: F.format_string(form, column)
+    mapping = c.select(F.explode(F.array(
+        F.struct(key("[PERSON_%03d]_1", "c_custkey").alias("token"), F.concat("c_name", F.lit(" of <"), key("[AMOUNT_%03d]", "c_custkey"), F.lit(">")).alias("original")),
+        F.struct(key("[AMOUNT_%03d]", "c_custkey").alias("token"), F.col("c_mktsegment").alias("original")),
+        F.struct(key("[PERSON_%03d]", "c_custkey").alias("token"), F.col("c_name").alias("original")))).alias("m")).select("m.*")
+    text = F.concat(F.lit("see "), key("[PERSON_%03d]_1", "c_custkey"), F.lit(" and ["), key("[PERSON_%03d]", "c_custkey"), F.lit("]_"), "o_orderkey", F.lit(" or "),
+                    key("[AMOUNT_%03d]", "o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, key("[AMOUNT_%03d]", "c_custkey")).otherwise(" "))
+    units = o.join(c, o.o_custkey == c.c_custkey).select(F.lit("f").alias("file"), F.lit(0).cast("long").alias("file_ord"), F.col("o_orderkey").alias("unit_ord"), text.alias("text"))
+    return RS.unmask(units, mapping).select("unit_ord", "restored")
+
+
 @query("e2_restore_value", O.with_(O.MAPPING) + f"""SELECT o_orderkey AS cell, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE '共' END || original || CASE o_orderkey % 3 WHEN 2 THEN '元' ELSE '' END AS restored,
   CASE WHEN o_orderkey % 3 = 0 THEN CAST(original AS DOUBLE) END AS value_double FROM orders JOIN mapping ON token = printf('[AMOUNT_%03d]', o_orderkey + 1)""")
 def e2_restore_value(spark, sf):
@@ -562,6 +583,22 @@ def e9_candidates(spark, sf):
     return AU.source_candidates(*input_names(spark, sf))
 
 
+CHAINS = """renames AS (SELECT 'n' || c_custkey AS new_name, 'n' || (c_custkey - c_custkey % 12 + (c_custkey + 1) % 12) AS old_name, c_custkey AS ord FROM customer
+    WHERE c_custkey % 12 <> 11 OR c_custkey % 24 = 23),
+  starts AS (SELECT 'n' || c_custkey AS name FROM customer WHERE c_custkey % 5 < 2),
+  back AS (SELECT name, name AS candidate FROM starts UNION SELECT name, old_name FROM back JOIN renames ON candidate = new_name)"""
+
+
+@query("e9_rename_chains", f"WITH RECURSIVE {CHAINS} SELECT name, candidate FROM back")
+def e9_rename_chains(spark, sf):
+    """Chains of eleven renames, and cycles of twelve."""
+    c = table(spark, sf, "customer")
+    name = lambda n: F.concat(F.lit("n"), n)
+    k = F.col("c_custkey")
+    renames = c.filter((k % 12 != 11) | (k % 24 == 23)).select(name(k).alias("new_name"), name(k - k % 12 + (k + 1) % 12).alias("old_name"), k.alias("ord"))
+    return AU.source_candidates(c.filter(k % 5 < 2).select(name(k).alias("name")), renames)
+
+
 @query("e9_input_mismatch", O.with_(CAND_NAMES) + "SELECT count(DISTINCT name) AS matched, count(DISTINCT name) = 0 AS mismatch FROM cands WHERE candidate IN (SELECT c_name || '.docx' FROM customer WHERE c_mktsegment = 'BUILDING')")
 def e9_input_mismatch(spark, sf):
     registered = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat("c_name", F.lit(".docx")).alias("name"))

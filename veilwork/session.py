@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder and cut its lineage there.
+    """Write `df` once as Parquet below the checkpoint folder and cut its lineage there.
 
-    Later steps read it several times; a lost executor costs a re-read, never a recompute
-    with other partition bounds.
+    Later steps read it several times, each only the columns it needs; a lost executor costs a
+    re-read, never a recompute with other partition bounds.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, dim_rows: int) -> DataFrame:
@@ -57,6 +60,33 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, weight: str, dim_row
     return done.unionByName(rest)
 
 
+def table_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`facts.join(dim, key, how)` for inner, left, left_semi and left_anti that survives hot keys; `dim` has each key once.
+
+    The uses of the keys are counted by a partial aggregate; only what `facts` use of `dim` goes on. See `lookup_join`; facts
+    without a partner, null keys among them, never meet in one task. `facts` is read twice: stage it if it is dear.
+    """
+    uses = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_uses"))
+    known = stage(dim.join(uses, key).withColumn("_there", F.lit(True)))
+    rows = known.count()
+    if rows <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(known.drop("_uses", "_there")), key, how)
+    if how == "inner":
+        return lookup_join(facts, known.drop("_there"), key, "_uses", rows)
+    total = known.agg(F.sum("_uses")).first()[0]
+    hot = known.filter(F.col("_uses") > total // HOT_SHARE).drop("_uses")
+    cold = known.filter(F.col("_uses") <= total // HOT_SHARE).drop("_uses")
+    marked = facts.join(F.broadcast(hot.withColumnRenamed("_there", "_hot")), key, "left")
+    done, rest = marked.filter("_hot"), marked.filter("_hot is null").select(*facts.columns)
+    absent = rest.filter(F.col(key).isNull())
+    joined = rest.filter(F.col(key).isNotNull()).join(cold, key, "left")
+    if how == "left_semi":
+        return done.select(*facts.columns).unionByName(joined.filter("_there").select(*facts.columns))
+    if how == "left_anti":
+        return joined.filter("_there is null").select(*facts.columns).unionByName(absent)
+    return done.drop("_hot").unionByName(joined.drop("_there")).unionByName(absent, allowMissingColumns=True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores at least one per core; else leave it alone.
 
