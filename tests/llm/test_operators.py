@@ -197,7 +197,7 @@ def test_language_model_trains_on_every_token(spark):
     words = lm.Words(*lm.frequent(lm.gather(table).groupBy("word").agg(F.sum("count").alias("count"))))
     documents = [np.array(r["ids"]) for r in lm.numbered(table, words).collect()]
     assert sorted(map(len, documents)) == sorted(n + 1 for n in [3000, 0, 1, 31, 32, 33, 64, 65] + [200] * 150)
-    network, weight = lm.train_shard(lm.Network.start(words.short_counts, 40_000), [documents])
+    network, weight = lm.train_shard(lm.Network.start(words.short_counts, 40_000), documents)
     assert weight == sum(map(len, documents))
     read, open_ = [], []
     for inputs, targets, carried in lm.windows(documents):  # each lane's windows make one whole document, after the end's id
@@ -209,3 +209,42 @@ def test_language_model_trains_on_every_token(spark):
         read += [x for x in lanes if not any(x is y for y in read)]
         open_ = lanes
     assert sorted(map(tuple, read)) == sorted(map(tuple, documents))
+
+
+def test_language_model_against_brute_force_and_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_IDS", 4000)
+    words = [f"w{i}" for i in range(40)] + ["Rare", "Été", "中文"]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(words, p=np.append(np.full(40, 0.99 / 40), [0.01 / 3] * 3), size=rng.integers(1, 120))) for _ in range(300)] + ["", None, "new words only", "w1 " * 3000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 2
+    got = [sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lm.score_documents(table.repartition(n), held).collect()) for n in (1, 8, 64)]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
+    counts = defaultdict(int)
+    for i, t in rows:
+        if i % 7 != 2:
+            for w in split(t):
+                counts[w] += 1
+    n, v = sum(counts.values()), len(counts)
+    for (i, size, known, total, base, score), x, y in zip(*got, strict=True):
+        ws = split(texts[i])
+        assert (size, known, total) == (len(ws), sum(counts[w] > 0 for w in ws if w in counts), n)
+        assert base == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws))
+        assert score == pytest.approx(x[5], rel=1e-4) and score == pytest.approx(y[5], rel=1e-4) and score < 0
+    assert lm.score_documents(table.limit(0), held).count() == 0
+
+
+def test_network_score_is_the_log_of_a_distribution():
+    network = lm.Network.start(np.arange(lm.SHORT, 0, -1), 10 ** 6)
+    h = np.random.default_rng(1).normal(0, 0.5, (1, lm.HIDDEN)).astype("float32")
+    ids = np.arange(lm.SHORT + 1)
+    assert np.exp(network.output(np.repeat(h, len(ids), 0), np.minimum(ids, lm.SHORT))).sum() == pytest.approx(1, rel=1e-3)
+    documents = [np.array([5, 7, 9, 1024, 0], "int16"), np.array([0], "int16"), np.arange(100, dtype="int16")]
+    for x, got in zip(documents, network.score(documents), strict=True):
+        state, last, total = np.zeros((1, lm.HIDDEN), "float32"), 0, 0.0
+        for i in x:
+            state, _ = network.step(np.array([last]), state)
+            total += float(network.output(state, np.array([int(i)]))[0])
+            last = int(i)
+        assert got == pytest.approx(total / np.log(10), rel=1e-4)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,9 @@ END = 0x0E0D  # the hash that stands for the end of a text
 TOP_WORDS = 1 << 18  # at most so many frequent words are broadcast, 4 MB with their counts; the others meet theirs in a join
 HIDDEN, CLASSES, MEMBERS = 16, 32, 32  # the network knows CLASSES x MEMBERS words; class CLASSES holds all others
 SHORT = CLASSES * MEMBERS
-WINDOW, BATCH = 32, 128  # steps of truncated backpropagation, documents side by side
-BLOCK_IDS = 1 << 22  # ids of whole training documents that a task holds at once
-ROUNDS, RATE = 3, 0.01
+WINDOW, BATCH = 32, 256  # steps of truncated backpropagation, documents side by side
+SHARD_IDS = 1 << 22  # ids of whole training documents that one copy of the network learns from: their number sets the shards, not the partitions
+ROUNDS, RATE = 1, 0.03
 TOGETHER = 16_384  # documents scored side by side, so that few steps go to the last long ones alone
 OUTPUT_ROWS = 65_536  # states whose outputs are computed at once
 SLOTS = (1 << 20) - 1
@@ -98,38 +98,46 @@ class Network:
         return new + z * (h - new), (ids, h, z, r, new, u[:, 2 * n:])
 
     def output(self, h: np.ndarray, ids: np.ndarray, learn: bool = False):
-        """Natural log of each word's probability after its state; with `learn`, also gradients of the loss to `h` and weights."""
-        w, k = self.w, ids // MEMBERS
-        logits = h @ w["c"] + w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(ids))
-        out = logits[rows, k] - np.log(total[:, 0])
-        if learn:
-            d = e / total
-            d[rows, k] -= 1
-            grad = {"c": h.T @ d, "cb": d.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
-            dh = d @ w["c"].T
-        k = k.astype("int16")
+        """Natural log of each word's probability after its state; with `learn`, also gradients of the loss to `h` and weights.
+
+        States stand side by side, in the order of their words' classes, so that sums over classes and members run along memory.
+        """
+        w, k = self.w, (ids // MEMBERS).astype("int16")
         order = np.argsort(k, kind="stable")
-        bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        h, k, m, rows = h[order], k[order], ids[order], np.arange(len(ids))
+        e = w["c"].T @ h.T
+        e += w["cb"][:, None]
+        e -= e.max(0)
+        own = e[k, rows]
+        np.exp(e, out=e)
+        total = e.sum(0)
+        out = own - np.log(total)
+        if learn:
+            e /= total
+            e[k, rows] -= 1
+            grad = {"c": h.T @ e.T, "cb": e.sum(1), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
+            dh = e.T @ w["c"].T
+        bounds = np.searchsorted(k, np.arange(CLASSES + 1))
         for j in range(CLASSES):
-            at = order[bounds[j]:bounds[j + 1]]
-            if not len(at):
+            a, b = bounds[j], bounds[j + 1]
+            if a == b:
                 continue
-            x, m = h[at], ids[at] - j * MEMBERS
-            inner = x @ w["o"][j] + w["ob"][j]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total, own = e.sum(1, keepdims=True), np.arange(len(at))
-            out[at] += inner[own, m] - np.log(total[:, 0])
+            x, member, places = h[a:b], m[a:b] - j * MEMBERS, rows[:b - a]
+            e = w["o"][j].T @ x.T
+            e += w["ob"][j][:, None]
+            e -= e.max(0)
+            own = e[member, places]
+            np.exp(e, out=e)
+            total = e.sum(0)
+            out[a:b] += own - np.log(total)
             if learn:
-                d = e / total
-                d[own, m] -= 1
-                grad["o"][j], grad["ob"][j] = x.T @ d, d.sum(0)
-                dh[at] += d @ w["o"][j].T
-        return (out, dh, grad) if learn else out
+                e /= total
+                e[member, places] -= 1
+                grad["o"][j], grad["ob"][j] = x.T @ e.T, e.sum(1)
+                dh[a:b] += e.T @ w["o"][j].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return (out[back], dh[back], grad) if learn else out[back]
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray):
         """Truncated backpropagation over one window (documents x steps): weights' gradients and the state after it. Targets below 0 are padding."""
@@ -207,23 +215,21 @@ def windows(documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         lanes = [(lanes[i][0], lanes[i][1] + WINDOW) for i in carried]
 
 
-def train_shard(network: Network, blocks: Iterable[list[np.ndarray]]) -> tuple[Network, float]:
-    """One pass of Adam over all ids of the documents of `blocks`, each document's state carried from window to window. Returns the network and its weight."""
+def train_shard(network: Network, documents: list[np.ndarray]) -> tuple[Network, float]:
+    """One pass of Adam over all ids of `documents`, each document's state carried from window to window. Returns the network and its weight."""
     w = {k: v.copy() for k, v in network.w.items()}
     first, second, n, seen = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0, 0
-    own = Network(w)
-    for documents in blocks:
-        h = np.zeros((0, HIDDEN), "float32")
-        for inputs, targets, carried in windows(documents):
-            h = np.concatenate([h[carried], np.zeros((len(inputs) - len(carried), HIDDEN), "float32")])
-            grad, h, _, real = own.gradients(inputs, targets, h)
-            n, seen = n + 1, seen + real
-            rate = np.float32(RATE * real / (WINDOW * BATCH))  # by ids, so that windows of the last few documents do not outweigh full ones
-            for k, g in grad.items():
-                g = g / np.float32(max(1, real))
-                first[k] += np.float32(0.1) * (g - first[k])
-                second[k] += np.float32(0.01) * (g * g - second[k])
-                w[k] -= rate * (first[k] / np.float32(1 - 0.9 ** n)) / (np.sqrt(second[k] / np.float32(1 - 0.99 ** n)) + np.float32(1e-6))
+    own, h = Network(w), np.zeros((0, HIDDEN), "float32")
+    for inputs, targets, carried in windows(documents):
+        h = np.concatenate([h[carried], np.zeros((len(inputs) - len(carried), HIDDEN), "float32")])
+        grad, h, _, real = own.gradients(inputs, targets, h)
+        n, seen = n + 1, seen + real
+        rate = np.float32(RATE * real / (WINDOW * BATCH))  # by ids, so that windows of the last few documents do not outweigh full ones
+        for k, g in grad.items():
+            g = g / np.float32(max(1, real))
+            first[k] += np.float32(0.1) * (g - first[k])
+            second[k] += np.float32(0.01) * (g * g - second[k])
+            w[k] -= rate * (first[k] / np.float32(1 - 0.9 ** n)) / (np.sqrt(second[k] / np.float32(1 - 0.99 ** n)) + np.float32(1e-6))
     return own, float(seen)
 
 
@@ -257,45 +263,70 @@ class Words:
         return np.where(at >= 0, self.ids[at], SHORT), at
 
 
-def numbered(training: DataFrame, words: Words) -> DataFrame:
-    """Per row of `training` (text): ids, those of all its tokens."""
-    shared = training.sparkSession.sparkContext.broadcast((words.words, words.counts))
+def numbered(rows: DataFrame, words: Words) -> DataFrame:
+    """`rows` with `text` replaced by: ids, those of all its tokens; n_tokens; how many of them are frequent words (top_known), with the sums of their
+    logarithms of count + 1 for the network's words (short_logs) and the others (top_logs); n_beyond, tokens beyond the network's
+    words; and the different words that are not frequent, with their uses."""
+    shared = rows.sparkSession.sparkContext.broadcast((words.words, words.counts))
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         hasher, known = WordHasher(), Words(*shared.value)
+        logs = np.append(np.log10(known.counts + 1.0), 0.0)  # place -1: not frequent
         for batch in batches:
-            ids = [known.find(tokens(hasher, t.as_py()))[0].astype("int16") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int16()))], ["ids"])
-
-    return training.select("text").mapInArrow(run, "ids array<short>")
+            out = []
+            for text in batch.column("text"):
+                hashes = tokens(hasher, text.as_py())
+                ids, at = known.find(hashes)
+                rare, uses = np.unique(hashes[at < 0], return_counts=True)
+                beyond = ids == SHORT
+                out.append((ids.astype("int16"), len(hashes), int((at >= 0).sum()), float(logs[at[~beyond]].sum()), float(logs[at[beyond]].sum()), int(beyond.sum()), rare, uses))
+            if out:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))],
+                                                 [*kept, *names])
+
+    names = ["ids", "n_tokens", "top_known", "short_logs", "top_logs", "n_beyond", "rare", "uses"]
+    types = [pa.list_(pa.int16()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    ddl = ["array<short>", "long", "long", "double", "double", "long", "array<long>", "array<long>"]
+    before = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.mapInArrow(run, ", ".join(before + [f"{n} {t}" for n, t in zip(names, ddl, strict=True)]))
 
 
 def fit_network(training: DataFrame, words: Words, total: int, rounds: int = ROUNDS) -> Network:
-    """A network from `training` (ids), the whole documents. Each task trains its own copy on its documents; the copies are
-    averaged in Spark, by their tokens, and the next round goes on from there."""
+    """A network from `training` (ids, key1, key2), the whole documents, `total` ids in all. Shards by hash, of about SHARD_IDS ids, train
+    a copy each, in an order that the rows' content sets; the copies are averaged in Spark, by their tokens, and the next
+    round goes on from there. So neither the partitions of the table nor those of the cluster matter."""
     network = Network.start(words.short_counts, total)
+    shards = max(1, -(-total // SHARD_IDS))
+    dealt = training.withColumn("shard", F.pmod(F.xxhash64("key1"), F.lit(shards)).cast("int"))
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key1", "key2").select("shard", "ids")
+    if rounds > 1:
+        dealt = staged(dealt, "lm-shards")
     for _ in range(rounds):
         now = training.sparkSession.sparkContext.broadcast(network.w)
 
         def train(batches, now=now):
-            def blocks():
-                held, size = [], 0
+            def documents():
+                held, shard = [], None
                 for batch in batches:
-                    for x in batch.column("ids"):
-                        held.append(x.values.to_numpy(zero_copy_only=False).copy())  # a view would keep the whole batch
-                        size += len(held[-1])
-                        if size >= BLOCK_IDS:
+                    for own, x in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                        if own != shard and held:
                             yield held
-                            held, size = [], 0
+                            held = []
+                        shard = own
+                        held.append(x.values.to_numpy(zero_copy_only=False).copy())  # a view would keep the whole batch
                 if held:
                     yield held
 
-            own, weight = train_shard(Network(now.value), blocks())
-            if weight:
-                values = own.flat().astype("float64")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype="int32")), pa.array(values * weight), pa.array(np.full(len(values), weight))], ["place", "value", "weight"])
+            values, weights = None, 0.0
+            for held in documents():
+                own, weight = train_shard(Network(now.value), held)
+                part = own.flat().astype("float64") * weight
+                values, weights = part if values is None else values + part, weights + weight
+            if weights:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype="int32")), pa.array(values), pa.array(np.full(len(values), weights))], ["place", "value", "weight"])
 
-        merged = (training.mapInArrow(train, "place int, value double, weight double").groupBy("place")
+        merged = (dealt.mapInArrow(train, "place int, value double, weight double").groupBy("place")
                   .agg((F.sum("value") / F.sum("weight")).alias("value")).orderBy("place").toPandas())  # one row per weight of the network
         if len(merged):
             network = network.filled(merged["value"].to_numpy())
@@ -310,7 +341,8 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) ->
 
     `base_score` adds up log10((c + 1) / (N + V + 1)). `score` is the network's: class and word for frequent words, and for all
     others their class and (c + 1) / (R + U + 1), R and U being tokens and distinct words of training beyond the network's.
-    Frequent words have their counts by broadcast; each document's distinct other words meet theirs in a join.
+    Frequent words have their counts by broadcast; each document's distinct other words meet theirs in a join. An empty table gives no rows;
+    texts of any length are learned from and scored whole; other columns are not read; scores do not depend on partitions.
     """
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"), *row_keys("doc_id", "text"))
     training = rows.filter("not held_out")
@@ -318,35 +350,29 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) ->
     counts = staged(seen.groupBy("word").agg(F.sum("count").alias("count")), "lm-counts")
     sums = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words = Words(*frequent(counts))
-    network = fit_network(staged(numbered(training, words), "lm-ids"), words, sums["n"], rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((words.words, words.counts, network.w))
+    scanned = staged(numbered(rows, words), "lm-scan")
+    network = fit_network(scanned.filter("not held_out").select("ids", "key1", "key2"), words, sums["n"], rounds)
+    shared = docs.sparkSession.sparkContext.broadcast(network.w)
 
     def run(batches):
-        hasher = WordHasher()
-        *frequent_words, weights = shared.value
-        known, net = Words(*frequent_words), Network(weights)
-        logs = np.log10(known.counts + 1.0)
-        logs = np.append(logs, 0.0)  # place -1: not frequent
+        net, held = Network(shared.value), []
+
+        def scored(parts):
+            block = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            documents = [x.values.to_numpy(zero_copy_only=False) for x in block.column("ids")]
+            return pa.RecordBatch.from_arrays([*(block.column(c) for c in passed), pa.array(net.score(documents))], [*passed, "network"])
+
         for batch in batches:
-            for a in range(0, len(batch), TOGETHER):
-                part, documents, out = batch.slice(a, TOGETHER), [], []
-                for text in part.column("text"):
-                    hashes = tokens(hasher, text.as_py())
-                    ids, at = known.find(hashes)
-                    rare, uses = np.unique(hashes[at < 0], return_counts=True)
-                    documents.append(ids.astype("int16"))
-                    beyond = ids == SHORT
-                    out.append((len(hashes), int((at >= 0).sum()), float(logs[at[~beyond]].sum()), float(logs[at[beyond]].sum()), int(beyond.sum()), rare, uses))
-                columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "held_out", "key1", "key2")), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)),
-                     pa.array(net.score(documents))],
-                    ["doc_id", "held_out", "key1", "key2", "n_tokens", "top_known", "short_logs", "top_logs", "n_beyond", "rare", "uses", "network"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = staged(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, key1 long, key2 long, n_tokens long, top_known long, short_logs double, top_logs double, "
-                                          "n_beyond long, rare array<long>, uses array<long>, network double"), "lm-scan")
+            held.append(batch)
+            if sum(map(len, held)) >= TOGETHER:
+                yield scored(held)
+                held = []
+        if held and sum(map(len, held)):
+            yield scored(held)
+
+    passed = [c for c in scanned.columns if c not in ("ids", "rare", "uses")]
+    ddl = ", ".join(f"{c} {scanned.schema[c].dataType.simpleString()}" for c in passed) + ", network double"
+    final = scanned.select("ids", *passed).mapInArrow(run, ddl)
     single = scanned.select("key1", "key2", F.explode(F.arrays_zip("rare", "uses")).alias("x")).select("key1", "key2", F.col("x.rare").alias("word"), F.col("x.uses").alias("n"))
     rest = (single.join(counts, "word").groupBy("key1", "key2")
             .agg(F.sum(F.col("n") * F.log10(F.col("count") + 1)).alias("logs"), F.sum("n").alias("known"), F.count("*").alias("words")))
@@ -356,7 +382,7 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) ->
     short = int(words.short_counts.sum())
     spread, beyond = float(np.log10(sums["n"] + sums["v"] + 1)), float(np.log10(sums["n"] - short + sums["v"] - len(words.short_counts) + 1))
     logs = F.coalesce("logs", F.lit(0.0))
-    return scanned.join(rest, ["key1", "key2"], "left").select(
+    return final.join(rest, ["key1", "key2"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("top_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(sums["n"])).cast("long").alias("train_tokens"),
         (F.col("short_logs") + F.col("top_logs") + logs - F.col("n_tokens") * spread).alias("base_score"),
         (F.col("network") + F.col("top_logs") + logs - F.col("n_beyond") * beyond).alias("score"))

@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilwork.llm.common import row_keys, staged
 
@@ -102,8 +103,12 @@ SPAN = "struct<kind:string,start:int,end:int,base:boolean,value:string,before:st
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, key1, key2 and `spans`: fixed forms and candidates with their contexts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """Per row of `docs` (doc_id, text): doc_id, key1, key2 and `spans`: fixed forms and candidates with their contexts; also what other columns
+    `docs` has, under their names."""
+    keys = dict(zip(("key1", "key2"), row_keys("doc_id", "text"), strict=True))
+    passed = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keys.values(), *passed)
+    schema = StructType([f for f in rows.schema.fields if f.name != "text"])
 
     def run(batches):
         for batch in batches:
@@ -116,10 +121,9 @@ def scan(docs: DataFrame) -> DataFrame:
                                       **dict(zip(("before", "after"), context(text, i, j), strict=True))) for k, i, j, b in spans])
                 of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("value", pa.string()),
                                          ("before", pa.string()), ("after", pa.string())]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key1", "key2")), pa.array(rows, of)], ["doc_id", "key1", "key2", "spans"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema.names), pa.array(rows, of)], [*schema.names, "spans"])
 
-    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row_keys("doc_id", "text"))
-            .mapInArrow(run, f"doc_id {kind}, key1 long, key2 long, spans array<{SPAN}>"))
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + f", spans array<{SPAN}>")
 
 
 def discover(scanned: DataFrame) -> DataFrame:
@@ -157,22 +161,35 @@ def discover(scanned: DataFrame) -> DataFrame:
     return accepted.join(edges.filter("not base").select("kind", "value").distinct(), ["kind", "value"], "left_semi")
 
 
-def find_personal(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, key1, key2, `spans` (array of kind, start, end, base; sorted by start,
-    kind, end; code points).
+def _open(spans: Column) -> Column:
+    """Whether candidates stand among the spans, on which the whole corpus decides."""
+    return F.exists(spans, lambda s: ~s["base"] & (s["kind"] != ""))
 
-    Null counts as empty text and has no spans; rows that repeat have the same spans and count once as evidence; an empty
-    table gives an empty result. Values of the fixed forms always stay; candidates are added if their contexts vouch for them.
-    """
-    scanned = staged(scan(docs), "pii-scan")
+
+def decided(scanned: DataFrame) -> DataFrame:
+    """`scanned`, staged, with its spans settled. Only rows with candidates are shuffled; the others stay where they are."""
     found = discover(scanned).select("kind", "value")
-    loose = (scanned.select("key1", "key2", F.explode("spans").alias("s")).filter("not s.base and s.kind <> ''")
+    some = scanned.filter(_open(F.col("spans")))
+    loose = (some.select("key1", "key2", F.explode("spans").alias("s")).filter("not s.base and s.kind <> ''")
              .select("key1", "key2", "s.kind", "s.value", "s.start", "s.end").distinct())
     added = (loose.join(found, ["kind", "value"]).groupBy("key1", "key2")
              .agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("added")))
     plain = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    both = F.concat(plain, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean>>")))
-    return scanned.join(added, ["key1", "key2"], "left").select("doc_id", "key1", "key2", in_order(both).alias("spans"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean>>")
+    both = some.join(added, ["key1", "key2"], "left").withColumn("spans", in_order(F.concat(plain, F.coalesce("added", none)))).drop("added")
+    rest = scanned.filter(~_open(F.col("spans"))).withColumn("spans", in_order(plain))
+    return rest.unionByName(both.select(*rest.columns))
+
+
+def find_personal(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, key1, key2, `spans` (array of kind, start, end, base; sorted by start,
+    kind, end; code points).
+
+    Null counts as empty text and has no spans; rows that repeat have the same spans and count once as evidence; an empty
+    table gives an empty result; other columns are not read. Values of the fixed forms always stay; candidates are added if their
+    contexts vouch for them.
+    """
+    return decided(staged(scan(docs.select("doc_id", "text")), "pii-scan")).select("doc_id", "key1", "key2", "spans")
 
 
 def in_order(spans: Column) -> Column:
@@ -184,19 +201,19 @@ def in_order(spans: Column) -> Column:
 
 def mask(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with each span of `text` replaced by its kind in angle brackets; spans that overlap become one,
-    named by the first. n_chars, if there, follows. Null text stays null."""
-    spans = staged(find_personal(docs).filter("size(spans) > 0").groupBy("key1", "key2").agg(F.first("spans").alias("_spans")), "pii-spans")
-    rows = (docs.withColumns({"_text": F.coalesce("text", F.lit(""))}).withColumns(dict(zip(("_key1", "_key2"), row_keys("doc_id", "_text"), strict=True)))
-            .join(spans.withColumnsRenamed({"key1": "_key1", "key2": "_key2"}), ["_key1", "_key2"], "left"))
+    named by the first. n_chars, if there, follows. Null text stays null; rows that repeat stay, masked alike; an empty table gives no rows; columns of
+    any name pass. Texts without candidates are not shuffled."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = decided(staged(scan(whole), "pii-scan")).withColumn("text", F.coalesce("row.text", F.lit("")))
     # Running state: text so far, and where the covered part ends.
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["end"], F.concat(a["out"], F.substring("_text", a["end"] + 1, s["start"] - a["end"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        F.when(s["start"] >= a["end"], F.concat(a["out"], F.substring("text", a["end"] + 1, s["start"] - a["end"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
         .otherwise(a["out"]).alias("out"), F.greatest(a["end"], s["end"]).alias("end"))
-    done = F.aggregate("_spans", start, step)
-    rows = rows.withColumn("_done", F.when(F.col("_spans").isNotNull(), done))
-    masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat("_done.out", F.substring("_text", F.col("_done.end") + 1, F.length("_text"))))
+    some = F.size("spans") > 0
+    rows = rows.withColumn("done", F.when(some, F.aggregate("spans", start, step)))
+    masked = F.when(some, F.concat("done.out", F.substring("text", F.col("done.end") + 1, F.length("text")))).otherwise(F.col("row")["text"])
     new = {"text": masked}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(masked).cast("long"))
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(some, F.length(masked).cast("long")).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
