@@ -35,12 +35,16 @@ def scan_tokens(units: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def reserved_numbers(tokens: DataFrame) -> DataFrame:
+    return token_numbers(tokens).distinct()
+
+
+def token_numbers(tokens: DataFrame) -> DataFrame:
     """(type, number) for tokens that equal the canonical form of their number, from 1 on."""
     parts = tokens.select("token", F.regexp_extract("token", r"^\[([A-Z]+)_([0-9]{3,18})\]$", 1).alias("p"),
                           F.regexp_extract("token", r"^\[([A-Z]+)_([0-9]{3,18})\]$", 2).alias("n"))
     numbered = parts.filter("n != ''").select("token", F.lower("p").alias("type"), F.col("n").cast("long").alias("number"))
     return (numbered.filter((F.col("number") >= 1) & (token_text(F.col("type"), F.col("number")) == F.col("token")))
-            .select("type", "number").distinct())
+            .select("type", "number"))
 
 
 def number_rows(df: DataFrame, group: str, order: Sequence[str], out: str = "k",

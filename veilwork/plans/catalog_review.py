@@ -22,7 +22,8 @@ from veilwork.session import stage
 from veilwork.sources import files as FS
 from veilwork.sources import lexicon as L
 from veilwork.sources.units import units_from_table
-from veilwork.streaming.stream import mask_stream_reversible, mask_stream_stateless
+from veilwork.streaming.stateful import mask_stream_reversible
+from veilwork.streaming.stream import mask_stream_stateless
 
 # ---- F. paths as data -------------------------------------------------------------------
 

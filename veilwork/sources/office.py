@@ -1,7 +1,8 @@
 """Office packages as text units.
 
-A package is a zip of XML parts. Tasks only unpack it into skinny element rows; Spark joins cells
-to their shared strings and formats, orders runs and builds the units.
+A package is a zip of XML parts. Tasks only unpack it into skinny element rows, once; Spark joins cells
+to their shared strings and formats, orders runs and builds the units. Packages that cannot be read are
+listed with the reason.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from veilwork.functions.numeric import numeric_canonical
 from veilwork.functions.text import is_blank
 from veilwork.operators.cells import LITERAL, list_inner
+from veilwork.operators.tokens import number_rows
+from veilwork.session import BROADCAST_ROWS, stage
 
 # Word-processing parts that hold text.
 DOC_PARTS = r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$"
@@ -30,23 +34,32 @@ def _local(tag: str) -> str:
 
 
 def _unpack(files: DataFrame, part_pattern: str, rows_of, schema: str) -> DataFrame:
-    """Run `rows_of(part name, root element)` over matching parts; unreadable packages give none."""
+    """Run `rows_of(part name, root element)` over matching parts, once: the rows are staged. An unreadable package gives one row, whose
+    `error` says why; no row of a package goes out before all of it was read."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = re.compile(part_pattern)
         for frame in frames:
-            out = []
             for path, content in zip(frame["path"], frame["content"]):
+                out, name = [], None
                 try:
+                    if content is None:
+                        raise ValueError("no content")
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for name in z.namelist():
                             if wanted.search(name):
-                                out.extend((path, name, *row) for row in rows_of(name, ET.fromstring(z.read(name))))
-                except (zipfile.BadZipFile, ET.ParseError):
-                    continue
-            yield pd.DataFrame(out, columns=["file", "part", *names])
-    return files.select("path", "content").mapInPandas(run, "file string, part string, " + schema)
+                                out.extend((path, name, *row, None) for row in rows_of(name, ET.fromstring(z.read(name))))
+                except (zipfile.BadZipFile, ET.ParseError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error) as reason:
+                    out = [(path, name, *[None] * len(names), f"{type(reason).__name__}: {reason}")]
+                yield pd.DataFrame(out, columns=["file", "part", *names, "error"], dtype=object)
+
+    return stage(files.select("path", "content").mapInPandas(run, "file string, part string, " + schema + ", error string"))
+
+
+def failures(elements: DataFrame) -> DataFrame:
+    """(file, part, error): the packages of `docx_runs` or `xlsx_elements` that could not be read, and the part at fault if any."""
+    return elements.filter("error is not null").select("file", "part", "error")
 
 
 def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -77,8 +90,18 @@ def docx_runs(files: DataFrame) -> DataFrame:
 
 
 def scan_docx(files: DataFrame) -> DataFrame:
-    """One unit per paragraph with its runs joined."""
-    joined = (docx_runs(files).groupBy("file", "part", "paragraph")
+    """One unit per paragraph with its runs joined. Unreadable packages have none; see `read_docx`."""
+    return read_docx(files)[0]
+
+
+def read_docx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, failures) of word-processing packages `files` (path, content), each parsed once."""
+    runs = docx_runs(files)
+    return docx_units(runs, file_order(files)), failures(runs)
+
+
+def docx_units(runs: DataFrame, order: DataFrame) -> DataFrame:
+    joined = (runs.filter("error is null").groupBy("file", "part", "paragraph")
               .agg(F.array_sort(F.collect_list(F.struct("run", "text"))).alias("r"))
               .select("file", "part", "paragraph", F.array_join(F.transform("r", lambda x: x["text"]), "").alias("text"))
               .filter(~is_blank(F.col("text"))))
@@ -86,24 +109,38 @@ def scan_docx(files: DataFrame) -> DataFrame:
     return with_order(joined.select("file", "part", F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("number_format"),
                                     F.named_struct(F.lit("paragraph"), F.col("paragraph")).alias("loc"),
                                     F.struct(body_first.alias("a"), F.col("part").alias("b"), F.col("paragraph").cast("long").alias("c"),
-                                             F.lit(0).alias("d")).alias("_at")))
+                                             F.lit(0).alias("d")).alias("_at")), order)
+
+
+def file_order(files: DataFrame) -> DataFrame:
+    """(file, file_ord): the place of each package in the sorted listing, from 0. A listing of any size is numbered by ranges."""
+    listed = stage(files.select(F.col("path").alias("file")).distinct().withColumn("_all", F.lit(0)))
+    return stage(number_rows(listed, "_all", ["file"], "_n").select("file", (F.col("_n") - 1).cast("long").alias("file_ord")))
 
 
-def with_order(units: DataFrame) -> DataFrame:
-    """Number units inside their file; a file was read by one task, so it fits one."""
+def with_order(units: DataFrame, order: DataFrame) -> DataFrame:
+    """Number units inside their file; a file was read by one task, so it fits one. Files are in the order of the listing."""
     n = F.row_number().over(W.partitionBy("file").orderBy("_at")) - 1
-    return units.withColumn("unit_ord", n.cast("long")).withColumn("file_ord", F.xxhash64("file")).drop("_at")
+    numbered = units.withColumn("unit_ord", n.cast("long")).drop("_at")
+    return numbered.join(F.broadcast(order) if order.count() <= BROADCAST_ROWS else order, "file")
 
 
 # ---- spreadsheets -----------------------------------------------------------------------
 
+def _shown(node: ET.Element) -> list[str]:
+    """The texts below a node in order, without phonetic runs, which only say how a text is read aloud."""
+    if _local(node.tag) == "t":
+        return [node.text or ""]
+    return [t for child in node if _local(child.tag) != "rPh" for t in _shown(child)]
+
+
 def _sheet_rows(name: str, root: ET.Element):
     """(what, ord, ref, type, style, value) for everything in a workbook part that can hold text."""
     kind = name.rsplit("/", 1)[-1]
     n = 0
     if kind == "sharedStrings.xml":
         for i, si in enumerate(root):
-            blocks = [t.text or "" for t in si.iter() if _local(t.tag) == "t"]
+            blocks = _shown(si)
             yield from (("shared", i, str(j), "", -1, b) for j, b in enumerate(blocks))
         return
     if kind == "styles.xml":
@@ -132,7 +169,7 @@ def _sheet_rows(name: str, root: ET.Element):
             if "f" in parts:
                 yield "formula", n, el.get("r") or "", "", -1, parts["f"].text or ""
             elif "is" in parts:
-                texts = [t.text or "" for t in parts["is"].iter() if _local(t.tag) == "t"]
+                texts = _shown(parts["is"])
                 yield from (("inline", n, el.get("r") or "", str(j), -1, t) for j, t in enumerate(texts))
             elif "v" in parts:
                 yield "cell", n, el.get("r") or "", el.get("t") or "n", int(el.get("s") or 0), parts["v"].text or ""
@@ -148,7 +185,7 @@ def _sheet_rows(name: str, root: ET.Element):
             yield "tooltip", n, el.get("ref") or "", "", -1, el.get("tooltip")
         elif tag == "comment":
             n += 1
-            yield "comment", n, el.get("ref") or "", "", -1, "".join(t.text or "" for t in el.iter() if _local(t.tag) == "t")
+            yield "comment", n, el.get("ref") or "", "", -1, "".join(_shown(el))
 
 
 SHEET_PARTS = r"xl/(sharedStrings|styles|workbook|worksheets/[^/]+|comments[^/]*|comments/[^/]+)\.xml$"
@@ -170,9 +207,23 @@ def header_sections(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(at, F.lit(r"(?s)&[LCR](.*?)(?=&[LCR]|\z)"), F.lit(1)), lambda t: F.trim(t) != "")
 
 
+def xlsx_elements(files: DataFrame) -> DataFrame:
+    return _unpack(files, SHEET_PARTS, _sheet_rows, "what string, ord int, ref string, type string, style int, value string")
+
+
 def scan_xlsx(files: DataFrame) -> DataFrame:
-    """Units of every cell and every other text-bearing place of a workbook."""
-    raw = _unpack(files, SHEET_PARTS, _sheet_rows, "what string, ord int, ref string, type string, style int, value string")
+    """Units of every cell and every other text-bearing place of a workbook. Unreadable packages have none; see `read_xlsx`."""
+    return read_xlsx(files)[0]
+
+
+def read_xlsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, failures) of workbooks `files` (path, content), each parsed once."""
+    elements = xlsx_elements(files)
+    return xlsx_units(elements, file_order(files)), failures(elements)
+
+
+def xlsx_units(elements: DataFrame, order: DataFrame) -> DataFrame:
+    raw = elements.filter("error is null")
     blocks = (raw.filter("what = 'shared'").groupBy("file", F.col("ord").alias("idx"))
               .agg(F.array_sort(F.collect_list(F.struct(F.col("ref").cast("int").alias("j"), F.col("value").alias("t")))).alias("b"))
               .select("file", "idx", F.transform("b", lambda x: x["t"]).alias("blocks")))
@@ -218,4 +269,4 @@ def scan_xlsx(files: DataFrame) -> DataFrame:
     for more in (texts, inline, strings, quoted, items, heads, plain, hints):
         every = every.unionByName(more, allowMissingColumns=True)
     units = every.filter(~is_blank(F.col("text"))).select("file", "part", "kind", "text", "number_format", ref, at)
-    return with_order(units)
+    return with_order(units, order)

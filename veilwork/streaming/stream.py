@@ -27,7 +27,8 @@ def mask_stream_stateless(units: DataFrame, cfg: MaskConfig, lexicon: DataFrame
 
 
 class ReversibleMasker:
-    """foreachBatch writer: one original keeps one token over all micro-batches.
+    """foreachBatch writer that needs no state store: one original keeps one token over all micro-batches, at the cost of a join with the
+    mapping so far. For long streams see `stateful.mask_stream_reversible`, whose micro-batches do not read it.
 
     Mapping rows of a micro-batch go to their own folder, written by overwrite, and a batch only
     reads folders of earlier batches. A batch replayed after a failure thus numbers the same
@@ -35,6 +36,8 @@ class ReversibleMasker:
     """
 
     def __init__(self, mapping_path: str, out_path: str, cfg: MaskConfig, lexicon: DataFrame | None = None):
+        if cfg.style == "alias":
+            raise ValueError("a stream cannot use aliases: later texts may hold the alias; use style='token'")
         self.mapping_path, self.out_path, self.cfg, self.lexicon = mapping_path, out_path, cfg, lexicon
 
     def known(self, spark: SparkSession, before: int) -> DataFrame:
@@ -85,11 +88,3 @@ def skip_after(numbered: DataFrame, taken: DataFrame) -> DataFrame:
 
 def _ddl(schema) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-
-
-def mask_stream_reversible(units: DataFrame, mapping_path: str, out_path: str, checkpoint: str, cfg: MaskConfig,
-                           lexicon: DataFrame | None = None):
-    """Start a query that masks each micro-batch with tokens shared by the whole stream."""
-    writer = ReversibleMasker(mapping_path, out_path, cfg, lexicon)
-    return (units.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
