@@ -118,30 +118,50 @@ def score_batches(requests: DataFrame, client_factory: ClientFactory, cfg: Assis
     return requests.select("batch", "request").mapInPandas(run, "batch long, response string, error string")
 
 
+def answer_body(content: Column) -> Column:
+    """Where a model's answer proper stands: after its thoughts, and inside the first code fence that holds anything."""
+    said = F.coalesce(content, F.lit(""))
+    ends = F.instr(said, "</think>")
+    spoken = F.when(~F.contains(said, F.lit("<think>")), said).when(ends > 0, F.substring(said, ends + F.lit(len("</think>")), F.length(said))).otherwise("")
+    fences = F.split(spoken, "```", -1)
+    inside = F.regexp_replace(F.get(fences, F.lit(1)), "^[A-Za-z]+", "")  # without the name of a language
+    return trim_ws(F.when((F.size(fences) > 2) & (trim_ws(inside) != ""), inside).otherwise(spoken))
+
+
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)  # strings are passed over whole
+
+
+def balanced(text: str) -> Iterator[str]:
+    """Stretches of `text` from an opening brace to the bracket that closes it, by where they open; one from a bracket only at the very start."""
+    for opening in re.finditer(r"\A\[|\{", text):
+        depth = 0
+        for mark in _BRACKETS.finditer(text, opening.start()):
+            depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(mark[0], 0)
+            if depth == 0:
+                yield text[opening.start():mark.end()]
+                break
+
+
 @F.pandas_udf(T.StringType())
-def parse_response(contents: pd.Series) -> pd.Series:
-    """JSON object in a model's free-form answer; a bare list is wrapped; null if there is none."""
-    def one(content):
-        text = (content or "").strip()
-        if "<think>" in text:
-            text = text.partition("</think>")[2]
-        fenced = re.search(r"```[a-zA-Z]*\s*(.*?)```", text, re.S)
-        if fenced and fenced.group(1).strip():
-            text = fenced.group(1)
-        text = text.strip()
-        read = json.JSONDecoder().raw_decode
-        places = [0] if text[:1] in ("{", "[") else []
-        for at in places + [m.start() for m in re.finditer(r"\{", text)]:
+def _first_json(bodies: pd.Series) -> pd.Series:
+    def valid(text):
+        for stretch in balanced(text):
             try:
-                value, _ = read(text, at)
-            except ValueError:
+                value = json.loads(stretch)
+            except (ValueError, RecursionError):
                 continue
-            if isinstance(value, list):
-                value = {"items": value, "entities": value}
-            if isinstance(value, dict):
-                return json.dumps(value, ensure_ascii=False)
+            return json.dumps(value if isinstance(value, dict) else {"items": value, "entities": value}, ensure_ascii=False)
         return None
-    return contents.map(one)
+
+    return bodies.map(valid)
+
+
+def parse_response(content: Column | str) -> Column:
+    """JSON object in a model's free-form answer; a bare list is wrapped; null if there is none.
+
+    Thoughts and fences are cut off by column functions; what is left is scanned for balanced brackets, and the first stretch that is valid counts.
+    """
+    return _first_json(answer_body(F.col(content) if isinstance(content, str) else content))
 
 
 def validate_verdicts(parsed: DataFrame, numbered: DataFrame) -> DataFrame:
