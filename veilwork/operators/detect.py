@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,14 +179,19 @@ def spare_whitelisted(detected: DataFrame, whitelist: DataFrame) -> DataFrame:
     if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
         shared = detected.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in words.collect()))
 
-        @F.arrow_udf("array<boolean>")
-        def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches):
+            harmless = shared.value
             for batch in batches:
-                yield pa.array([None if texts is None else [t in shared.value for t in texts] for texts in batch.to_pylist()], pa.list_(pa.bool_()))
-
-        marked = detected.withColumn("_listed", F.when(F.size("hits") > 0, listed(F.transform("hits", lambda h: h["text"]))))
-        spared = F.when(F.col("_listed").isNull(), F.col("hits")).otherwise(F.filter("hits", lambda h, i: keep(h, F.col("_listed")[i])))
-        return marked.withColumn("hits", spared).drop("_listed")
+                at = batch.schema.get_field_index("hits")
+                hits, flat = batch.column(at), batch.column(at).flatten()
+                stays = np.array([source == "manual" or text not in harmless for text, source in zip(
+                    flat.field("text").to_pylist(), flat.field("source").to_pylist(), strict=True)], bool)
+                owner = pc.list_parent_indices(hits).to_numpy(zero_copy_only=False)[stays]
+                ends = np.cumsum(np.bincount(owner, minlength=len(batch)))
+                left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat.filter(pa.array(stays)))
+                yield batch.set_column(at, "hits", left)
+
+        return detected.mapInArrow(run, detected.schema)
     some = stage(detected.filter(F.size("hits") > 0))
     texts = stage(some.select(*UNIT_KEY, F.explode(F.array_distinct(F.transform("hits", lambda h: h["text"]))).alias("word")))
     harmless = table_join(texts, words, "word", "left_semi").groupBy(*UNIT_KEY).agg(F.collect_set("word").alias("_harmless"))

@@ -15,6 +15,7 @@ from veilwork.operators import detect as D
 from veilwork.operators import policy as P
 from veilwork.operators import replace as R
 from veilwork.operators import restore as RS
+from veilwork.plans import structured as ST
 from veilwork.operators import tokens as TK
 from veilwork.plans import oracle as O
 from veilwork.plans.catalog_detect import CFG, KEY, LEDGER_DET, formulas, ledger_detected, ledger_rows, lists
@@ -476,6 +477,36 @@ def d22_normalize(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", normalize_text(F.concat("text", F.lit("　ＡＢ０９ｚ"))).alias("plain"))
 
 
+CELLS20 = """cells20 AS (SELECT c_custkey, 'IF(A1="' || c_name || '","say ""hi"" to ' || c_name || '",0)' AS formula, '"' || c_name || ',yes,' || c_mktsegment || '"' AS list,
+  printf('[PERSON_%03d]', row_number() OVER (ORDER BY c_custkey)) AS token FROM customer)"""
+
+
+def cells20(spark, sf):
+    return table(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit('IF(A1="'), "c_name", F.lit('","say ""hi"" to '), "c_name", F.lit('",0)')).alias("formula"),
+        F.concat(F.lit('"'), "c_name", F.lit(",yes,"), "c_mktsegment", F.lit('"')).alias("list"))
+
+
+def customer_lexicon(spark, sf):
+    return table(spark, sf, "customer").select(F.lit("person").alias("category"), F.lit(2).alias("cat_ord"), F.col("c_name").alias("word"), F.col("c_custkey").alias("word_ord"))
+
+
+@query("d20_mask_formulas", O.with_(CELLS20) + """SELECT c_custkey, 'IF(A1="' || token || '","say ""hi"" to ' || token || '",0)' AS masked, formula AS restored FROM cells20""")
+def d20_mask_formulas(spark, sf):
+    """Literals of a formula masked in place, and restored."""
+    masked, run = ST.mask_quoted_literals(cells20(spark, sf), "formula", ["c_custkey"], "c_custkey", MaskConfig(mode="smart"), lexicon=customer_lexicon(spark, sf))
+    masked = masked.select("c_custkey", F.col("new_formula").alias("masked"))
+    return ST.restore_parts(masked, "masked", ["c_custkey"], "c_custkey", "literals", run.mapping).select("c_custkey", "masked", F.col("new_masked").alias("restored"))
+
+
+@query("d20_mask_lists", O.with_(CELLS20) + """SELECT c_custkey, replace(list, c_name, token) AS masked, list AS restored FROM cells20 JOIN customer USING (c_custkey)""")
+def d20_mask_lists(spark, sf):
+    """Items of a quoted list masked in place, and restored."""
+    masked, run = ST.mask_list_items(cells20(spark, sf), "list", ["c_custkey"], "c_custkey", MaskConfig(mode="smart"), lexicon=customer_lexicon(spark, sf))
+    masked = masked.select("c_custkey", F.col("new_list").alias("masked"))
+    return ST.restore_parts(masked, "masked", ["c_custkey"], "c_custkey", "list", run.mapping).select("c_custkey", "masked", F.col("new_masked").alias("restored"))
+
+
 # ---- E. restore and audit ---------------------------------------------------------------
 
 RESTORED = """restored AS (SELECT t.*, replace(replace(t.text, p.token, p.original), a.token, a.original) AS back FROM tokened t
