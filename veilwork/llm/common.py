@@ -40,3 +40,19 @@ def row_keys(*columns: str) -> list[Column]:
     nulls, so which columns are null is hashed too."""
     nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
     return [F.xxhash64(nulls, *columns).alias("key1"), F.xxhash64(F.lit("second"), nulls, *columns).alias("key2")]
+
+
+MAP_BITS = 1 << 25  # bits of a map of keys: 4 MB, whatever their number
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """`rows` with the boolean `name`: whether `key` may be in the one column of `keys`. Always true if it is; seldom true if not, as long as
+    there are few keys to MAP_BITS. Nothing of `rows` is shuffled: at most MAP_BITS / 32768 bitmaps of 4 kB are broadcast."""
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(MAP_BITS)) + 1
+    bits = (keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits")))
+    found = rows.withColumn("_place", place(key)).withColumn("_bucket", F.expr("bitmap_bucket_number(_place)")).join(F.broadcast(bits), "_bucket", "left")
+    at = F.expr("cast(bitmap_bit_position(_place) as int)")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("cast(1 as int)").bitwiseAND(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)))) == 1
+    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_place", "_bucket", "_bits")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import row_keys, staged
+from veilwork.llm.common import marked, row_keys, staged
 from veilwork.llm.hashing import WordHasher, as_long, mix
 
 WIDTH = 5  # words of an n-gram
@@ -22,7 +22,7 @@ FEW = 4  # sets of a signature's list that are compared each with each at once:
 SKETCH = 2048  # bits of the parity sketch of a set
 FOLD = SKETCH // 256  # 64-bit words of a sketch folded to a quarter of its bits
 BLOCK = 1000  # sets of a signature's list that one part of the full round holds
-MAP_BITS = 1 << 25  # bits of the map of needed documents: 4 MB, whatever their number
+HOT_SHARE = 1000  # a row that repeats is hot if more than one HOT_SHARE-th of all rows are it
 
 
 def _identity(grams: np.ndarray, seed: int) -> tuple[int, int]:
@@ -175,32 +175,25 @@ def shared_postings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen.filter("not common").unionByName(often.join(lists, "signature")).select("signature", "id", "n"), pairs
 
 
-def segments(docs: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
-    """id, fragment, grams: the sets of `needed` (id, key1), in their parts of the global order. A bit map of fixed size spares
-    most other documents the hashing and the shuffle; the join after it is exact."""
-    place = lambda key: F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    bits = (needed.select((place("key1") + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect())
-    full = np.zeros(MAP_BITS, bool)
-    for r in bits:  # at most MAP_BITS / 32768 rows of 4 kB; buckets, and the positions they stand for, count from 1
-        at = (r["bucket"] - 1) * 32768
-        full[at:at + 32768] = np.unpackbits(np.frombuffer(r["bits"], "u1"), bitorder="little").astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(full))
-
+def segments(docs: DataFrame, pairs: DataFrame, repeated: DataFrame, seed: int) -> DataFrame:
+    """id, key1, fragment, grams, left, right: the sets of the rows that `pairs` name by key_a (left) and key_b (right), in their parts
+    of the global order. Maps of fixed size choose the rows before their texts are hashed, so some others are there too; joins by
+    id and key1 leave those out. Nothing is shuffled but sets of rows that repeat (`repeated`: key1), of which one stays."""
     def run(batches):
-        hasher, wanted = WordHasher(), np.unpackbits(shared.value)
+        hasher = WordHasher()
 
         def block(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "key1", "fragment", "grams"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                              ["id", "key1", "fragment", "grams", "left", "right", "again"])
 
-        kinds, rows = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())], []
+        kinds, rows = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.bool_()] * 3], []
         for batch in batches:
-            for text, key, at in zip(batch.column("text"), batch.column("key1").to_pylist(), batch.column("place").to_pylist(), strict=True):
-                grams = hasher.shingles(text.as_py() or "", WIDTH) if wanted[at] else ()
+            for text, *named in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("key1", "left", "right", "again")), strict=True):
+                grams = hasher.shingles(text.as_py() or "", WIDTH)
                 if len(grams):
                     own = _identity(grams, seed)[0]
                     bounds = np.searchsorted(grams >> np.uint64(60), np.arange(1, FRAGMENTS))
-                    rows += [(own, key, f, as_long(part)) for f, part in enumerate(np.split(grams, bounds)) if len(part)]
+                    rows += [(own, named[0], f, as_long(part), *named[1:]) for f, part in enumerate(np.split(grams, bounds)) if len(part)]
                 if len(rows) > 2000:
                     yield block(rows)
                     rows = []
@@ -208,27 +201,42 @@ def segments(docs: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
             yield block(rows)
 
     keyed = docs.select("text", row_keys("doc_id", "text")[0])
-    found = keyed.withColumn("place", place("key1")).mapInArrow(run, "id long, key1 long, fragment int, grams array<long>")
-    wanted = needed.select("id", F.col("key1").alias("own"))  # one row an id: join and distinct rows share one shuffle by id
-    return found.join(wanted, "id").filter("key1 = own").dropDuplicates(["id", "fragment"]).select("id", "fragment", "grams")
+    for name, keys in (("left", pairs.select("key_a")), ("right", pairs.select("key_b")), ("again", repeated)):
+        keyed = marked(keyed, F.col("key1"), keys, name)
+    found = keyed.filter("left or right").mapInArrow(run, "id long, key1 long, fragment int, grams array<long>, left boolean, right boolean, again boolean")
+    found = staged(found, "jaccard-segments")
+    again = found.filter("again")
+    if again.isEmpty():
+        return found
+    return found.filter("not again").unionByName(staged(again.dropDuplicates(["id", "key1", "fragment"]), "jaccard-again"))
 
 
-def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that may link by their sizes and `sketches` (id, sketch): linking sets differ in a ninth of the sum of
-    their sizes at most, so pairs whose sketches differ in more bits are out. Only sketches move, 256 bytes a set."""
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that may link by their sizes and the sketches of `nodes` (id, key1, sketch), with key_a and key_b: linking
+    sets differ in a ninth of the sum of their sizes at most, so pairs whose sketches differ in more bits are out. Only sketches move, 256 bytes a set."""
     fit = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("of_a"))
-    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("of_b"))
+    one = nodes.select(F.col("id").alias("a"), F.col("key1").alias("key_a"), F.col("sketch").alias("of_a"))
+    two = nodes.select(F.col("id").alias("b"), F.col("key1").alias("key_b"), F.col("sketch").alias("of_b"))
     odd = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return (pairs.filter(fit).join(one, "a").join(two, "b").filter((100 + PERCENT) * odd <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
-            .select("a", "b", "n_a", "n_b"))
+            .select("a", "b", "n_a", "n_b", "key_a", "key_b"))
+
+
+def facing(pairs: DataFrame) -> DataFrame:
+    """`pairs` (a, b, n_a, n_b, key_a, key_b) turned so that b is the set of more pairs: few sets wait for the many that are sent to them."""
+    uses = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("uses"))
+    both = (pairs.join(uses.select(F.col("id").alias("a"), F.col("uses").alias("uses_a")), "a")
+            .join(uses.select(F.col("id").alias("b"), F.col("uses").alias("uses_b")), "b"))
+    turn = F.col("uses_a") > F.col("uses_b")
+    names = [(f"{x}a", f"{x}b") for x in ("", "n_", "key_")]
+    return both.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(z) for p in names for x, y, z in ((*p, p[0]), (*p[::-1], p[1]))])
 
 
 def links_among(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that link. Each fragment's overlap is counted by itself; the counts are summed per pair."""
-    left = parts.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("of_a"))
-    right = parts.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("of_b"))
-    counts = (pairs.join(left, "a").join(right, ["b", "fragment"])
+    """The pairs (a, b, n_a, n_b, key_a, key_b) that link. Each fragment's overlap is counted by itself; the counts are summed per pair."""
+    left = parts.filter("left").select(F.col("id").alias("a"), F.col("key1").alias("key_a"), "fragment", F.col("grams").alias("of_a"))
+    right = parts.filter("right").select(F.col("id").alias("b"), F.col("key1").alias("key_b"), "fragment", F.col("grams").alias("of_b"))
+    counts = (pairs.join(left, ["a", "key_a"]).drop("key_a").join(right, ["b", "key_b", "fragment"])
               .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("both")))
     same = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     return same.filter(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
@@ -316,6 +324,7 @@ def rooted(docs: DataFrame) -> DataFrame:
     held = shared.select("id").union(small.select("id")).union(small.select("other")).distinct()
     first = rows.filter("id is not null").join(held, "id", "left_semi").groupBy("id").agg(F.min("key1").alias("key1"), F.min("sketch").alias("sketch"))
     nodes = staged(first, "jaccard-nodes")
+    repeated = staged(rows.filter("id is not null").groupBy("key1").agg(F.count("*").alias("rows")).filter("rows > 1").select("key1"), "jaccard-repeated")
     labels, links, done, star, turn = None, None, None, True, 0
     while True:
         lists = shared if labels is None else shared.join(labels, "id", "left")
@@ -333,10 +342,8 @@ def rooted(docs: DataFrame) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = staged(pairs, "jaccard-pairs")
-        near = staged(close(pairs, nodes.select("id", "sketch")), "jaccard-close")
-        wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        needed = staged(nodes.select("id", "key1").join(wanted, "id", "left_semi"), "jaccard-needed")
-        new = staged(links_among(near, staged(segments(docs, needed, seed), "jaccard-segments")), "jaccard-links")
+        near = staged(facing(staged(close(pairs, nodes), "jaccard-close")), "jaccard-facing")
+        new = staged(links_among(near, segments(docs, near, repeated, seed)), "jaccard-links")
         links = new if links is None else links.unionByName(new)
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         labels, turn = components(links), turn + 1
@@ -357,15 +364,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that stay: of each component the one with the smallest doc_id, a null one only if all are null,
-    and of rows that share it the one with the smallest keys. Rows without n-grams all stay; of rows that repeat doc_id and text one stays."""
+    and of rows that share it the one with the smallest keys. Rows without n-grams all stay; of rows that repeat doc_id and text one stays.
+    Only rows that may go or repeat are shuffled with their texts, chosen by a map of fixed size; columns of any name pass."""
     rows = rooted(docs).filter("root is not null").groupBy("root", "doc_id", "key1", "key2").agg(F.count("*").alias("copies"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key1", "key2", "copies")).alias("first")
-    best = rows.groupBy("root").agg(first).select(F.col("first.key1").alias("_key1"), F.col("first.key2").alias("_key2"), F.col("first.copies").alias("_copies"))
-    best = staged(best, "jaccard-best")
-    keyed = docs.withColumns(dict(zip(("_key1", "_key2"), row_keys("doc_id", "text"), strict=True)))
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = keyed.join(best, ["_key1", "_key2"], "left").filter((F.col("_copies") == 1) | ~words).select(*docs.columns)
-    again = best.filter("_copies > 1")
-    if again.isEmpty():
-        return left
-    return left.unionByName(keyed.join(again, ["_key1", "_key2"], "left_semi").dropDuplicates(["_key1", "_key2"]).select(*docs.columns))
+    rows = staged(rows, "jaccard-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key1", "key2")).alias("first")
+    best = rows.groupBy("root").agg(first).select("first.key1", "first.key2", F.lit(True).alias("stays"))
+    fate = rows.select("key1", "key2", "copies").join(best, ["key1", "key2"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    fate = staged(fate.filter("copies > 1 or not stays"), "jaccard-fate")  # of all other rows it is known that they stay
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys("doc_id", "text"))
+    keyed = marked(keyed, F.col("key1"), fate.select("key1"), "open")
+    total = rows.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > max(1, total // HOT_SHARE)  # fewer than HOT_SHARE keys
+    judged = keyed.filter("open").join(F.broadcast(fate.filter(hot)), ["key1", "key2"], "left")
+    cold = judged.filter("copies is null").select("row", "key1", "key2").join(fate.filter(~hot), ["key1", "key2"], "left")
+    left = keyed.filter("not open").select("row").unionByName(cold.filter("copies is null").select("row"))
+    again = fate.filter("copies > 1 and stays")
+    if not again.isEmpty():
+        some = judged.filter("stays").select("row", "key1", "key2").unionByName(cold.filter("stays").select("row", "key1", "key2"))
+        left = left.unionByName(some.dropDuplicates(["key1", "key2"]).select("row"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
