@@ -154,12 +154,14 @@ def shared_postings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole: if any size fits, that of a neighbour does. Those of common n-grams pass in SALTS parts, then are counted by a join.
     """
     salt = F.when(F.col("common"), F.pmod("id", F.lit(SALTS))).otherwise(F.lit(-1))
-    once = found.withColumn("salt", salt).repartition("signature", "salt").distinct()  # distinct rows and window share this one shuffle
+    dealt = found.withColumn("salt", salt).repartition("signature", "salt")  # both windows share this one shuffle
     w = Window.partitionBy("signature", "salt").orderBy("n", "id")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fits = lambda small, large: F.coalesce(100 * small >= PERCENT * large, F.lit(False))
-    near = F.col("common") | fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after"))
-    seen = once.select("signature", "salt", "common", "id", "n", F.lag("n").over(w).alias("before"), F.lead("n").over(w).alias("after")).filter(near)
+    # A set that several batches posted stands in a row here; the first stays. One without another set may pass, but goes below as a list of one.
+    again = F.coalesce(F.col("id") == F.col("last"), F.lit(False))
+    near = ~again & (F.col("common") | fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after")))
+    seen = dealt.select("signature", "salt", "common", "id", "n", F.lag("id").over(w).alias("last"), F.lag("n").over(w).alias("before"), F.lead("n").over(w).alias("after")).filter(near)
     # The rest, in the same partitions and order: sets that fit each other all passed the filter.
     seen = seen.select("signature", "common", "id", "n", F.count(F.lit(1)).over(whole).alias("sets"),
                        *[F.lead(F.struct("id", "n"), i).over(w).alias(f"next{i}") for i in range(1, FEW)])
