@@ -15,6 +15,7 @@ from veilwork.operators import cells as C
 from veilwork.operators import evaluate as EV
 from veilwork.operators import paths as PT
 from veilwork.operators import restore as RS
+from veilwork.operators import review as RV
 from veilwork.operators.detect import detect, detections
 from veilwork.operators.policy import status
 from veilwork.operators.replace import clear_identity_columns
@@ -325,3 +326,13 @@ def test_evaluation_cases(spark, units):
     good = score(("甲方", "乙方", "监理", "合同"))
     assert (good["tp"], good["fp"], good["fn"], good["f1"], good["type_accuracy"]) == (9, 0, 0, 1.0, 1.0)
     assert score(())["fp"] >= 1
+
+
+def test_location_by_context(spark):
+    units = spark.createDataFrame([("f", 0, 0, "aaa and so on"), ("f", 0, 1, "one aaaa two three"), ("f", 0, 2, "nothing but the context"), ("g", 1, 0, "aaaa")],
+                                  "file string, file_ord long, unit_ord long, text string")
+    rows = spark.createDataFrame([("f", "aa", "e aaaa two"), ("f", "aa", "nothing but the"), ("f", "aa", None), ("f", "zz", "not to be found"), ("g", "aa", "e aaaa two")],
+                                 "file string, text string, context string")
+    got = RV.kwic_locate(units, rows).collect()
+    assert sorted((r["file"], r["context"] or "", r["target"]) for r in got) == [
+        ("f", "", 0), ("f", "e aaaa two", 1), ("f", "not to be found", None), ("f", "nothing but the", 2), ("g", "e aaaa two", 0)]

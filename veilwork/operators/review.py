@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions.rules import let
-from veilwork.functions.spans import occurrences
 from veilwork.functions.text import trim_ws
-from veilwork.operators.detect import is_ai_detected, ngram_rows
-from veilwork.schema import AUTO, SUGGEST, UNIT_KEY
+from veilwork.operators.detect import is_ai_detected
+from veilwork.operators.phrases import build_index, with_candidates
+from veilwork.schema import AUTO, SUGGEST
 from veilwork.session import stage
 
 READING_ORDER = ("file_ord", "unit_ord", "det_ord")
@@ -96,32 +95,21 @@ def learned_words(rows: DataFrame) -> DataFrame:
 # ---- keyword in context -----------------------------------------------------------------
 
 def kwic_locate(units: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per detection, the first unit of its file that holds its context, else the detected text.
+    """Per detection, the first unit of its file that holds its context, else the first with the detected text.
 
-    Every occurrence of a detected text is widened to the context widths that detections of
-    this text use in the file, and equal windows meet in an equi join; no two units are compared.
+    Contexts (of eight characters at least) and texts are phrases that one index looks for in all units, so a context need not hold its text
+    and texts may overlap; what the index finds meets what the detections of a file ask for in an equi-join.
     """
     ctx = trim_ws(F.coalesce("context", F.lit("")))
-    wanted = rows.withColumn("_ctx", F.when(F.length(ctx) >= 8, ctx)).withColumn(
-        "_left", F.instr(F.col("_ctx"), F.col("text")) - 1).withColumn("_width", F.length("_ctx"))
-    words = wanted.select(F.col("text").alias("word")).distinct()
-    # Only words that some detection of the same file asks about are followed up.
-    asked = wanted.select("file", F.col("text").alias("word")).distinct()
-    at = ngram_rows(units, words).join(asked, ["file", "word"], "left_semi")
-    fallback = at.groupBy("file", "word").agg(F.min("unit_ord").alias("_by_text"))
-    shapes = (wanted.filter("_left >= 0").select("file", F.col("text").alias("word"), "_left", "_width").distinct()
-              .groupBy("file", "word").agg(F.collect_set(F.struct("_left", "_width")).alias("shapes")))
-    placed = at.join(shapes, ["file", "word"]).join(units.select(*UNIT_KEY, F.col("text").alias("_body")), list(UNIT_KEY))
-
-    def windows(starts):
-        return F.flatten(F.transform(starts, lambda s: F.transform(
-            F.filter("shapes", lambda w: s >= w["_left"]),
-            lambda w: F.substring(F.col("_body"), (s - w["_left"] + 1).cast("int"), w["_width"]))))
-    cut = placed.select("file", "word", "unit_ord", F.explode(F.array_distinct(
-        let(occurrences(F.col("_body"), F.col("word")), windows))).alias("_ctx"))
-    by_context = cut.groupBy("file", "word", "_ctx").agg(F.min("unit_ord").alias("_by_ctx"))
-    return (wanted.join(by_context.withColumnRenamed("word", "text"), ["file", "text", "_ctx"], "left")
-            .join(fallback.withColumnRenamed("word", "text"), ["file", "text"], "left")
+    wanted = rows.withColumn("_ctx", F.when(F.length(ctx) >= 8, ctx))
+    asked = stage(wanted.select("file", F.explode(F.array_compact(F.array("_ctx", "text"))).alias("phrase")).distinct())
+    index = build_index(asked.select("phrase").distinct())
+    if index is None:
+        return rows.withColumn("target", F.lit(None).cast(units.schema["unit_ord"].dataType))
+    found = with_candidates(units.select("file", "unit_ord", "text"), index, "text", "_found").select("file", "unit_ord", F.explode("_found").alias("phrase"))
+    first = stage(found.groupBy("file", "phrase").agg(F.min("unit_ord").alias("at")).join(asked, ["file", "phrase"], "left_semi"))
+    return (wanted.join(first.select("file", F.col("phrase").alias("_ctx"), F.col("at").alias("_by_ctx")), ["file", "_ctx"], "left")
+            .join(first.select("file", F.col("phrase").alias("text"), F.col("at").alias("_by_text")), ["file", "text"], "left")
             .withColumn("target", F.coalesce("_by_ctx", "_by_text"))
             .select(*rows.columns, "target"))
 

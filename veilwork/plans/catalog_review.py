@@ -249,11 +249,12 @@ def g8_nfkc(spark, sf):
 
 @query("g9_extraction", """SELECT file, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, '�', ''))) AS BIGINT) AS replaced,
   count(*) >= 20 AND sum(length(text)) <= 30 * count(*) AS line_level, sum(length(text)) > 0 AND sum(length(text) - length(replace(text, '�', ''))) * 20 > sum(length(text)) AS undecodable
-  FROM (SELECT source AS file, CASE WHEN source = 'src1' THEN replace(line, 'e', '�') WHEN source = 'src2' THEN left(line, 20) ELSE line END AS text FROM (
-    SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE regexp_matches(text, '[^\\s\\x{85}\\x{a0}\\x{3000}]') GROUP BY file""")
+  FROM (SELECT source AS file, CASE WHEN source = 'src1' THEN replace(line, 'e', '�') ELSE line END AS text FROM (
+    SELECT source, unnest(string_split(CASE WHEN source = 'src2' THEN replace(text, ' ', chr(10)) ELSE text END, chr(10))) AS line FROM documents)) WHERE regexp_matches(text, '[^\\s\\x{85}\\x{a0}\\x{3000}]') GROUP BY file""")
 def g9_extraction(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    text = F.when(F.col("source") == "src1", F.replace("line", F.lit("e"), F.lit("�"))).when(F.col("source") == "src2", F.substring("line", 1, 20)).otherwise(F.col("line"))
+    whole = F.when(F.col("source") == "src2", F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.col("text"))  # words of src2 are lines
+    lines = table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split(whole, "\n", -1)).alias("i", "line"))
+    text = F.when(F.col("source") == "src1", F.replace("line", F.lit("e"), F.lit("�"))).otherwise(F.col("line"))
     return RP.extraction_quality(units_from_table(lines, F.col("source"), F.col("doc_id"), F.col("i"), text))
 
 

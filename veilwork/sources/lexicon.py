@@ -80,8 +80,8 @@ def import_lexicon_table(lexicon: DataFrame) -> DataFrame:
 
 
 def export_lexicon_csv(lexicon: DataFrame, path: str) -> None:
-    """Two columns with a header. Spark writes no byte order mark."""
-    (lexicon.orderBy("cat_ord", "word_ord").select("category", "word")
+    """Two columns with a header, which starts with a byte order mark."""
+    (lexicon.orderBy("cat_ord", "word_ord").select(F.col("category").alias("\ufeffcategory"), "word")
      .write.mode("overwrite").option("header", True).csv(path))
 
 
