@@ -94,6 +94,14 @@ def test_near_groups_against_brute_force(spark, docs):
     assert jaccard.keep_one(table).columns == table.columns
 
 
+def test_map_of_keys_misses_none(spark):
+    from veilwork.llm.common import marked
+    rows = spark.range(5000).withColumn("k", F.xxhash64("id"))
+    got = marked(rows, F.col("k"), rows.filter("id % 7 = 0").select("k"), "hit").collect()
+    assert len(got) == 5000 and all(r["hit"] for r in got if r["id"] % 7 == 0) and sum(r["hit"] for r in got) < 800
+    assert marked(rows, F.col("k"), rows.limit(0).select("k"), "hit").filter("hit").count() == 0
+
+
 def test_near_duplicates_and_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     text = lambda name, new=-1: " ".join(f"{name}{chr(97 + j // 26)}{chr(97 + j % 26)}" if j != new else "changed" for j in range(150))
     rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c", 40)),  # unrelated texts without doc_id, and two that link
@@ -138,6 +146,30 @@ def test_rules_and_urls_take_odd_rows(spark, docs):
     assert urls.filter_pages(pages, table.limit(0)).count() == 5
 
 
+def test_depleted_documents_are_rejected(spark):
+    same = "\n".join(" ".join(f"{c}{i}" for c in "abcdefg") for i in range(30))
+    rows = [(i, f"{same}\nown{i} two three", "s") for i in range(8)] + [(9, " ".join(f"alone{j}" for j in range(80)), "s")]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[i]["kept"] and not got[i]["base_failed"] and got[i]["n_removed_words"] == 210 for i in range(8)) and got[9]["kept"]
+
+
+def test_languages_in_any_number_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 200)
+    rows = [(1000 * n + i, f"{chr(0x4E00 + n)} {i}", f"l{n:02}") for n in range(60) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = {r["lang"]: r["count"] for r in langid.sample(table, 500).groupBy("lang").count().collect()}
+    assert len(sizes) == 60 and all(5 <= n <= 45 for n in sizes.values())
+
+
+def test_packed_ids_are_those_of_the_library(docs):
+    tokenizer, found = Tokenizer.from_file(PATH), defaultdict(list)
+    for r in packing.pack(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), PATH).collect():
+        found[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    for i, pieces in found.items():
+        text = (TEXTS[i] if i < len(TEXTS) else None) or ""
+        assert [x for _, ids in sorted(pieces) for x in ids] == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_boilerplate_is_found_on_hosts_of_any_size(spark):
     rows = [(1000 * n + i, "\n".join((["the common line of all"] if i % 5 < 2 else []) + [f"own{n} {i} text{j}" for j in range(60)]), f"host{n}") for n in (20, 50, 400) for i in range(n)]
     got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

@@ -11,7 +11,8 @@ UNKNOWN = "und"
 DIMENSIONS = 4096  # hashed n-grams of one to three letters
 CENTROIDS = 4  # per language
 PER_LANGUAGE = 500  # labelled documents per language that are expected in the training sample, drawn by hash of the row
-SAMPLE_ROWS = 20_000  # the most that go to the driver: 160 MB of counts for forty languages and more
+SAMPLE_ROWS = 20_000  # expected in the sample at most, shared by the languages: 160 MB of counts
+LEAST_ROWS = 20  # expected of each language whatever their number
 REJECT_QUANTILE, REJECT_SLACK = 0.995, 1.25  # a text farther from its centroid than this share of training texts, with slack
 ITERATIONS = 12
 
@@ -56,12 +57,14 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """About `per_language` rows of each language, chosen by a hash of doc_id, and all rows of smaller languages."""
+    """About `per_language` rows of each language, chosen by a hash of the row, and all rows of smaller languages. Many languages share
+    SAMPLE_ROWS, but each keeps LEAST_ROWS, so none is left out. Rows that repeat are chosen together."""
     sizes = docs.groupBy("lang").count().collect()  # one row per language
     if not sizes:
         return docs
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(per_language) / r["count"])])
-    return docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).limit(SAMPLE_ROWS)
+    each = max(LEAST_ROWS, min(per_language, SAMPLE_ROWS // len(sizes)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(each) / r["count"])])
+    return docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
