@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilwork.llm import bpe, exact_dedup, jaccard, langid, lm, packing, pii, quality, rules, urls
+from veilwork.llm.hashing import WordHasher
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, key1 long, id string, norm string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -280,3 +281,16 @@ def test_network_score_is_the_log_of_a_distribution():
             total += float(network.output(state, np.array([int(i)]))[0])
             last = int(i)
         assert got == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_blocks_of_texts_leave_their_sets_unchanged():
+    rng = np.random.default_rng(0)
+    words = ["a", "Bb", "cc" * 9, "é", "x" * 40]
+    texts = [None, "", " \n"] + [" ".join(rng.choice(words, int(n))) + end for n in rng.choice([0, 1, 4, 5, 6, 300, 40_000], 200) for end in ("", "\n")]
+    hasher = WordHasher()
+    got = list(hasher.shingle_sets(texts, 5))
+    assert len(got) == len(texts) and not any(map(len, got[:3]))
+    for text, one in zip(texts, got, strict=True):
+        assert np.array_equal(one, next(hasher.shingle_sets([text], 5)))
+        parts = lower(text).split()
+        assert len(one) == len({tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))}) * bool(parts)

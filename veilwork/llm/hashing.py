@@ -1,10 +1,13 @@
-"""Hashes of the words of a text, a whole text at a time."""
+"""Hashes of the words of whole texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 SEED = 20_240_229
+BLOCK_BYTES = 1 << 17
 
 
 class WordHasher:
@@ -22,12 +25,14 @@ class WordHasher:
         self.mask = np.array([(1 << 8 * i) - 1 for i in range(9)], "uint64")
 
     def words(self, text: str) -> np.ndarray:
-        data = text.encode("utf-8", "surrogatepass")
-        raw = np.frombuffer(data, "u1")
+        return self._spans(np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1"))[1]
+
+    def _spans(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of the bytes `raw` start, and their hashes."""
         edges = np.flatnonzero(np.diff(self.space[raw], prepend=True, append=True))
         starts, sizes = edges[::2], edges[1::2] - edges[::2]
         if not len(sizes):
-            return np.empty(0, "uint64")
+            return starts, np.empty(0, "uint64")
         eight = np.ndarray(len(raw), "<u8", np.concatenate([self.lower[raw], np.zeros(8, "u1")]), strides=(1,))
         out = mix(sizes.astype("uint64") + np.uint64(SEED))
         at, left, which = starts, sizes, None
@@ -41,19 +46,47 @@ class WordHasher:
                 more = left > 8
                 at, left, which = at[more] + 8, left[more] - 8, which[more]
             if not len(which):
-                return out
-
-    def shingles(self, text: str, width: int) -> np.ndarray:
-        """The set of a text's shingles, sorted: hashes of `width` words in a row; all words if there are fewer; empty without words."""
-        words = self.words(text)
-        if not len(words):
-            return words
-        width = min(width, len(words))
-        with np.errstate(over="ignore"):
-            out = words[:len(words) - width + 1].copy()
-            for j in range(1, width):
-                out = mix(out + np.uint64(j)) + words[j:len(words) - width + 1 + j]
-            return np.unique(mix(out + np.uint64(width)))
+                return starts, out
+
+    def shingle_sets(self, texts: Iterable[str | None], width: int) -> Iterator[np.ndarray]:
+        """The set of each text's shingles, sorted: hashes of `width` words in a row; all words if there are fewer; empty without words or text.
+
+        Texts are hashed side by side in blocks of about BLOCK_BYTES, a longer one in a block of its own; a block does not change a set.
+        """
+        held, size = [], 0
+        for text in texts:
+            data = (text or "").encode("utf-8", "surrogatepass")
+            if held and size + len(data) > BLOCK_BYTES:
+                yield from self._block(held, width)
+                held, size = [], 0
+            held.append(data)
+            size += len(data) + 1
+        if held:
+            yield from self._block(held, width)
+
+    def _block(self, held: list[bytes], width: int) -> Iterator[np.ndarray]:
+        starts, words = self._spans(np.frombuffer(b" ".join(held), "u1"))
+        ends = np.searchsorted(starts, np.cumsum([len(data) + 1 for data in held]))
+        rows, first = _in_a_row(words, width), 0
+        for last in ends.tolist():  # the rows of words that reach into the next text belong to none
+            yield distinct(rows[first:last - width + 1] if last - first >= width else _in_a_row(words[first:last], last - first))
+            first = last
+
+
+def _in_a_row(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of `width` words in a row, in the order of the text."""
+    if not 0 < width <= len(words):
+        return np.empty(0, "uint64")
+    out = words[:len(words) - width + 1].copy()
+    for j in range(1, width):
+        out = mix(out + np.uint64(j)) + words[j:len(words) - width + 1 + j]
+    return mix(out + np.uint64(width))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of `x`, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def mix(x: np.ndarray) -> np.ndarray:

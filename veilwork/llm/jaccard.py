@@ -26,10 +26,9 @@ HOT_SHARE = 1000  # a row that repeats is hot if more than one HOT_SHARE-th of a
 
 
 def _identity(grams: np.ndarray, seed: int) -> tuple[int, int]:
-    """128 bits that name a set of n-grams, in two halves."""
-    with np.errstate(over="ignore"):
-        sums = [np.sum(mix(grams ^ np.uint64(2 * seed + i + 1)), dtype="uint64") + np.uint64(len(grams)) for i in (0, 1)]
-    a, b = as_long(mix(np.array(sums, "uint64")))
+    """128 bits that name a set of n-grams, in two halves: the sum and the parities of its spread n-grams."""
+    spread = mix(grams ^ np.uint64(seed + 1))
+    a, b = as_long(mix(np.array([spread.sum(), np.bitwise_xor.reduce(spread)], "uint64")))
     return int(a), int(b)
 
 
@@ -49,8 +48,7 @@ def profile(docs: DataFrame, seed: int) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             rows, sets = [], {}
-            for text in batch.column("text"):
-                grams = hasher.shingles(text.as_py() or "", WIDTH)
+            for grams in hasher.shingle_sets(batch.column("text").to_pylist(), WIDTH):
                 a, b = _identity(grams, seed) if len(grams) else (None, None)
                 rows.append((len(grams), a, b, sketch(grams) if len(grams) else None))
                 if len(grams):
@@ -128,8 +126,7 @@ def postings(docs: DataFrame, common: np.ndarray, seed: int) -> DataFrame:
                            np.repeat([i for i, _, _, _ in held], lengths), np.repeat([n for _, n, _, _ in held], lengths)]
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "common", "id", "n"])
 
-            for text in batch.column("text"):
-                grams = hasher.shingles(text.as_py() or "", WIDTH)
+            for grams in hasher.shingle_sets(batch.column("text").to_pylist(), WIDTH):
                 if not len(grams):
                     continue
                 own = _identity(grams, seed)[0]
@@ -190,8 +187,8 @@ def segments(docs: DataFrame, pairs: DataFrame, repeated: DataFrame, seed: int)
 
         kinds, rows = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.bool_()] * 3], []
         for batch in batches:
-            for text, *named in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("key1", "left", "right", "again")), strict=True):
-                grams = hasher.shingles(text.as_py() or "", WIDTH)
+            sets = hasher.shingle_sets(batch.column("text").to_pylist(), WIDTH)
+            for grams, *named in zip(sets, *(batch.column(c).to_pylist() for c in ("key1", "left", "right", "again")), strict=True):
                 if len(grams):
                     own = _identity(grams, seed)[0]
                     bounds = np.searchsorted(grams >> np.uint64(60), np.arange(1, FRAGMENTS))
