@@ -1,6 +1,7 @@
 """The training-data operators on small odd tables, against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilwork.llm import bpe, exact_dedup, jaccard, langid, lm, packing, pii, quality, rules, urls
+from veilwork.llm.common import passing, staged
 from veilwork.llm.hashing import WordHasher
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, key1 long, id string, norm string"
@@ -294,3 +296,16 @@ def test_blocks_of_texts_leave_their_sets_unchanged():
         assert np.array_equal(one, next(hasher.shingle_sets([text], 5)))
         parts = lower(text).split()
         assert len(one) == len({tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))}) * bool(parts)
+
+
+def test_passing_tables_go_and_their_results_stay(spark):
+    with passing(spark, "test") as put:
+        half = put(spark.range(10), "half")
+        folder = half.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+        whole = staged(half.unionByName(half), "whole")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and whole.count() == 20
+    with pytest.raises(ZeroDivisionError), passing(spark, "test") as put:
+        folder = put(spark.range(3), "some").inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+        1 / 0  # noqa: B018
+    assert not os.path.exists(folder)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import marked, row_keys, staged
+from veilwork.llm.common import marked, passing, row_keys, staged
 from veilwork.llm.hashing import WordHasher, as_long, mix
 
 WIDTH = 5  # words of an n-gram
@@ -174,7 +174,7 @@ def shared_postings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen.filter("not common").unionByName(often.join(lists, "signature")).select("signature", "id", "n"), pairs
 
 
-def segments(docs: DataFrame, pairs: DataFrame, repeated: DataFrame, seed: int) -> DataFrame:
+def segments(docs: DataFrame, pairs: DataFrame, repeated: DataFrame, seed: int, put=staged) -> DataFrame:
     """id, key1, fragment, grams, left, right: the sets of the rows that `pairs` name by key_a (left) and key_b (right), in their parts
     of the global order. Maps of fixed size choose the rows before their texts are hashed, so some others are there too; joins by
     id and key1 leave those out. Nothing is shuffled but sets of rows that repeat (`repeated`: key1), of which one stays."""
@@ -203,11 +203,11 @@ def segments(docs: DataFrame, pairs: DataFrame, repeated: DataFrame, seed: int)
     for name, keys in (("left", pairs.select("key_a")), ("right", pairs.select("key_b")), ("again", repeated)):
         keyed = marked(keyed, F.col("key1"), keys, name)
     found = keyed.filter("left or right").mapInArrow(run, "id long, key1 long, fragment int, grams array<long>, left boolean, right boolean, again boolean")
-    found = staged(found, "jaccard-segments")
+    found = put(found, "jaccard-segments")
     again = found.filter("again")
     if again.isEmpty():
         return found
-    return found.filter("not again").unionByName(staged(again.dropDuplicates(["id", "key1", "fragment"]), "jaccard-again"))
+    return found.filter("not again").unionByName(put(again.dropDuplicates(["id", "key1", "fragment"]), "jaccard-again"))
 
 
 def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -242,22 +242,23 @@ def links_among(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, root: the smallest id that each id of `edges` (a, b) reaches. Alternates large-star and small-star steps, each staged,
-    until the edges no longer change; then each id points at its root."""
-    now, mark = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc"), None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = staged(small.filter("u <> v").distinct(), "cc")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark:
-            break
-        mark = tuple(state)
-    roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("id"), "root"))
+    """id, root: the smallest id that each id of `edges` (a, b) reaches. Alternates large-star and small-star steps, each written,
+    until the edges no longer change; then each id points at its root. Only the last edges' result stays."""
+    with passing(edges.sparkSession, "cc") as put:
+        now, mark = put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"), None
+        while True:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            now = put(small.filter("u <> v").distinct(), "edges")
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if tuple(state) == mark:
+                break
+            mark = tuple(state)
+        roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        return staged(roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("id"), "root")), "cc-roots")
 
 
 def mixed_lists(lists: DataFrame, turn: int) -> DataFrame:
@@ -273,7 +274,7 @@ def star_pairs(mixed: DataFrame) -> DataFrame:
     return mixed.filter("root <> head.root").select("id", F.col("head.id").alias("other"), "n", F.col("head.n").alias("m"))
 
 
-def rest_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def rest_pairs(lists: DataFrame, nodes: DataFrame, put=staged) -> DataFrame:
     """id, other, n, m: the sets of a signature's list (signature, id, n, root) that are in different components and may link by their
     sizes and folded sketches, which the rows carry: pairs that fail are never written.
 
@@ -285,7 +286,7 @@ def rest_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
              .filter("roots > 1").select("signature", "main", F.ceil(F.col("sets") / BLOCK).cast("int").alias("parts")))
     word = lambda i: F.get("sketch", F.lit(i))
     fold = [word(i).bitwiseXOR(word(i + FOLD)).bitwiseXOR(word(i + 2 * FOLD)).bitwiseXOR(word(i + 3 * FOLD)).alias(f"f{i}") for i in range(FOLD)]
-    rows = staged(lists.join(mixed, "signature").join(nodes.select("id", *fold), "id"), "jaccard-mixed")
+    rows = put(lists.join(mixed, "signature").join(nodes.select("id", *fold), "id"), "jaccard-mixed")
     ones = rows.filter("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     all_ = rows.select("signature", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("other"), F.col("n").alias("m"),
                        F.col("root").alias("other_root"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(FOLD)])
@@ -328,21 +329,22 @@ def rooted(docs: DataFrame) -> DataFrame:
     while True:
         lists = shared if labels is None else shared.join(labels, "id", "left")
         lists = lists.select("signature", "id", "n", (F.col("id") if labels is None else F.coalesce("root", "id")).alias("root"))
-        if star:
-            mixed = mixed_lists(lists, turn)
-            if turn > 0:  # components only grow, so the lists left out here stay out
-                mixed = staged(mixed, "jaccard-lists")
-                shared = mixed.select("signature", "id", "n")
-            pairs = star_pairs(mixed) if turn > 0 else star_pairs(mixed).unionByName(small)
-        else:
-            pairs = rest_pairs(lists, nodes)
-        swap = F.col("id") > F.col("other")
-        pairs = pairs.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("other", "id", "a"), ("id", "other", "b"), ("m", "n", "n_a"), ("n", "m", "n_b"))]).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "jaccard-pairs")
-        near = staged(facing(staged(close(pairs, nodes), "jaccard-close")), "jaccard-facing")
-        new = staged(links_among(near, segments(docs, near, repeated, seed)), "jaccard-links")
+        with passing(docs.sparkSession, "jaccard-round") as put:
+            if star:
+                mixed = mixed_lists(lists, turn)
+                if turn > 0:  # components only grow, so the lists left out here stay out
+                    mixed = staged(mixed, "jaccard-lists")
+                    shared = mixed.select("signature", "id", "n")
+                pairs = star_pairs(mixed) if turn > 0 else star_pairs(mixed).unionByName(small)
+            else:
+                pairs = rest_pairs(lists, nodes, put)
+            swap = F.col("id") > F.col("other")
+            pairs = pairs.select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("other", "id", "a"), ("id", "other", "b"), ("m", "n", "n_a"), ("n", "m", "n_b"))]).distinct()
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = staged(pairs, "jaccard-pairs")
+            near = put(facing(put(close(pairs, nodes), "jaccard-close")), "jaccard-facing")
+            new = staged(links_among(near, segments(docs, near, repeated, seed, put)), "jaccard-links")
         links = new if links is None else links.unionByName(new)
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         labels, turn = components(links), turn + 1
