@@ -68,3 +68,26 @@ def test_aliases_are_refused(spark, tmp_path):
         mask_stream_reversible(file_stream(spark, tmp_path / "in"), "a", "b", "c", MaskConfig(style="alias"))
     with pytest.raises(ValueError):
         ReversibleMasker("a", "b", MaskConfig(style="alias"))
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_documents_stream_from_a_file_and_from_a_folder(spark, tmp_path, files):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from veilwork.plans.catalog_review import document_stream, j1_stream_stateless, j2_stream_reversible
+    rows = pa.table({"doc_id": pa.array(range(6), pa.int64()), "text": [f"call 1381234567{i}" for i in range(5)] + [None], "lang": ["en"] * 6,
+                     "source": ["s"] * 6, "n_chars": pa.array([16] * 6, pa.int64())})
+    target = tmp_path / "documents.parquet"
+    if files:
+        target.mkdir()
+        for i in range(files):
+            pq.write_table(rows.slice(2 * i, 2), target / f"part-{i}.parquet")
+    else:
+        pq.write_table(rows, target)
+    pq.write_table(rows, tmp_path / "documents.parquet.old")  # another table
+    assert document_stream(spark, str(tmp_path)).isStreaming
+    hidden = {r["file_ord"]: r["masked_text"] for r in j1_stream_stateless(spark, str(tmp_path)).collect()}
+    assert hidden == {i: "call ***" for i in range(5)}
+    tokens = [r["masked_text"] for r in j2_stream_reversible(spark, str(tmp_path)).collect()]
+    assert sorted(tokens) == [f"call [CUSTOM_00{i}]" for i in range(1, 6)]

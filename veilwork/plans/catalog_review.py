@@ -401,7 +401,8 @@ def h15_file_key(spark, sf):
 
 def document_stream(spark, sf):
     schema = table(spark, sf, "documents").schema
-    d = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # A pattern that only this name fits, as a stream does not take the path of one file; the table may be a file or a folder of files.
+    d = spark.readStream.schema(schema).parquet(f"{sf}/document[s].parquet")
     return units_from_table(d, F.col("source"), F.col("doc_id"), F.lit(0), F.col("text"))
 
 
