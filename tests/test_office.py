@@ -37,3 +37,33 @@ def test_no_phonetic_text_and_one_parser(spark):
     assert sorted(r["text"] for r in units.collect()) == ["in", "東京"] and [r["file"] for r in failed.collect()] == ["y.xlsx"]
     assert "MapInPandas" not in units._jdf.queryExecution().toString()  # the parsed rows are staged
     assert failures(xlsx_elements(files.limit(0))).count() == 0
+
+
+def test_small_packages_share_frames_and_tasks(spark, monkeypatch):
+    from veilwork.session import deal
+    from veilwork.sources import office
+    files = spark.createDataFrame([(f"{i:02d}.docx", docx(f"t{i}") if i % 7 else b"no zip") for i in range(20)], "path string, content binary").coalesce(1)
+    frames = []
+    monkeypatch.setattr(office, "ELEMENT_ROWS", 6)
+    monkeypatch.setattr(office, "stage", lambda df: frames.append(df) or df)
+    runs = office.docx_runs(files)
+    assert len(frames) == 1
+    got = {(r["file"], r["text"], r["error"] is None) for r in runs.collect()}
+    assert got == {(f"{i:02d}.docx", f"t{i}" if i % 7 else None, i % 7 > 0) for i in range(20)}
+    dealt = deal(spark.range(1000, numPartitions=1), 1000, 50)
+    assert dealt.rdd.getNumPartitions() == 20 and max(dealt.rdd.glom().map(len).collect()) <= 60
+    assert deal(spark.range(3, numPartitions=1), 3).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_workbooks_of_one_file_are_parsed_side_by_side(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from veilwork.plans import catalog_detect
+    pq.write_table(pa.table({"c_custkey": pa.array(range(40), pa.int64()), "c_name": [f"Customer#{i:09d}" for i in range(40)], "c_acctbal": [i + 0.5 for i in range(40)]}),
+                   tmp_path / "customer.parquet")
+    seen = []
+    monkeypatch.setattr(catalog_detect, "PACKAGES", 2)
+    monkeypatch.setattr(catalog_detect, "scan_xlsx", lambda files: seen.append(files) or spark.createDataFrame([], "file string, loc struct<cell_ref:string>, kind string, text string, number_format string"))
+    catalog_detect.a3_scan_xlsx(spark, str(tmp_path))
+    assert seen[0].rdd.getNumPartitions() == 20 and seen[0].count() == 40

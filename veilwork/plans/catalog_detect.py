@@ -25,12 +25,14 @@ from veilwork.plans.inputs import (WHITELIST, conversation_units, document_units
                                    tagged, token_mapping, tokened, whole_cells)
 from veilwork.plans.registry import query, scratch
 from veilwork.schema import UNIT_KEY
+from veilwork.session import deal, spread
 from veilwork.sources import files as FS
 from veilwork.sources import lexicon as L
 from veilwork.sources.office import scan_docx, scan_xlsx
 
 KEY = list(UNIT_KEY)
 CFG = MaskConfig(whitelist=WHITELIST)
+PACKAGES = 5_000  # packages that one task makes and parses
 
 
 # ---- A. sources and sinks ---------------------------------------------------------------
@@ -58,7 +60,7 @@ def _docx(texts: pd.Series) -> pd.Series:
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
   WHERE regexp_matches(line, '[^\s\x{85}\x{a0}\x{3000}]')""")
 def a2_scan_docx(spark, sf):
-    packages = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), _docx("text").alias("content"))
+    packages = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), _docx("text").alias("content"))
     return scan_docx(packages).select("file", "loc.paragraph", "text")
 
 
@@ -100,7 +102,8 @@ def _xlsx(names: pd.Series, balances: pd.Series) -> pd.Series:
     struct_pack(cell_ref := 'A1', kind := 'text', text := 'see ' || c_name, fmt := NULL), struct_pack(cell_ref := '', kind := 'text', text := c_name, fmt := NULL)]) AS x
   FROM customer)""")
 def a3_scan_xlsx(spark, sf):
-    packages = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), _xlsx("c_name", "c_acctbal").alias("content"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    packages = deal(customers, customers.count(), PACKAGES).select(F.col("c_custkey").cast("string").alias("path"), _xlsx("c_name", "c_acctbal").alias("content"))
     return scan_xlsx(packages).select("file", "loc.cell_ref", "kind", "text", "number_format")
 
 

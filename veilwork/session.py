@@ -94,3 +94,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Rows of a table that get a task of their own where each row costs much more than reading it.
+DEAR_ROWS = 20_000
+
+
+def deal(df: DataFrame, rows: int, per_task: int = DEAR_ROWS) -> DataFrame:
+    """Deal `rows` skinny rows evenly, before something dear is made of each: a task per core at least, and one per `per_task` rows.
+
+    The splits of a scan say little: a row group is read by one of them, however many there are, and the others stay empty.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))

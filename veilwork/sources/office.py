@@ -28,6 +28,9 @@ from veilwork.session import BROADCAST_ROWS, stage
 # Word-processing parts that hold text.
 DOC_PARTS = r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$"
 
+# Small packages go out together, about so many rows at a time: a frame has a price of its own.
+ELEMENT_ROWS = 10_000
+
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -37,9 +40,10 @@ def _unpack(files: DataFrame, part_pattern: str, rows_of, schema: str) -> DataFr
     """Run `rows_of(part name, root element)` over matching parts, once: the rows are staged. An unreadable package gives one row, whose
     `error` says why; no row of a package goes out before all of it was read."""
     names = [c.split()[0] for c in schema.split(", ")]
+    columns = ["file", "part", *names, "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = re.compile(part_pattern)
+        wanted, rows = re.compile(part_pattern), []
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 out, name = [], None
@@ -52,7 +56,12 @@ def _unpack(files: DataFrame, part_pattern: str, rows_of, schema: str) -> DataFr
                                 out.extend((path, name, *row, None) for row in rows_of(name, ET.fromstring(z.read(name))))
                 except (zipfile.BadZipFile, ET.ParseError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error) as reason:
                     out = [(path, name, *[None] * len(names), f"{type(reason).__name__}: {reason}")]
-                yield pd.DataFrame(out, columns=["file", "part", *names, "error"], dtype=object)
+                rows += out
+                if len(rows) >= ELEMENT_ROWS:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return stage(files.select("path", "content").mapInPandas(run, "file string, part string, " + schema + ", error string"))
 
