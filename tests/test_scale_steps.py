@@ -1,6 +1,7 @@
 """Detection runs once per job, in evenly dealt tasks, and places are found without cutting texts."""
 
 import datetime
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.config import MaskConfig
-from veilwork.functions import rules
+from veilwork.functions import rules, spans
+from veilwork.operators import assist
 from veilwork.plans import catalog_detect, catalog_mask, inputs, mask
 from veilwork.session import deal
 
@@ -77,3 +79,34 @@ def test_places_of_only_matches(units):
         (texts[0], "6222020212345678", 2), (texts[1], "6222020212345678", 4), (texts[2], "6222020212345678", 28),
         (texts[3], "6222020212345678", 1), (texts[3], "6222020212345679", 18), (texts[4], "2024年1月2日", 11), (texts[5], "a@b.cn", 1),
         (texts[6], "12万", 3), (texts[6], "12万元", 7), (texts[7], "2024年1月2日", 13)}
+
+
+def test_long_numbers_do_not_backtrack(units):
+    """The pattern of amounts took time quadratic in the length of a number without a unit."""
+    text = "9" * 150_000 + " 12.5万元"
+    began = time.monotonic()
+    got = units([text]).select(F.explode(rules.regex_hits(F.col("text"), ("generic_amount",))).alias("h")).select("h.text", "h.pos").collect()
+    assert [tuple(r) for r in got] == [("12.5万元", 150_002)] and time.monotonic() - began < 15
+
+
+def test_long_runs_keep_what_stands_around_them(units):
+    texts = ["5+8613800138000", "x+8613800138000", "11010119000101001X", "11010119000101001X2", "11010119000101001x 1", "110101190001010012X", "a@b.cn@c.de-e@f.gh x@"]
+    got = units(texts).select("text", F.explode(rules.regex_hits(F.col("text"))).alias("h")).select("text", "h.text", "h.rule", "h.pos").collect()
+    assert {tuple(r) for r in got} == {
+        (texts[0], "8613800138000", 2, 3), (texts[1], "+8613800138000", 2, 2), (texts[2], "11010119000101001X", 3, 1), (texts[2], "11010119000101001", 6, 1),
+        (texts[3], "11010119000101001", 6, 1), (texts[4], "11010119000101001x", 3, 1), (texts[4], "11010119000101001", 6, 1),
+        (texts[5], "110101190001010012", 3, 1), (texts[5], "110101190001010012", 6, 1), (texts[6], "a@b.cn", 4, 1), (texts[6], "c.de-e@f.gh", 4, 8)}
+
+
+def test_words_that_occur_once_need_no_split(units, spark):
+    cases = [("aXbXc", "X", [1, 3]), ("aaa", "aa", [0]), ("😀x", "x", [1]), ("abc", "z", []), (None, "a", None), ("abab", "ab", [0, 2])]
+    rows = spark.createDataFrame([(t, w) for t, w, _ in cases], "t string, w string").select(spans.occurrences(F.col("t"), F.col("w"))).collect()
+    assert [r[0] for r in rows] == [x for *_, x in cases]
+
+
+def test_batches_move_no_context(spark, tables, monkeypatch):
+    seen = []
+    number = assist.number_candidates
+    monkeypatch.setattr(assist, "number_candidates", lambda c: seen.append(c.columns) or number(c))
+    assert catalog_mask.c2_batches(spark, tables).count() > 0 and "context" not in seen[0]
+    assert catalog_mask.c3_score_batches(spark, tables).filter("answered").count() > 0 and "context" in seen[1]
