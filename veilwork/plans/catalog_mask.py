@@ -49,7 +49,8 @@ def c1_candidates(spark, sf):
 
 @query("c2_batches", O.with_(*LEDGER_DET, CAND, NUMBERED) + "SELECT batch, id, text, source, text_type FROM numbered")
 def c2_batches(spark, sf):
-    return numbered(ledger_rows(spark, sf)).select("batch", "id", "text", "source", "text_type")
+    rows = ledger_rows(spark, sf).drop("context")  # no request is made, so no context is shuffled and staged
+    return numbered(rows).select("batch", "id", "text", "source", "text_type")
 
 
 def numbered(rows):
