@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilwork.config import MaskConfig
 from veilwork.functions import rules, spans
-from veilwork.operators import assist
+from veilwork.operators import assist, detect
 from veilwork.plans import catalog_detect, catalog_mask, inputs, mask
 from veilwork.session import deal
 
@@ -110,3 +110,20 @@ def test_batches_move_no_context(spark, tables, monkeypatch):
     monkeypatch.setattr(assist, "number_candidates", lambda c: seen.append(c.columns) or number(c))
     assert catalog_mask.c2_batches(spark, tables).count() > 0 and "context" not in seen[0]
     assert catalog_mask.c3_score_batches(spark, tables).filter("answered").count() > 0 and "context" in seen[1]
+
+
+def test_joined_lexicon_searches_units_once_whatever_their_keys(spark):
+    """Units were made and searched twice, and met their words by keys that repeat or are null."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    made = spark.createDataFrame([("a", 1, 1, "x NATION_9"), ("a", 1, 1, "x NATION_8"), (None, None, 2, "NATION_8 y"), ("b", 2, 3, "none")],
+                                 "file string, file_ord long, unit_ord long, text string")
+    words = spark.createDataFrame([("NATION_8", "location", 1), ("NATION_9", "location", 2)], "word string, type string, rule long")
+    got = detect.detect_dictionary(made.mapInArrow(count, made.schema), words, "join").select("text", "dict_hits").collect()
+    assert sorted((r["text"], [(h["text"], h["pos"]) for h in r["dict_hits"]]) for r in got) == [
+        ("NATION_8 y", [("NATION_8", 1)]), ("none", []), ("x NATION_8", [("NATION_8", 3)]), ("x NATION_9", [("NATION_9", 3)])]
+    assert seen.value == 4

@@ -102,16 +102,17 @@ def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY
 
 
 def dictionary_join(units: DataFrame, words: DataFrame, index: PhraseIndex) -> DataFrame:
-    """Only units with strings that the index lets through are staged and shuffled; the others pass as they are."""
-    marked = with_candidates(units, index, "text", "_found")
-    some = stage(marked.filter(F.size("_found") > 0))
-    rows = confirm(some.select(*UNIT_KEY, F.explode("_found").alias("word")), words, "word")
-    grouped = rows.groupBy(*UNIT_KEY).agg(F.array_sort(F.collect_list(F.struct("rule", "word", "type"))).alias("found"))
-    joined = some.drop("_found").join(grouped, list(UNIT_KEY), "left")
+    """Units are searched once and staged with the strings that the index lets through, each under a number of its own, so keys may be null or
+    repeat. Only units with such strings are shuffled, by that number."""
+    marked = stage(with_candidates(units, index, "text", "_found").withColumn("_unit", F.monotonically_increasing_id()))
+    some = marked.filter(F.size("_found") > 0).drop("_found")
+    rows = confirm(marked.select("_unit", F.explode("_found").alias("word")), words, "word")
+    grouped = rows.groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("rule", "word", "type"))).alias("found"))
     hits = F.transform("found", lambda x: _hit(
         x["word"], x["type"], "dictionary", x["rule"], F.instr(F.col("text"), x["word"])))
-    joined = stage(joined.withColumn("dict_hits", F.coalesce(hits, no_hits())).drop("found"))
-    return joined.unionByName(marked.filter(F.size("_found") == 0).drop("_found").withColumn("dict_hits", no_hits()))
+    joined = some.join(grouped, "_unit", "left").withColumn("dict_hits", F.coalesce(hits, no_hits())).drop("found")
+    rest = marked.filter(F.size("_found") == 0).drop("_found").withColumn("dict_hits", no_hits())
+    return joined.unionByName(rest).drop("_unit")
 
 
 def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = None) -> DataFrame:
@@ -122,10 +123,12 @@ def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = N
     size = words.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
     if method == "inline":
         return dictionary_inline(units, words.collect())
+    joined = method == "join" or (method is None and (size["rows"] > BROADCAST_ROWS or size["bytes"] > BROADCAST_BYTES))
+    words = stage(words) if joined else words  # prepared once for the index and the join
     index = build_index(words, "word")
     if index is None:
         return units.withColumn("dict_hits", no_hits())
-    if method == "join" or (method is None and (size["rows"] > BROADCAST_ROWS or size["bytes"] > BROADCAST_BYTES)):
+    if joined:
         return dictionary_join(units, words, index)
     return dictionary_broadcast(units, words.collect(), index)
 
