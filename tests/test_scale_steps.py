@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilwork.config import MaskConfig
 from veilwork.functions import rules, spans
 from veilwork.operators import assist, detect
-from veilwork.plans import catalog_detect, catalog_mask, inputs, mask
+from veilwork.plans import catalog_detect, catalog_mask, catalog_review, inputs, mask
 from veilwork.session import deal
 
 
@@ -127,3 +127,12 @@ def test_joined_lexicon_searches_units_once_whatever_their_keys(spark):
     assert sorted((r["text"], [(h["text"], h["pos"]) for h in r["dict_hits"]]) for r in got) == [
         ("NATION_8 y", [("NATION_8", 1)]), ("none", []), ("x NATION_8", [("NATION_8", 3)]), ("x NATION_9", [("NATION_9", 3)])]
     assert seen.value == 4
+
+
+@pytest.mark.parametrize("module, name", [(catalog_mask, "d2_actionable"), (catalog_mask, "d3_confirm_audit"), (catalog_detect, "b26_dedup_files"),
+                                          (catalog_review, "h12_bulk_select")])
+def test_places_are_made_for_those_who_ask(spark, tables, monkeypatch, module, name):
+    asked, search = [], detect.detect
+    monkeypatch.setattr(detect, "detect", lambda *a, positions=True, **kw: asked.append(positions) or search(*a, positions=positions, **kw))
+    getattr(module, name)(spark, tables)
+    assert asked == [False]

@@ -353,7 +353,7 @@ def h11_default_selection(spark, sf):
 @query("h12_bulk_select", O.with_(*LEDGER_DET, GRADED) + f"""SELECT op, {O.KEY}, text, CASE WHEN text_type = 'custom' THEN CASE op WHEN 'all' THEN true WHEN 'none' THEN false WHEN 'invert' THEN unit_ord % 3 <> 0
   WHEN 'auto_only' THEN status = 'auto_mask' ELSE status = 'suggest_mask' END ELSE unit_ord % 3 = 0 END AS selected FROM graded, (SELECT unnest(['all', 'none', 'invert', 'auto_only', 'suggest_only']) AS op)""")
 def h12_bulk_select(spark, sf):
-    rows = stage(graded(spark, sf).select(*KEY, "text", "text_type", "status", (F.col("unit_ord") % 3 == 0).alias("selected")))
+    rows = stage(grade(ledger_rows(spark, sf, positions=False), "smart").select(*KEY, "text", "text_type", "status", (F.col("unit_ord") % 3 == 0).alias("selected")))
     parts = [RV.bulk_select(rows, op, F.col("text_type") == "custom").select(F.lit(op).alias("op"), *KEY, "text", "selected")
              for op in ("all", "none", "invert", "auto_only", "suggest_only")]
     out = parts[0]
