@@ -136,3 +136,11 @@ def test_places_are_made_for_those_who_ask(spark, tables, monkeypatch, module, n
     monkeypatch.setattr(detect, "detect", lambda *a, positions=True, **kw: asked.append(positions) or search(*a, positions=positions, **kw))
     getattr(module, name)(spark, tables)
     assert asked == [False]
+
+
+@pytest.mark.parametrize("name", ["d6_dropped", "d13_replacements"])
+def test_resolved_units_are_staged_without_texts(spark, tables, monkeypatch, name):
+    staged, write = [], catalog_mask.stage
+    monkeypatch.setattr(catalog_mask, "stage", lambda df: staged.append(df.columns) or write(df))
+    getattr(catalog_mask, name)(spark, tables)
+    assert staged and not any("text" in c for c in staged)

@@ -298,7 +298,7 @@ def d5_resolve(spark, sf):
 
 @query("d6_dropped", O.with_(*LOUD_SPANS, O.RESOLVE) + f"SELECT {O.KEY}, {SPAN_COLS} FROM dropped")
 def d6_dropped(spark, sf):
-    return R.dropped_overlaps(stage(resolved(spark, sf))).select(*KEY, "start", "end", "text", "type", "confidence")
+    return R.dropped_overlaps(stage(resolved(spark, sf).select(*KEY, "dropped"))).select(*KEY, "start", "end", "text", "type", "confidence")
 
 
 MEMO_SPANS = (O.MEMO, O.LEXICON, O.WORDS, O.det("memo"), O.spans("smart"), O.RESOLVE, O.FIRST)
@@ -385,7 +385,7 @@ FUZZY_NEW = f"CASE WHEN k.text_type = 'amount' THEN {FUZZY.replace('{t}', 'k.tex
 @query("d13_replacements", O.with_(*SMART_ALL, FIRST_NO_AMOUNT, O.ALLOC, O.rebuilt("ledger", FUZZY_NEW)) +
        f"SELECT {O.KEY}, CAST(s AS INTEGER) AS start, text, new_text FROM reps")
 def d13_replacements(spark, sf):
-    res = stage(resolved(spark, sf, FUZZY_CFG))
+    res = stage(resolved(spark, sf, FUZZY_CFG).select(*KEY, "kept"))
     allocated = TK.allocate_tokens(stage(TK.first_uses(R.token_spans(res, FUZZY_CFG))))
     return R.build_replacements(res, allocated, FUZZY_CFG).select(*KEY, "start", "text", "new_text")
 
