@@ -144,3 +144,7 @@ def test_resolved_units_are_staged_without_texts(spark, tables, monkeypatch, nam
     monkeypatch.setattr(catalog_mask, "stage", lambda df: staged.append(df.columns) or write(df))
     getattr(catalog_mask, name)(spark, tables)
     assert staged and not any("text" in c for c in staged)
+
+
+def test_channels_share_one_ledger(spark, tables, reads):
+    assert catalog_detect.b13_dedup_channels(spark, tables).count() > 0 and reads.value == 60

@@ -25,7 +25,7 @@ from veilwork.plans.inputs import (WHITELIST, conversation_units, document_units
                                    tagged, token_mapping, tokened, whole_cells)
 from veilwork.plans.registry import query, scratch
 from veilwork.schema import UNIT_KEY
-from veilwork.session import deal, spread
+from veilwork.session import deal, spread, stage
 from veilwork.sources import files as FS
 from veilwork.sources import lexicon as L
 from veilwork.sources.office import scan_docx, scan_xlsx
@@ -300,7 +300,7 @@ COLS = [*KEY, "text", "text_type", "source", "confidence", "channel_ord", "rule_
 @query("b13_dedup_channels", O.with_(O.LEDGER, O.LEXICON, O.WORDS, O.det("ledger", manual=("Supplier#000000007",))) + DET_COLS)
 def b13_dedup_channels(spark, sf):
     """Row form: channels gathered as tables and folded by a window."""
-    units, lex = ledger(spark, sf), lexicon(spark, sf)
+    units, lex = stage(ledger(spark, sf)), lexicon(spark, sf)  # read by each channel
     parts = [D.detections(D.detect(units, MaskConfig(whitelist=WHITELIST), lex, regex=False)),
              D.detections(D.detect(units, MaskConfig(whitelist=WHITELIST))),
              D.detections(D.detect(units, MaskConfig(manual_words=("Supplier#000000007",), auto_detect=False)))]
