@@ -7,6 +7,7 @@ run without a shuffle. `detections` turns the arrays into the usual one-row-per-
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwork.config import MaskConfig
-from veilwork.functions.rules import let, no_hits, regex_hits
+from veilwork.functions.rule_scan import char_kinds, left_out, rule_matches
+from veilwork.functions.rules import RULES, let, no_hits, regex_hits
 from veilwork.functions.spans import context
-from veilwork.operators.phrases import PhraseIndex, build_index, confirm, occurring, with_candidates
+from veilwork.operators.phrases import PhraseIndex, TextBlock, build_index, confirm, occurring, text_blocks
 from veilwork.operators.tagging import ner_hits, tag_units
-from veilwork.schema import CHANNELS, TYPES, UNIT_KEY
+from veilwork.schema import CHANNELS, HITS, HITS_DDL, TYPES, UNIT_KEY
 from veilwork.session import BROADCAST_ROWS, stage, table_join
 
 # Beyond so many bytes of words a lexicon, or a whitelist, is joined and not broadcast.
@@ -72,27 +75,87 @@ def dictionary_inline(units: DataFrame, words: list) -> DataFrame:
         found, lambda x: _hit(x["w"], x["t"], "dictionary", x["r"], F.instr(text, x["w"]))))
 
 
-def dictionary_broadcast(units: DataFrame, words: list, index: PhraseIndex) -> DataFrame:
-    """Strings that the index lets through are looked up in a broadcast table, in the scan task."""
+class RuleScan(NamedTuple):
+    """What tasks need to find the hits of rules beside those of words."""
+
+    kinds: np.ndarray | None  # of each code point
+    harmless: tuple[str, ...]
+    positions: bool
+
+
+NO_RULES = RuleScan(None, (), True)
+
+
+class HitArrays:
+    """Hits of words (numbered in their order) and of rules (numbered after them) as arrays, with the fields of HITS_DDL."""
+
+    def __init__(self, words: Sequence[tuple[int, str, str]], kinds: np.ndarray | None, harmless: Sequence[str], positions: bool):
+        orders, self.words, types = zip(*words) if words else ((), (), ())
+        self.numbers, self.kinds = {w: i for i, w in enumerate(self.words)}, kinds
+        self.harmless, self.positions = frozenset(harmless), positions
+        self.types = pa.array([*types, *[r.type for r in RULES]], pa.string())
+        self.orders = pa.array([*orders, *range(len(RULES))], pa.int64())
+        self.sources = pa.array(["dictionary", *["regex"] * len(RULES)])
+        self.confidence = pa.array([0.95, *[r.confidence for r in RULES]])
+        self.channels = pa.array([CHANNELS["dictionary"], *[CHANNELS["regex"]] * len(RULES)], pa.int32())
+        self.found: list[tuple[str, int, int]] = []
+        self.ends, self.whole = [0], []
+
+    def add(self, block: TextBlock, strings: Sequence[dict[str, int]]) -> None:
+        """The hits of the texts of a block, the first of every text: words among `strings`, then rules, but for the texts left to the patterns."""
+        rules, late = [()] * len(block.texts), set()
+        if self.kinds is not None:
+            text, rule, start, end = rule_matches(block.codes, block.ends, self.kinds)
+            first = block.starts[text]
+            rows = list(zip((rule + len(self.words)).tolist(), (start - first).tolist(), (end - first).tolist(), strict=True))
+            bounds = np.searchsorted(text, np.arange(len(block.texts) + 1)).tolist()
+            rules = [rows[a:b] for a, b in zip(bounds, bounds[1:])]
+            late = set(left_out(block.codes, block.ends, self.kinds).tolist())
+        known = self.numbers
+        for i, (text, some) in enumerate(zip(block.texts, strings, strict=True)):
+            hits = {}
+            for number, place in sorted((known[w], place) for w, place in some.items() if w in known):
+                hits[self.words[number]] = (number, place)
+            if i not in late:
+                for number, a, b in rules[i]:
+                    word = text[a:b]
+                    if word not in hits and word not in self.harmless:
+                        hits[word] = (number, a)
+            self.found += [(w, *x) for w, x in hits.items()]
+            self.ends.append(len(self.found))
+            self.whole.append(i not in late)
+
+    def take(self) -> tuple[pa.ListArray, pa.Array]:
+        """The hits of the texts added since the last call, and whether the rules were tried on them."""
+        texts, numbers, places = zip(*self.found) if self.found else ((), (), ())
+        number, pos = np.array(numbers, "int64"), np.array(places, "int32") + 1
+        kind = pa.array(np.maximum(number - len(self.words) + 1, 0))
+        number, unplaced = pa.array(number), np.zeros(len(pos), bool) if self.positions else number >= len(self.words)
+        rows = pa.StructArray.from_arrays(
+            [pa.array(texts, pa.string()), self.types.take(number), self.sources.take(kind), self.confidence.take(kind),
+             self.channels.take(kind), self.orders.take(number), pa.array(pos, pa.int32(), mask=unplaced)],
+            ["text", "type", "source", "confidence", "channel", "rule", "pos"])
+        out = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), rows), pa.array(self.whole, pa.bool_())
+        self.found, self.ends, self.whole = [], [0], []
+        return out
+
+
+def dictionary_broadcast(units: DataFrame, words: list, index: PhraseIndex, rules: RuleScan | None = None) -> DataFrame:
+    """Strings that the index lets through are looked up in a broadcast table, in the scan task; the rules search the same arrays."""
     table = sorted((r["rule"], r["word"], r["type"]) for r in words)
-    shared = units.sparkSession.sparkContext.broadcast((index.bits, index.lengths, *map(list, zip(*table))))
+    shared = units.sparkSession.sparkContext.broadcast((index.bits, index.lengths, table, tuple(rules or NO_RULES)))
 
-    @F.arrow_udf("array<struct<word:string,type:string,rule:bigint>>")
+    @F.arrow_udf(f"struct<hits:{HITS_DDL},whole:boolean>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits, lengths, rules, names, types = shared.value
-        known, places = PhraseIndex(bits, lengths), {w: i for i, w in enumerate(names)}
-        columns = [pa.array(c) for c in (names, types, rules)]
+        bits, lengths, table, rules = shared.value
+        known, hits = PhraseIndex(bits, lengths), HitArrays(table, *rules)
         for texts in batches:
-            found, ends = [], [0]
-            for strings in known.candidates(texts.to_pylist()):
-                found += sorted(places[x] for x in strings if x in places)
-                ends.append(len(found))
-            at = pa.array(found, pa.int64())
-            rows = pa.StructArray.from_arrays([c.take(at) for c in columns], ["word", "type", "rule"])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+            for block in text_blocks(texts.to_pylist()):
+                hits.add(block, known.first_places(block))
+            yield pa.StructArray.from_arrays(hits.take(), ["hits", "whole"])
 
-    return units.withColumn("dict_hits", F.transform(
-        scan("text"), lambda x: _hit(x["word"], x["type"], "dictionary", x["rule"], F.instr(F.col("text"), x["word"]))))
+    out = units.withColumn("_scan", scan("text")).withColumn("dict_hits", F.col("_scan.hits"))
+    return (out if rules is None else out.withColumn("_whole", F.col("_scan.whole"))).drop("_scan")
 
 
 def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY) -> DataFrame:
@@ -101,23 +164,47 @@ def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY
     return rows.select(*key, "word", *[c for c in words.columns if c != "word"])
 
 
-def dictionary_join(units: DataFrame, words: DataFrame, index: PhraseIndex) -> DataFrame:
-    """Units are searched once and staged with the strings that the index lets through, each under a number of its own, so keys may be null or
-    repeat. Only units with such strings are shuffled, by that number."""
-    marked = stage(with_candidates(units, index, "text", "_found").withColumn("_unit", F.monotonically_increasing_id()))
+def dictionary_join(units: DataFrame, words: DataFrame, index: PhraseIndex, rules: RuleScan | None = None) -> DataFrame:
+    """Units are searched once, by the rules as well, and staged with the strings that the index lets through, each under a number of its own, so
+    keys may be null or repeat. Only units with such strings are shuffled, by that number."""
+    shared = units.sparkSession.sparkContext.broadcast((index.bits, index.lengths, tuple(rules or NO_RULES)))
+
+    def run(batches):
+        bits, lengths, rules = shared.value
+        known, hits = PhraseIndex(bits, lengths), HitArrays((), *rules)
+        for batch in batches:
+            found, places, ends = [], [], [0]
+            for block in text_blocks(batch.column("text").to_pylist()):
+                strings = known.first_places(block)
+                for some in strings:
+                    found += some.keys()
+                    places += some.values()
+                    ends.append(len(found))
+                hits.add(block, strings)
+            strings = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.array(places, "int32") + 1)], ["word", "pos"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings), *hits.take()],
+                                             [*batch.schema.names, "_found", "_rules", "_whole"])
+
+    string = T.StructType().add("word", "string").add("pos", "integer")
+    schema = T.StructType([*units.schema.fields]).add("_found", T.ArrayType(string)).add("_rules", HITS).add("_whole", "boolean")
+    marked = stage(units.mapInArrow(run, schema).withColumn("_unit", F.monotonically_increasing_id()))
     some = marked.filter(F.size("_found") > 0).drop("_found")
-    rows = confirm(marked.select("_unit", F.explode("_found").alias("word")), words, "word")
-    grouped = rows.groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("rule", "word", "type"))).alias("found"))
-    hits = F.transform("found", lambda x: _hit(
-        x["word"], x["type"], "dictionary", x["rule"], F.instr(F.col("text"), x["word"])))
-    joined = some.join(grouped, "_unit", "left").withColumn("dict_hits", F.coalesce(hits, no_hits())).drop("found")
-    rest = marked.filter(F.size("_found") == 0).drop("_found").withColumn("dict_hits", no_hits())
-    return joined.unionByName(rest).drop("_unit")
+    asked = marked.select("_unit", F.explode("_found").alias("f")).select("_unit", "f.word", "f.pos")
+    rows = confirm(asked, words, "word")
+    grouped = rows.groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("rule", "word", "type", "pos"))).alias("found"))
+    hits = F.transform("found", lambda x: _hit(x["word"], x["type"], "dictionary", x["rule"], x["pos"]))
+    others = F.filter("_rules", lambda h: ~F.exists("found", lambda x: x["word"] == h["text"]))
+    joined = some.join(grouped, "_unit", "left").withColumn("dict_hits", F.coalesce(F.concat(hits, others), F.col("_rules"))).drop("found")
+    rest = marked.filter(F.size("_found") == 0).drop("_found").withColumn("dict_hits", F.col("_rules"))
+    return joined.unionByName(rest).drop("_unit", "_rules", *(["_whole"] if rules is None else []))
 
 
-def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = None) -> DataFrame:
+def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = None, rules: RuleScan | None = None) -> DataFrame:
     """Add `dict_hits`. The index finds the strings that may be words; what they are is looked up in a broadcast of the
-    prepared lexicon if its counted rows and bytes allow one, else by a join. `method` names one of the forms."""
+    prepared lexicon if its counted rows and bytes allow one, else by a join. `method` names one of the forms.
+
+    With `rules` the hits of these stand behind those of the words, and `_whole` is false where they are still to be added. An empty lexicon
+    and the form `inline` do not search for rules, and add no `_whole`."""
     if method == "ngram":
         method = "join"
     size = words.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
@@ -129,8 +216,8 @@ def detect_dictionary(units: DataFrame, words: DataFrame, method: str | None = N
     if index is None:
         return units.withColumn("dict_hits", no_hits())
     if joined:
-        return dictionary_join(units, words, index)
-    return dictionary_broadcast(units, words.collect(), index)
+        return dictionary_join(units, words, index, rules)
+    return dictionary_broadcast(units, words.collect(), index, rules)
 
 
 # ---- all channels -----------------------------------------------------------------------
@@ -154,21 +241,29 @@ def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame
     parts = [manual_hits(text, cfg.manual_words)]
     drop = []
     if cfg.auto_detect and lexicon is not None:
-        out = detect_dictionary(out, prepare_lexicon(lexicon, listed), method)
+        # The tagger's hits come between those of words and rules.
+        rules = RuleScan(char_kinds(units.sparkSession), tuple(listed), positions) if regex and tagger is None else None
+        out = detect_dictionary(out, prepare_lexicon(lexicon, listed), method, rules)
         parts.append(F.col("dict_hits"))
         drop.append("dict_hits")
     if cfg.auto_detect and tagger is not None:
         out = tag_units(out, tagger).withColumn("ner_found", ner_hits(text, F.col("tags")))
         parts.append(F.col("ner_found"))
         drop += ["tags", "ner_found"]
+    searched = "_whole" in out.columns and "_whole" not in units.columns
     if cfg.auto_detect and regex:
-        parts.append(regex_hits(text, positions=positions))
+        by_pattern = regex_hits(text, positions=positions)
+        parts.append(F.when(F.col("_whole"), no_hits()).otherwise(by_pattern) if searched else by_pattern)
     hits = F.concat(*parts)
     if listed:
         harmless = F.array(*[F.lit(w) for w in listed])
         hits = F.filter(hits, lambda h: (h["source"] == "manual") | ~F.array_contains(harmless, h["text"]))
     # Bound once: every mention of an unbound expression would run all channels again.
     once = let(hits, lambda h: F.when(F.size(h) > 1, first_per_text(h)).otherwise(h))
+    if searched:
+        drop.append("_whole")
+        if not cfg.manual_words:  # the scan left the first hit of every text, and none on harmless words
+            once = F.when(F.col("_whole"), F.col("dict_hits")).otherwise(once)
     out = out.withColumn("hits", once).drop(*drop)
     return out if whitelist is None or not cfg.auto_detect else spare_whitelisted(out, whitelist)
 

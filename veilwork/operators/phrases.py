@@ -15,7 +15,7 @@ from veilwork.session import lookup_join, stage
 GRAM = 4  # code points at either end of a phrase that the map knows
 MAP_BITS = 1 << 26  # 8 MB, whatever the number of phrases; more phrases let more strings through to the join
 BUCKET_BITS = 32_768  # bits of one aggregate bitmap
-CHUNK_CHARS = 1 << 20  # characters of whole texts that are looked at together
+CHUNK_CHARS = 1 << 16  # characters of whole texts that are looked at together: their arrays stay in a core's own cache
 APART = 0x110000  # stands between two texts; no character has this number
 
 
@@ -58,6 +58,16 @@ def both_slot(first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
         return mix(mix(first * np.uint64(3) + np.uint64(length)) ^ last) & np.uint64(MAP_BITS - 1)
 
 
+def text_blocks(texts: list[str | None]) -> Iterator[TextBlock]:
+    """All `texts` in order, null as empty, in blocks of about CHUNK_CHARS characters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= CHUNK_CHARS or i == len(texts) - 1:
+            yield TextBlock([x or "" for x in texts[begin:i + 1]])
+            begin, size = i + 1, 0
+
+
 class PhraseIndex:
     """What each executor knows of the phrases: their lengths, and a bit map of their ends. It never misses a phrase and lets a few
     other strings through."""
@@ -69,11 +79,9 @@ class PhraseIndex:
         slots = slots.astype("int64")
         return (self.bits[slots >> 3] >> (slots & 7).astype("u1") & 1).astype(bool)
 
-    def places(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """Text, place and length of the strings that may be phrases."""
-        if not texts:
-            return
-        block, hopeful = TextBlock(texts), {}
+    def places(self, block: TextBlock) -> Iterator[tuple[int, int, int]]:
+        """Text, place and length of the strings that may be phrases; of each length in order of their places."""
+        hopeful = {}
         for length in self.lengths:
             size = min(length, GRAM)
             hashes = block.hashes(size)
@@ -88,16 +96,14 @@ class PhraseIndex:
 
     def candidates(self, texts: list[str | None]) -> list[list[str]]:
         """Per text the different strings in it that may be phrases."""
-        out: list[dict[str, None]] = [{} for _ in texts]
-        begin = size = 0
-        for i, t in enumerate([*texts, None]):
-            size += len(t or "")
-            if size >= CHUNK_CHARS or i == len(texts):
-                part = [x or "" for x in texts[begin:i + 1]]
-                for text, place, length in self.places(part):
-                    out[begin + text][part[text][place:place + length]] = None
-                begin, size = i + 1, 0
-        return [list(x) for x in out]
+        return [list(x) for block in text_blocks(texts) for x in self.first_places(block)]
+
+    def first_places(self, block: TextBlock) -> list[dict[str, int]]:
+        """Per text the different strings in it that may be phrases, and where each stands first, counted from 0."""
+        out: list[dict[str, int]] = [{} for _ in block.texts]
+        for text, place, length in self.places(block):
+            out[text].setdefault(block.texts[text][place:place + length], place)
+        return out
 
 
 def phrase_slots(phrases: DataFrame, column: str) -> DataFrame:
@@ -147,11 +153,10 @@ def with_candidates(df: DataFrame, index: PhraseIndex, text_col: str, out: str)
 
 def confirm(candidates: DataFrame, phrases: DataFrame, column: str) -> DataFrame:
     """The rows of `candidates` whose `column` is in `phrases` (column once each, more columns), with those. Counted: phrases in very many
-    texts are broadcast, the others meet in a shuffle."""
-    asked = stage(candidates)
-    uses = asked.groupBy(column).agg(F.count(F.lit(1)).alias("_uses"))
+    texts are broadcast, the others meet in a shuffle. `candidates` are read twice: stage them if they are dear."""
+    uses = candidates.groupBy(column).agg(F.count(F.lit(1)).alias("_uses"))
     known = stage(phrases.join(uses, column))
-    return lookup_join(asked, known, column, "_uses", known.count())
+    return lookup_join(candidates, known, column, "_uses", known.count())
 
 
 def occurring(df: DataFrame, phrases: DataFrame, keys: tuple[str, ...], text_col: str = "text", column: str = "phrase") -> DataFrame:
@@ -160,4 +165,4 @@ def occurring(df: DataFrame, phrases: DataFrame, keys: tuple[str, ...], text_col
     if index is None:
         return df.select(*keys).limit(0).crossJoin(phrases.limit(0))
     found = with_candidates(df.select(*keys, text_col), index, text_col, "_found").select(*keys, F.explode("_found").alias(column))
-    return confirm(found, phrases, column)
+    return confirm(stage(found), phrases, column)
