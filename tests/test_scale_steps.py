@@ -1,6 +1,7 @@
 """Detection runs once per job, in evenly dealt tasks, and places are found without cutting texts."""
 
 import datetime
+import os
 import time
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from veilwork.config import MaskConfig
 from veilwork.functions import rules, spans
 from veilwork.operators import assist, detect
 from veilwork.plans import catalog_detect, catalog_mask, catalog_review, inputs, mask
-from veilwork.session import deal
+from veilwork.session import deal, stage
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +149,42 @@ def test_resolved_units_are_staged_without_texts(spark, tables, monkeypatch, nam
 
 def test_channels_share_one_ledger(spark, tables, reads):
     assert catalog_detect.b13_dedup_channels(spark, tables).count() > 0 and reads.value == 60
+
+
+@pytest.fixture
+def left(spark):
+    """Names of the tables that were staged since and are still there."""
+    stage(spark.range(1))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    return lambda: set(os.listdir(folder)) - before
+
+
+def test_shuffles_of_a_staged_table_go(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for i in range(files.size()) if (x := files.apply(i).getName()).startswith("shuffle_")}
+    before = shuffles()
+    assert len(stage(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()).collect()) == 100
+    for _ in range(50):  # removed in the background
+        new = shuffles() - before
+        if not new:
+            break
+        time.sleep(0.2)
+    assert not new
+
+
+def test_masking_leaves_two_tables(spark, tables, left, monkeypatch):
+    """The units with their spans and the tokens; texts were staged up to three times."""
+    monkeypatch.setattr(detect, "BROADCAST_ROWS", 1)
+    made = catalog_mask.d17_mask_ledger(spark, tables)
+    assert len(left()) == 2 and made.filter("masked_text like '%[PERSON_%'").count() == 60
+
+
+def test_masking_tells_units_of_one_key_apart(spark):
+    """Tokens came back by the key of the units, which failed where two units shared one."""
+    made = spark.createDataFrame([("a", 1, 1, "张三付1.2亿元"), ("a", 1, 1, "张三见李四"), ("a", 1, 2, "无")], "file string, file_ord long, unit_ord long, text string")
+    words = spark.createDataFrame([("person", 0, "张三", 1), ("person", 0, "李四", 2)], "category string, cat_ord int, word string, word_ord long")
+    run = mask.mask_units(made, MaskConfig(amount_mode="fuzzy"), words)
+    got = {r["text"]: r["masked_text"] for r in run.masked.select("text", "masked_text").collect()}
+    assert got["张三付1.2亿元"].startswith("[PERSON_001]付") and got["张三见李四"] == "[PERSON_001]见[PERSON_002]"
