@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwork.config import MaskConfig
 from veilwork.functions import rules, spans
-from veilwork.operators import assist, detect
+from veilwork.operators import assist, detect, tokens
 from veilwork.plans import catalog_detect, catalog_mask, catalog_review, inputs, mask
 from veilwork.session import deal, stage
 
@@ -188,3 +188,23 @@ def test_masking_tells_units_of_one_key_apart(spark):
     run = mask.mask_units(made, MaskConfig(amount_mode="fuzzy"), words)
     got = {r["text"]: r["masked_text"] for r in run.masked.select("text", "masked_text").collect()}
     assert got["张三付1.2亿元"].startswith("[PERSON_001]付") and got["张三见李四"] == "[PERSON_001]见[PERSON_002]"
+
+
+@pytest.mark.parametrize("name, tables_left", [("c7_apply_verdicts", 2), ("c12_stats", 3)])
+def test_reviews_leave_what_they_read(spark, tables, left, monkeypatch, name, tables_left):
+    """Candidates were staged with their contexts up to three times, and stayed."""
+    monkeypatch.setattr(detect, "BROADCAST_ROWS", 1)
+    made = getattr(catalog_mask, name)(spark, tables)
+    assert len(left()) == tables_left and made.collect()
+
+
+def test_ranges_number_rows_without_another_shuffle(spark):
+    rows = [(g, i % 7, i) for i in range(300) for g in ("a", "b", None)[:1 + i % 3]]
+    df = spark.createDataFrame(rows, "g string, x int, y int")
+    made = tokens.number_rows(df, "g", ["x", "y"], limit=50)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan
+    for g in ("a", "b", None):  # the numbers of a null group began again in each range
+        want = sorted((x, y) for h, x, y in rows if h == g)
+        got = sorted((r["k"], r["x"], r["y"]) for r in made.collect() if r["g"] == g)
+        assert got == [(i, *w) for i, w in enumerate(want, 1)]
