@@ -208,3 +208,12 @@ def test_ranges_number_rows_without_another_shuffle(spark):
         want = sorted((x, y) for h, x, y in rows if h == g)
         got = sorted((r["k"], r["x"], r["y"]) for r in made.collect() if r["g"] == g)
         assert got == [(i, *w) for i, w in enumerate(want, 1)]
+
+
+def test_report_detects_once_and_packs_its_entries(spark, tables, reads, left, monkeypatch):
+    """The summary, the entries and the list of files each made the ledger again, and entries were written as they are."""
+    monkeypatch.setattr(detect, "BROADCAST_ROWS", 1)
+    made = catalog_detect.a12_write_report(spark, tables)
+    folders = left()
+    assert reads.value == 60 and len([f for f in folders if f.startswith("stage-")]) == 2
+    assert made.count() > 60 and all(f.endswith(".json.gz") for f in made.inputFiles())

@@ -63,10 +63,12 @@ def read_mapping_json(docs: DataFrame, col: str = "json") -> DataFrame:
             .filter("token is not null and original is not null"))
 
 
-def write_report(inputs: DataFrame, rows: DataFrame, path: str, stats: DataFrame | None = None) -> None:
-    """Summary, entries (one folder per list) and, if the model was called, its statistics."""
+def write_report(inputs: DataFrame, rows: DataFrame, path: str, stats: DataFrame | None = None, compression: str = "none") -> None:
+    """Summary, entries (one folder per list; `compression` is a codec of Spark's JSON files) and, if the model was called, its statistics.
+
+    `inputs` and `rows` are read twice: stage them if they are dear."""
     report_summary(inputs, rows).write.mode("overwrite").json(f"{path}/summary")
-    report_entries(rows).write.mode("overwrite").partitionBy("section").json(f"{path}/entries")
+    report_entries(rows).write.mode("overwrite").partitionBy("section").json(f"{path}/entries", compression=compression)
     inputs.select("file").distinct().write.mode("overwrite").json(f"{path}/input_files")
     if stats is not None and not stats.filter("calls > 0 or errors > 0").isEmpty():
         stats.write.mode("overwrite").json(f"{path}/llm_stats")
