@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork.operators import restore
 from veilwork.operators.phrases import PhraseIndex, build_index, occurring
 from veilwork.operators.restore import replace_in_turn, restore_value, unmask
+from veilwork.plans import catalog_mask
 
 SCHEMA = "file string, file_ord long, unit_ord long, text string, token string"
 
@@ -81,3 +83,31 @@ def test_index_never_misses(spark):
     assert occurring(table(spark, texts), spark.createDataFrame([], "phrase string"), ("unit_ord",)).count() == 0
     got = occurring(table(spark, texts), spark.createDataFrame([(w, 1) for w in words], "phrase string, n int"), ("unit_ord",)).collect()
     assert sorted((r["unit_ord"], r["phrase"]) for r in got) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
+
+
+def test_surroundings_of_many_texts_are_searched_together():
+    """They were searched text by text, which cost several times what the search of the texts costs."""
+    asked = []
+
+    class Index:
+        def candidates(self, texts):
+            asked.append(len(texts))
+            return [[w for w in ("[B]", "[CCCC]", "[A]") if w in t] for t in texts]
+    assert restore.later_keys(Index(), [([(4, "x[B]"), (4, "[A]")], {"[A]"}), ([], set()), ([(4, "[CCCC][B]")], set()), ([(2, "[B]")], set())]) == [["[B]"], [], ["[B]"], []]
+    assert asked == [4]
+
+
+def test_nested_units_are_dealt(spark, tmp_path, monkeypatch):
+    spark.range(20).selectExpr("id c_custkey", "concat('C', id) c_name", "'X' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr("id o_orderkey", "id % 20 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    dealt, deal = [], catalog_mask.deal
+    monkeypatch.setattr(catalog_mask, "deal", lambda df, rows: dealt.append(rows) or deal(df, rows))
+    rows = {r["unit_ord"]: r["restored"] for r in catalog_mask.e1_unmask_nested(spark, str(tmp_path)).collect()}
+    assert dealt == [60] and len(rows) == 60 and rows[21] == "see C1 of <X> and [C1]_21 or [AMOUNT_021]X"
+
+
+def test_surroundings_beyond_one_search(spark, units, monkeypatch):
+    monkeypatch.setattr(restore, "WINDOW_CHARS", 8)
+    mapping = spark.createDataFrame([(f"[K{i}]", f"<[V{i}]>") for i in range(9)] + [(f"[V{i}]", str(i)) for i in range(9)], "token string, original string")
+    got = restore.unmask(units([f"a[K{i}]" for i in range(9)] + ["none"]), mapping).select("text", "restored").collect()
+    assert {tuple(r) for r in got} == {(f"a[K{i}]", f"a<{i}>") for i in range(9)} | {("none", "none")}

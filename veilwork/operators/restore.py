@@ -56,6 +56,16 @@ def replace_in_turn(text: str, pairs: list[tuple[str, str]]) -> tuple[str, list[
     return text, hits, around
 
 
+# Characters around replacements that are searched together for keys.
+WINDOW_CHARS = 1 << 20
+
+
+def later_keys(index: PhraseIndex, waiting: list[tuple[list[tuple[int, str]], set[str]]]) -> list[list[str]]:
+    """Per text, of which `waiting` has the surroundings of what was put in and the keys it was given, the other strings there that may be keys due later."""
+    found = iter(index.candidates([window for around, _ in waiting for _, window in around]))
+    return [sorted({c for (limit, _), some in zip(around, found) for c in some if len(c) <= limit} - own) for around, own in waiting]
+
+
 def _apply(rows: DataFrame, index: PhraseIndex, text_col: str) -> DataFrame:
     """`rows` with `restored`, `hits` and `_more`: strings that may be keys and came up only by a replacement."""
     shared = rows.sparkSession.sparkContext.broadcast((index.bits, index.lengths))
@@ -63,15 +73,18 @@ def _apply(rows: DataFrame, index: PhraseIndex, text_col: str) -> DataFrame:
     def run(batches):
         known = PhraseIndex(*shared.value)
         for batch in batches:
-            restored, hits, more = [], [], []
+            restored, hits, more, waiting, size = [], [], [], [], 0
             for text, pairs in zip(batch.column(text_col).to_pylist(), batch.column("_pairs").to_pylist(), strict=True):
                 ordered = sorted(((p["token"], p["original"]) for p in pairs), key=lambda p: (-len(p[0]), p[0]))
                 new, found, around = replace_in_turn(text, ordered)
-                own = {k for k, _ in ordered}
-                later = known.candidates([window for _, window in around])
                 restored.append(new)
                 hits.append(found)
-                more.append(sorted({c for (limit, _), some in zip(around, later, strict=True) for c in some if len(c) <= limit} - own))
+                waiting.append((around, {k for k, _ in ordered}))  # texts are searched together: one by one the search costs far more than what it reads
+                size += sum(len(window) for _, window in around)
+                if size >= WINDOW_CHARS:
+                    more += later_keys(known, waiting)
+                    waiting, size = [], 0
+            more += later_keys(known, waiting)
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(restored, pa.string()), pa.array(hits, strings), pa.array(more, strings)],
                                              [*batch.schema.names, "restored", "hits", "_more"])

@@ -23,7 +23,7 @@ from veilwork.plans.inputs import (WHITELIST, conversation_units, document_units
                                    token_mapping, tokened, whole_cells)
 from veilwork.plans.mask import mask_units
 from veilwork.plans.registry import query
-from veilwork.session import settle, stage
+from veilwork.session import deal, settle, stage
 
 BOTH = ("auto_mask", "suggest_mask")
 LOUD = MaskConfig(mode="aggressive", statuses=BOTH, whitelist=WHITELIST)
@@ -553,7 +553,8 @@ def e1_unmask_nested(spark, sf):
         F.struct(key("[PERSON_%03d]", "c_custkey").alias("token"), F.col("c_name").alias("original")))).alias("m")).select("m.*")
     text = F.concat(F.lit("see "), key("[PERSON_%03d]_1", "c_custkey"), F.lit(" and ["), key("[PERSON_%03d]", "c_custkey"), F.lit("]_"), "o_orderkey", F.lit(" or "),
                     key("[AMOUNT_%03d]", "o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, key("[AMOUNT_%03d]", "c_custkey")).otherwise(" "))
-    units = o.join(c, o.o_custkey == c.c_custkey).select(F.lit("f").alias("file"), F.lit(0).cast("long").alias("file_ord"), F.col("o_orderkey").alias("unit_ord"), text.alias("text"))
+    orders = deal(o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_custkey"), o.count())
+    units = orders.select(F.lit("f").alias("file"), F.lit(0).cast("long").alias("file_ord"), F.col("o_orderkey").alias("unit_ord"), text.alias("text"))
     return RS.unmask(units, mapping).select("unit_ord", "restored")
 
 
