@@ -217,3 +217,14 @@ def test_report_detects_once_and_packs_its_entries(spark, tables, reads, left, m
     folders = left()
     assert reads.value == 60 and len([f for f in folders if f.startswith("stage-")]) == 2
     assert made.count() > 60 and all(f.endswith(".json.gz") for f in made.inputFiles())
+
+
+def test_rules_without_a_lexicon_search_arrays(spark, tables, units, monkeypatch):
+    """The rule channel of b13 tried eight patterns on every text."""
+    texts = ["付人民币 12.5万元，电话+8613800138000", "a@b.cn NATION_3 2024年1月2日", "6222 0202 1234 5678 𝟙𝟚万元", "无", "12万 12万元 12万"]
+    found = [{(r["text"], tuple(map(tuple, r["hits"]))) for r in detect.detect(units(texts), MaskConfig(whitelist=("12万",)), method=m).select("text", "hits").collect()}
+             for m in (None, "scan")]
+    assert found[0] == found[1] and sum(len(h) for _, h in found[0]) > 6
+    used, scan = [], detect.rules_scanned
+    monkeypatch.setattr(detect, "rules_scanned", lambda u, r: used.append(r.positions) or scan(u, r))
+    assert catalog_detect.b13_dedup_channels(spark, tables).count() > 0 and used == [True]

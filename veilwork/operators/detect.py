@@ -167,6 +167,21 @@ def dictionary_broadcast(units: DataFrame, words: list, index: PhraseIndex, rule
     return (out if rules is None else out.withColumn("_whole", F.col("_scan.whole"))).drop("_scan")
 
 
+def rules_scanned(units: DataFrame, rules: RuleScan) -> DataFrame:
+    """Add `rule_hits` and `_whole`, which is false where the patterns have to be tried: the rules search texts as arrays."""
+    shared = units.sparkSession.sparkContext.broadcast(tuple(rules))
+
+    @F.arrow_udf(f"struct<hits:{HITS_DDL},whole:boolean>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hits = HitArrays((), *shared.value)
+        for texts in batches:
+            for block in text_blocks(texts.to_pylist()):
+                hits.add(block, [{}] * len(block.texts))
+            yield pa.StructArray.from_arrays(hits.take(), ["hits", "whole"])
+
+    return units.withColumn("_scan", scan("text")).withColumn("rule_hits", F.col("_scan.hits")).withColumn("_whole", F.col("_scan.whole")).drop("_scan")
+
+
 def ngram_rows(units: DataFrame, words: DataFrame, key: Sequence[str] = UNIT_KEY) -> DataFrame:
     """(key, word, type, rule) of the words that occur in each unit, by an index of their ends and an equi join."""
     rows = occurring(units, words, tuple(key), column="word")
@@ -185,7 +200,7 @@ def _rule_hits_at(text: Column, places: Column, positions: bool) -> Column:
 
 def dictionary_join(units: DataFrame, words: DataFrame, index: PhraseIndex, rules: RuleScan | None = None) -> DataFrame:
     """Units are searched once, by the rules as well, and staged with the strings that the index lets through, each under a number of its own, so
-    keys may be null or repeat. Only units with such strings are shuffled, by that number. What is found is kept as places in the texts."""
+    keys may be null or repeat. Only units with such strings are shuffled, by that number. What the rules find is kept as places in the texts."""
     shared = units.sparkSession.sparkContext.broadcast((index.bits, index.lengths, tuple(rules or NO_RULES)))
 
     def run(batches):
@@ -209,15 +224,13 @@ def dictionary_join(units: DataFrame, words: DataFrame, index: PhraseIndex, rule
     schema = T.StructType([*units.schema.fields]).add("_found", T.ArrayType(place)).add("_rules", T.ArrayType(numbered)).add("_whole", "boolean")
     marked = stage(units.mapInArrow(run, schema).withColumn("_unit", F.monotonically_increasing_id()))
     text = F.col("text")
-    by_rules = _rule_hits_at(text, F.col("_rules"), rules is None or rules.positions)
+    by_rules = no_hits() if rules is None else _rule_hits_at(text, F.col("_rules"), rules.positions)  # without rules texts need not be shuffled
     some = marked.filter(F.size("_found") > 0).drop("_found")
     strings = F.transform("_found", lambda f: F.struct(F.substring(text, f["pos"], f["size"]).alias("word"), f["pos"].alias("pos")))
     asked = marked.select("_unit", F.explode(strings).alias("f")).select("_unit", "f.word", "f.pos")
-    rows = confirm(asked, words, "word").withColumn("size", F.length("word"))
-    grouped = rows.groupBy("_unit").agg(F.collect_list(F.struct("rule", "type", "pos", "size")).alias("found"))
-    ordered = F.array_sort(F.transform("found", lambda x: F.struct(
-        x["rule"].alias("rule"), F.substring(text, x["pos"], x["size"]).alias("word"), x["type"].alias("type"), x["pos"].alias("pos"))))
-    hits = F.transform(ordered, lambda x: _hit(x["word"], x["type"], "dictionary", x["rule"], x["pos"]))
+    rows = confirm(asked, words, "word")
+    grouped = rows.groupBy("_unit").agg(F.array_sort(F.collect_list(F.struct("rule", "word", "type", "pos"))).alias("found"))
+    hits = F.transform("found", lambda x: _hit(x["word"], x["type"], "dictionary", x["rule"], x["pos"]))
     both = let(F.struct(hits.alias("words"), by_rules.alias("rules")), lambda b: F.concat(
         b["words"], F.filter(b["rules"], lambda h: ~F.exists(b["words"], lambda x: x["text"] == h["text"]))))
     joined = some.join(grouped, "_unit", "left").withColumn("dict_hits", F.when(F.col("found").isNull(), by_rules).otherwise(both)).drop("found")
@@ -259,7 +272,8 @@ def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame
            whitelist: DataFrame | None = None) -> DataFrame:
     """Units plus `hits`. A manual-only run (`auto_detect=False`) closes the other channels.
 
-    `whitelist` (word) is a table of any size, beside the few words of `cfg.whitelist`.
+    `whitelist` (word) is a table of any size, beside the few words of `cfg.whitelist`. The method `scan` has the rules of a run
+    without lexicon and tagger search arrays instead of patterns; the hits are the same.
     """
     listed = list(cfg.whitelist)
     text = F.col("text")
@@ -272,6 +286,10 @@ def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame
         out = detect_dictionary(out, prepare_lexicon(lexicon, listed), method, rules)
         parts.append(F.col("dict_hits"))
         drop.append("dict_hits")
+    elif cfg.auto_detect and regex and tagger is None and method == "scan":
+        out = rules_scanned(out, RuleScan(char_kinds(units.sparkSession), tuple(listed), positions))
+        parts.append(F.col("rule_hits"))
+        drop.append("rule_hits")
     if cfg.auto_detect and tagger is not None:
         out = tag_units(out, tagger).withColumn("ner_found", ner_hits(text, F.col("tags")))
         parts.append(F.col("ner_found"))
@@ -289,7 +307,7 @@ def detect(units: DataFrame, cfg: MaskConfig = MaskConfig(), lexicon: DataFrame
     if searched:
         drop.append("_whole")
         if not cfg.manual_words:  # the scan left the first hit of every text, and none on harmless words
-            once = F.when(F.col("_whole"), F.col("dict_hits")).otherwise(once)
+            once = F.when(F.col("_whole"), parts[1]).otherwise(once)
     out = out.withColumn("hits", once).drop(*drop)
     return out if whitelist is None or not cfg.auto_detect else spare_whitelisted(out, whitelist)
 

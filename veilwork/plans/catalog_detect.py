@@ -306,7 +306,7 @@ def b13_dedup_channels(spark, sf):
     """Row form: channels gathered as tables and folded by a window."""
     units, lex = stage(ledger(spark, sf)), lexicon(spark, sf)  # read by each channel
     parts = [D.detections(D.detect(units, MaskConfig(whitelist=WHITELIST), lex, regex=False)),
-             D.detections(D.detect(units, MaskConfig(whitelist=WHITELIST))),
+             D.detections(D.detect(units, MaskConfig(whitelist=WHITELIST), method="scan")),
              D.detections(D.detect(units, MaskConfig(manual_words=("Supplier#000000007",), auto_detect=False)))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return D.dedup_channels(rows).select(*COLS)
